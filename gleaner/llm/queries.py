@@ -17,6 +17,12 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import extracted
+
+    return extracted(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -41,7 +47,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
