@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -47,7 +53,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_substring_dedup, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc, op10_decontamination)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
