@@ -29,6 +29,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import deduplicated
 
@@ -65,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_substring_dedup, op5_suffix_dedup, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_substring_dedup, op4_toxicity, op5_suffix_dedup, op6_mixing, op7_simhash_dedup, op8_token_counts, op9_warc, op10_decontamination)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
