@@ -1,11 +1,47 @@
-"""A training corpus from `documents`, stage by stage."""
+"""A training corpus from `documents`: clean texts, one of each group of near copies, nothing of the benchmark, no
+personal data, and sources in their target proportions."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import decontamination, mixing, pii, simhash, toxicity
+from gleaner.llm.common import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicated(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with what it takes: taken words in all, pieces by shard."""
+    m = mixing.mixed(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
+    return m.select("doc_id", F.col("kept_text").alias("text"), F.col("kept_lang").alias("lang"), "source", F.col("kept_n_chars").alias("n_chars"), "size", "source_size", "target", "taken", "pieces")
+
+
+STAGES = [("toxicity", clean), ("simhash_dedup", distinct), ("decontamination", unseen), ("pii", private), ("mixing", mix)]
+
+#: A network's scores and fingerprints' components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

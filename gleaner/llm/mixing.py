@@ -13,10 +13,10 @@ from .common import WORD, only, stored
 REPEATS, BLOCK, BLOCKS, STRETCH = 3, 1_024, 1 << 20, 4_096
 
 
-def _sizes(docs: DataFrame, id: str, text: str, source: str, seed: int) -> DataFrame:
-    d = only(docs, doc_id=id, text=text, source=source)
+def _sizes(docs: DataFrame, id: str, text: str, source: str, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    d = only(docs, doc_id=id, text=text, source=source, **{f"kept_{c}": c for c in keep})
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return stored(d.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).cast("long"), F.lit(0)).alias("size"), key.alias("key")).withColumn("size", F.greatest("size", F.lit(0))), "sizes")
+    return stored(d.select("doc_id", *(f"kept_{c}" for c in keep), F.col("source").cast("string").alias("source"), F.coalesce(F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).cast("long"), F.lit(0)).alias("size"), key.alias("key")).withColumn("size", F.greatest("size", F.lit(0))), "sizes")
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -76,8 +76,9 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.col("q").alias("x"))
 
 
-def draws(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, pieces): what the mix takes of each row of docs.
+def draws(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, pieces): what the mix takes of each row of docs; and kept_NAME for
+    each further column of docs in keep.
 
     A piece is (shard, block, epoch, from_word, n_words). A source's rows form a line of words in an order drawn by
     the seed; the mix takes the line's words up to the target, from its start and again after its end. The line is
@@ -87,7 +88,7 @@ def draws(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     Null texts have size 0; null sources are one source, the last; ids may be null or repeat, and repeated rows are
     rows of their own. An empty table gives an empty result; with no words all targets are 0. Two runs give the same
     pieces, whatever the partitions. No row holds more than the pieces of one document."""
-    rows = _sizes(docs, id, text, source, seed)
+    rows = _sizes(docs, id, text, source, seed, keep)
     n = rows.count()
     bits = min(24, max(0, math.ceil(math.log2(max(1, n) / STRETCH)))) if n > STRETCH else 0
     rows = rows.withColumn("stretch", F.conv(F.substring("key", 1, 6), 16, 10).cast("long").bitwiseAND((1 << 24) - 1))
@@ -109,7 +110,7 @@ def draws(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     starts = stored(starts, "starts").withColumnsRenamed({"source": "s", "stretch": "t"})
     in_stretch = Window.partitionBy("source", "stretch").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(in_stretch), F.lit(0)))
-    placed = placed.join(starts, placed.source.eqNullSafe(starts.s) & (placed.stretch == starts.t)).withColumn("at", F.col("at") + F.col("start")).select("doc_id", "source", "size", "at")
+    placed = placed.join(starts, placed.source.eqNullSafe(starts.s) & (placed.stretch == starts.t)).withColumn("at", F.col("at") + F.col("start")).select("doc_id", *(f"kept_{c}" for c in keep), "source", "size", "at")
     sources = sources.withColumnRenamed("source", "s")
     placed = placed.join(sources, placed.source.eqNullSafe(sources.s)).drop("s")
     # Block b stands at (b * a + seed) mod q among its source's blocks; a has no divisor in common with q.
@@ -122,13 +123,12 @@ def draws(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     placed = placed.withColumn("cuts", F.expr(pieces))
     shard = f"aggregate(bounds, -1, (z, v) -> if(v <= {at.replace('b *', 'c.b *')}, z + 1, z))"
     out = F.expr(f"transform(cuts, c -> named_struct('shard', {shard}, 'block', c.b, 'epoch', c.epoch, 'from_word', c.lo - c.epoch * source_size - at, 'n_words', c.hi - c.lo))")
-    return placed.select("doc_id", "source", "size", "source_size", "target", out.alias("pieces"))
+    return placed.select("doc_id", *(f"kept_{c}" for c in keep), "source", "size", "source_size", "target", out.alias("pieces"))
 
 
-def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """draws() with taken, the words of all pieces."""
-    d = draws(docs, id, text, source, shards, seed)
-    return d.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(pieces, 0L, (z, v) -> z + v.n_words)").alias("taken"), "pieces")
+    return draws(docs, id, text, source, shards, seed, keep).withColumn("taken", F.expr("aggregate(pieces, 0L, (z, v) -> z + v.n_words)"))
 
 
 def shards_of(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7) -> DataFrame:

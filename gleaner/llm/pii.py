@@ -42,12 +42,12 @@ def _cuts(kind: str, regex: str, guard: str) -> str:
     return f"if({guard}, transform(array({found}), p -> {each})[0], {none})"
 
 
-def _hits(docs: DataFrame, id: str, text: str, keep_text: bool) -> DataFrame:
-    d = only(docs, doc_id=id, t=text).select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
+def _hits(docs: DataFrame, id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    d = only(docs, doc_id=id, t=text, **{f"kept_{c}": c for c in keep}).withColumn("t", F.coalesce("t", F.lit("")))
     guards = {"email": "contains(t, '@')", "phone": "contains(t, '+')", "ip": "digits", "card": "digits", "token": "digits or contains(t, '@')"}
     d = d.withColumn("digits", F.expr("t rlike '[0-9]'"))
     all_ = ", ".join(_cuts(k, r, guards[k]) for k, r in {**KINDS, "token": TOKEN}.items())
-    return stored(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *["t"] * keep_text, F.expr(f"flatten(array({all_}))").alias("hits")), "hits")
+    return stored(d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(f"kept_{c}" for c in keep), F.expr(f"flatten(array({all_}))").alias("hits")), "hits")
 
 
 def _spans(hits: DataFrame) -> DataFrame:
@@ -91,10 +91,10 @@ def _patterns(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rated.select("side", "word")
 
 
-def found(docs: DataFrame, id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """(rid, doc_id[, t], spans array<struct<o int, start, end, kind>>) for each row, base spans and added ones in the
+def found(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, kept_NAME for each column in keep, spans array<struct<o int, start, end, kind>>) for each row, base spans and added ones in the
     order of kinds and starts; offsets count code points, ends are exclusive."""
-    hits = _hits(docs, id, text, keep_text)
+    hits = _hits(docs, id, text, keep)
     spans = stored(_spans(hits), "spans")
     tokens = spans.where("kind = 'token'").withColumn("inst", F.lower(F.regexp_extract("m", r"[A-Za-z0-9@+](?:.*[A-Za-z0-9])?", 0))).where(F.length("inst") >= 1)
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("l").alias("word")), F.struct(F.lit("R").alias("side"), F.col("r").alias("word"))))
@@ -107,7 +107,7 @@ def found(docs: DataFrame, id: str = "doc_id", text: str = "text", keep_text: bo
     order = F.expr("case kind " + " ".join(f"when '{k}' then {n}" for n, k in enumerate([*KINDS, ADDED])) + " end")
     every = spans.where("kind <> 'token'").select("rid", "kind", "start", "end").union(new)
     lists = every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "start", "end", "kind"))).alias("spans"))
-    return hits.select("rid", "doc_id", *["t"] * keep_text).join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<o:int,start:bigint,end:bigint,kind:string>>)")))
+    return hits.select("rid", "doc_id", *(f"kept_{c}" for c in keep)).join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<o:int,start:bigint,end:bigint,kind:string>>)")))
 
 
 def extracted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +122,9 @@ def extracted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def redacted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) with every span replaced by its kind in angle brackets; of spans that overlap the first (by start) names it."""
-    f = found(docs, id, text, keep_text=True)
-    steps = "aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))), named_struct('at', 0L, 'out', cast(array() as array<string>)), (z, s) -> if(s.start >= z.at, named_struct('at', s.end, 'out', concat(z.out, array(substring(t, cast(z.at + 1 as int), cast(s.start - z.at as int)), concat('<', upper(s.kind), '>')))), named_struct('at', greatest(z.at, s.end), 'out', z.out)), z -> array_join(concat(z.out, array(substring(t, cast(z.at + 1 as int)))), ''))"
-    return f.select("rid", "doc_id", F.when(F.size("spans") > 0, F.expr(steps)).otherwise(F.col("t")).alias("text"))
+    """docs with every span of the text replaced by its kind in angle brackets; of spans that overlap the first (by start) names it."""
+    f = found(docs, id, text, keep=tuple(docs.columns))
+    whole = f"`kept_{text}`"
+    steps = f"aggregate(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))), named_struct('at', 0L, 'out', cast(array() as array<string>)), (z, s) -> if(s.start >= z.at, named_struct('at', s.end, 'out', concat(z.out, array(substring({whole}, cast(z.at + 1 as int), cast(s.start - z.at as int)), concat('<', upper(s.kind), '>')))), named_struct('at', greatest(z.at, s.end), 'out', z.out)), z -> array_join(concat(z.out, array(substring({whole}, cast(z.at + 1 as int)))), ''))"
+    new = F.when(F.size("spans") > 0, F.expr(steps)).otherwise(F.col(whole))
+    return f.select(*(new.alias(c) if c == text else F.col(f"`kept_{c}`").alias(c) for c in docs.columns))

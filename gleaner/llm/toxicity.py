@@ -281,3 +281,18 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     d = only(docs, doc_id=id, t=text).select("doc_id", F.col("t").cast("binary").alias("t"))
     out = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
+    """docs without the rows whose score reaches the limit, in one pass and with nothing moved."""
+    model = fitted(docs, labels, sample, id, text, label)
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.grams, model.p))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        m = Model(*held.value)
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(m.scores(b.column(at).cast(pa.binary()).to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
