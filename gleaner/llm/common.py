@@ -95,6 +95,21 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed(got)
 
 
+def gram_hashes(values: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
+    """span_hashes of all runs of n values."""
+    m = len(values) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(base, len(values))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+        got = sums[n:] - sums[:m]
+        got *= down[:m]
+        got += np.uint64(n * 0xA24BAED4963EE407 % (1 << 64))
+    return mixed(got)
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes where one space parts words."""
     gaps = np.flatnonzero(data == 32)
@@ -120,12 +135,12 @@ def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(first, lengths)
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays in one zstd frame."""
     import zstandard
 
     raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=level).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
 
 
 def unpack(blob: bytes) -> list[bytes]:

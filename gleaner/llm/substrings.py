@@ -9,30 +9,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, mixed, only, pack, parts_for, sliding_min, span_hashes, spread, stored, text_bytes, unpack, word_bounds
+from .common import BASES, gram_hashes, mixed, only, pack, parts_for, sliding_min, span_hashes, spread, stored, text_bytes, unpack, word_bounds
 
-#: Words of a window; bytes of packed strings in a bucket and of text cut at once; buckets of a partition.
-WINDOW, BUCKET, CUT, BUCKETS = 50, 8 << 20, 1 << 20, 4
+#: Words of a window and of the grams whose least is its minimiser (single words are too common to spread); bytes of packed strings in a bucket, of text cut at once and of distinct strings held by a task; buckets of a partition.
+WINDOW, GRAM, BUCKET, CUT, HELD, BUCKETS = 50, 4, 4 << 20, 1 << 20, 48 << 20, 4
 LAST = 2**63 - 1
 
 
-def super_kmers(texts: list[bytes | None], window: int):
+def super_kmers(texts: pa.Array, window: int):
     """(number of the text, first word, windows, minimiser, packed string) of each run of windows with one minimiser."""
     at = 0
     while at < len(texts):
         words, sizes, first, held = [], [], at, 0
         while at < len(texts) and held < CUT:
-            w = (texts[at] or b"").split()
+            text = texts[at].as_py() or b""
+            w = text.split()
             words += w
             sizes.append(len(w))
-            held += len(texts[at] or b"")
+            held += len(text)
             at += 1
         if len(words) < window:
             continue
         line = b" ".join(words)
         data = np.frombuffer(line, np.uint8)
         starts, ends = word_bounds(data)
-        least = sliding_min(span_hashes(data, starts, ends), window)
+        gram = min(GRAM, window)
+        least = sliding_min(gram_hashes(span_hashes(data, starts, ends), gram), window - gram + 1)
         sizes = np.array(sizes)
         owner, number = spread(sizes)
         whole = number[: len(least)] + window <= sizes[owner[: len(least)]]
@@ -50,22 +52,35 @@ def _distinct(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     """(bucket, blob): of each batch, the distinct packed strings of a bucket with their smallest and largest ids."""
 
     def run(batches):
+        seen: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
+        held = 0
+
+        def out():
+            rows = []
+            for k, d in enumerate(seen):
+                if d:
+                    rows.append((k, pack(np.array([len(s) for s in d], np.int32), np.array(list(d.values()), np.int64), b"".join(d))))
+                    d.clear()
+                if len(rows) == 64 or rows and k == buckets - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+                    rows = []
+
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            seen: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
-            for doc, _, _, least, strings in super_kmers(b.column(1).to_pylist(), window):
+            for doc, _, _, least, strings in super_kmers(b.column(1), window):
                 for i, k, s in zip(ids[doc].tolist(), (mixed(least) % np.uint64(buckets)).tolist(), strings):
                     x = seen[k].get(s)
                     if x is None:
                         seen[k][s] = [i, i]
+                        held += len(s) + 200
                     elif i < x[0]:
                         x[0] = i
                     elif i > x[1]:
                         x[1] = i
-            out = [(k, pack(np.array([len(s) for s in d], np.int32), np.array(list(d.values()), np.int64), b"".join(d))) for k, d in enumerate(seen) if d]
-            seen.clear()
-            for lo in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out[lo : lo + 64]], pa.int32()), pa.array([x for _, x in out[lo : lo + 64]], pa.binary())], ["bucket", "blob"])
+                if held > HELD:
+                    yield from out()
+                    held = 0
+        yield from out()
 
     return docs.select("id", "t").mapInArrow(run, "bucket int, blob binary")
 
@@ -158,7 +173,7 @@ def firsts(docs: DataFrame, buckets: int, window: int) -> DataFrame:
 def _places(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for doc, first, _, _, strings in super_kmers(b.column(2).to_pylist(), window):
+            for doc, first, _, _, strings in super_kmers(b.column(2), window):
                 k = np.array([string_key(s) for s in strings], np.int64).reshape(-1, 2)
                 who = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), b.column(0).take(who), b.column(1).take(who), pa.array(first.astype(np.int64))], ["k1", "k2", "id", "th", "first"])
@@ -204,7 +219,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text
 
     Null and empty texts have no words; null ids come last; rows that repeat an id are no earlier copies of each other.
 
-    A window's bucket is that of its minimiser (its word with the least hash); runs of windows with one minimiser travel
+    A window's bucket is that of its minimiser (its GRAM words with the least hash); runs of windows with one minimiser travel
     as one string, once for each batch of documents, however many of them hold it, and with the smallest and largest id.
     In its bucket the windows of all strings are sorted, and each gets the smallest id that has it. Only strings with
     a repeated window go back to the documents, by an equi-join on 128-bit keys that Spark splits when skewed."""
