@@ -36,6 +36,25 @@ class Inputs:
         # A word that is as short as the prefix has none: 0.
         self.chars = np.stack([np.where(z - a > k, span_hashes(data, a, np.minimum(a + k, z)) | np.uint64(1), 0) for k in PREFIXES], 1).astype(np.uint64)
 
+    @classmethod
+    def gathered(cls, texts: list[bytes | None]) -> Inputs:
+        """Those of many texts, read by _GROUP bytes."""
+        parts, at = [], 0
+        while at < len(texts):
+            first, held = at, 0
+            while at < len(texts) and held < _GROUP:
+                held += len(texts[at] or b"")
+                at += 1
+            parts.append(cls(texts[first:at]))
+        out = cls([])
+        if parts:
+            out.sizes = np.concatenate([x.sizes for x in parts])
+            out.words, first, place = np.unique(np.concatenate([x.words for x in parts]), return_index=True, return_inverse=True)
+            out.chars = np.concatenate([x.chars for x in parts])[first]
+            starts = np.cumsum([0, *(len(x.words) for x in parts)])
+            out.seq = np.concatenate([place[x.seq + a].astype(np.int32) for x, a in zip(parts, starts)])
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(places of each window's words in seq, -1 behind the text's end; text of each window). A text without words has one window, of nothing."""
         n = np.maximum(1, -(-(self.sizes - WIDTH) // STRIDE) + 1)
@@ -182,10 +201,10 @@ def _step(p: dict[str, np.ndarray], m: Model, w: np.ndarray, c: np.ndarray, live
 
 def _odds(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs that LEAST documents hold, and the logarithm of how much likelier toxic documents hold them."""
-    pair = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0)
-    u, first = np.unique(pair[:, 0], return_index=True)
-    n = np.diff(np.append(first, len(pair)))
-    pos = np.add.reduceat(y[pair[:, 1].astype(np.int64)], first) if len(first) else np.zeros(0)
+    u, place = np.unique(h, return_inverse=True)
+    pair = np.unique(place * len(y) + doc)
+    place, doc = pair // len(y), pair % len(y)
+    n, pos = np.bincount(place, minlength=len(u)), np.bincount(place, y[doc], minlength=len(u))
     keep = n >= LEAST
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((n - pos + 0.5) / ((1 - y).sum() + 1))
     return u[keep], odds[keep]
@@ -199,11 +218,14 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
     their inputs' log odds, the rest and the weights at random."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
-    x = Inputs(texts)
+    x = Inputs.gathered(texts)
     doc = np.repeat(np.arange(len(texts)), x.sizes)
-    words, word_odds = _odds(x.words[x.seq], doc, y)
-    flat, who = x.chars[x.seq], np.repeat(doc, len(PREFIXES))
-    grams, gram_odds = _odds(flat.ravel()[flat.ravel() > 0], who[flat.ravel() > 0], y)
+    pair = np.unique(x.seq.astype(np.int64) * max(1, len(texts)) + doc)
+    word, who = pair // max(1, len(texts)), pair % max(1, len(texts))
+    words, word_odds = _odds(x.words[word], who, y)
+    by_length = [_odds(x.chars[word, k][x.chars[word, k] > 0], who[x.chars[word, k] > 0], y) for k in range(len(PREFIXES))]
+    grams, gram_odds = (np.concatenate(v) for v in zip(*by_length))
+    grams, gram_odds = grams[np.argsort(grams)], gram_odds[np.argsort(grams)]
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     p = {"word": small(len(words) + 1, DIM), "char": small(len(grams) + 1, DIM), "o": np.full(1, -1, np.float32)}
     p["word"][1:, 0], p["char"][1:, 0] = word_odds / 3, gram_odds / 3
@@ -217,9 +239,9 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
         return m
     at, owner = x.windows()
     w, c = m.features(x)
-    w, c = np.append(w[x.seq], 0), np.concatenate([c[x.seq], np.zeros((1, len(PREFIXES)), np.int64)])
+    w, c, seq = np.append(w, 0), np.concatenate([c, np.zeros((1, len(PREFIXES)), np.int64)]), np.append(x.seq, len(w)).astype(np.int32)
     first = np.append(0, p["word"][1:, 0])[w] + np.append(0, p["char"][1:, 0])[c].max(1)
-    guess = np.where(at >= 0, first[at], -9).max(1)
+    guess = np.where(at >= 0, first[seq[at]], -9).max(1)
     clean = np.flatnonzero(y[doc] == 0)
     if not len(clean):
         clean = np.array([-1])
@@ -235,7 +257,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
             a = at[some]
             # Windows of one clean word over and over are clean too.
             a = np.concatenate([a, np.repeat(clean[rng.integers(0, len(clean), 16)][:, None], WIDTH, 1)])
-            g = _step(p, m, w[a], c[a], a >= 0, np.append(y[owner[some]], np.zeros(16)))
+            g = _step(p, m, w[seq[a]], c[seq[a]], a >= 0, np.append(y[owner[some]], np.zeros(16)))
             step += 1
             rate = 0.02 * (1 - k / passes) + 0.001
             for name, v in g.items():
