@@ -43,13 +43,22 @@ def squeezed(text: Column) -> Column:
     return F.when(F.length(text) < 2, "").otherwise(F.regexp_replace(F.regexp_replace(text, r"[\r,\n]\s", ""), r"\s+", ""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once: a lambda that names an expression evaluates it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bigrams(tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
+    def pairs(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
+
+    return bound(tokens, pairs)
 
 
 def grams(tokens: Column) -> Column:
     """Bigrams, then words."""
-    return F.concat(bigrams(tokens), tokens)
+    return bound(tokens, lambda t: F.concat(bigrams(t), t))
 
 
 def codes(text: Column, which: str) -> Column:
