@@ -9,31 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, only, pack, parts_for, sliding_min, span_hashes, spread, stored, text_bytes, unpack
+from .common import gram_hashes, mixed, only, pack, parts_for, sliding_min, spread, stored, text_bytes, unpack
 from .substrings import LAST, string_key
 
 #: Bytes of a string that counts; of the gram that anchors it; of texts in a block, packed strings in a shard, anchors in a bucket.
 LENGTH, GRAM, TEXTS, SHARD, ANCHORS = 100, 32, 1 << 20, 4 << 20, 8 << 20
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of data by their first `depth` bytes (short ones filled up with zeros), and each suffix's rank: equal
-    ranks are equal prefixes.
-
-    Larsson-Sadakane: ranks by 8 bytes at first; then each round sorts what still shares a rank by the rank that
-    stands as far behind as ranks reach, which doubles their reach. Settled suffixes are left alone."""
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """Of each place, the next 8 bytes as a number that orders as they do; zeros fill up the end."""
     n = len(data)
     wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key |= wide[j : j + n] << np.uint64(56 - 8 * j)
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (of bytes with these byte_words) by their first `depth` bytes (short ones filled up with zeros), and each suffix's rank: equal
+    ranks are equal prefixes.
+
+    Larsson-Sadakane: ranks by 8 bytes at first; then each round sorts what still shares a rank by the rank that
+    stands as far behind as ranks reach, which doubles their reach. Settled suffixes are left alone."""
+    n = len(key)
     order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     new = np.ones(n, bool)
     sorted_key = key[order]
     new[1:] = sorted_key[1:] != sorted_key[:-1]
-    del key, sorted_key, wide
+    del sorted_key
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = first
     reach = 8
@@ -54,16 +60,19 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:n]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int, lanes: int = 8_192) -> np.ndarray:
+_STEPS = np.array([1 << k for k in range(8, 64, 8)], np.uint64)
+
+
+def common_prefixes(words: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int, lanes: int = 8_192) -> np.ndarray:
     """For each place in the order, bytes (depth at most) that its suffix shares with the one before.
 
     Kasai's way: along the text, a suffix shares with its predecessor at least one byte less than the suffix before
     it did. That holds where the order is the suffixes' own: behind a suffix that shares all of the depth, with which
-    ranks are equal, the count starts anew. The text is cut into lanes that take their steps together."""
-    n = len(data)
+    ranks are equal, the count starts anew. The text is cut into lanes that take their steps together, 8 bytes at once."""
+    n = len(words)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    pad = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    pad = np.concatenate([words, np.zeros(depth + 8, np.uint64)])
     out = np.zeros(n, np.int32)
     width = -(-n // lanes)
     lane = np.arange(0, n, width)
@@ -77,9 +86,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth
         have = np.where(equal, depth, np.where((j >= 0) & (have < depth), np.maximum(have - 1, 0), 0))
         live = np.flatnonzero((j >= 0) & ~equal)
         while len(live):
-            a, b = i[live] + have[live], j[live] + have[live]
-            live = live[(have[live] < depth) & (np.maximum(a, b) < n) & (pad[a] == pad[b])]
-            have[live] += 1
+            x = pad[i[live] + have[live]] ^ pad[j[live] + have[live]]
+            have[live] += 8 - np.searchsorted(_STEPS, x, side="right") - (x > 0)
+            live = live[(x == 0) & (have[live] < depth)]
+        have = np.minimum(have, np.minimum(depth, n - np.maximum(i, j)))
         out[i] = have
     return out[order]
 
@@ -94,11 +104,12 @@ class Shard:
         self.first_byte = np.cumsum(sizes) - sizes
         self.windows = sizes - length + 1
         owner, number = spread(self.windows)
-        order, rank = suffix_order(self.data, length)
+        words = byte_words(self.data)
+        order, rank = suffix_order(words, length)
         whole = np.zeros(len(self.data), bool)
         self.at = self.first_byte[owner] + number
         whole[self.at] = True
-        shared = common_prefixes(self.data, order, rank, length)
+        shared = common_prefixes(words, order, rank, length)
         # Only whole windows stand in the groups; what lies between two of them shares no less.
         low = np.flatnonzero(shared < length)
         group_of = np.zeros(len(order), np.int64)
@@ -117,10 +128,16 @@ class Shard:
     def best(self) -> None:
         """Each group's first place: (document, start)."""
         w = self.window
+        heads = np.flatnonzero(self.new)
         group = np.cumsum(self.new) - 1
-        turn = np.lexsort((self.base[w] + self.number[w], self.doc[w], group))
-        lead = np.flatnonzero(np.concatenate([[True], group[turn][1:] != group[turn][:-1]])) if len(w) else np.zeros(0, np.int64)
-        self.low_doc, self.low_at = self.doc[w][turn[lead]], (self.base[w] + self.number[w])[turn[lead]]
+        self.low_doc, self.low_at = self.doc[w[heads]], (self.base[w] + self.number[w])[heads]
+        more = np.flatnonzero(~self.new | ~np.append(self.new[1:], True))
+        if len(more):
+            w, group = w[more], group[more]
+            turn = np.lexsort((self.base[w] + self.number[w], self.doc[w], group))
+            w, group = w[turn], group[turn]
+            lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            self.low_doc[group[lead]], self.low_at[group[lead]] = self.doc[w[lead]], (self.base[w] + self.number[w])[lead]
 
     def sample(self, groups: np.ndarray) -> np.ndarray:
         at = self.order[np.flatnonzero(self.new)[groups]]
@@ -186,7 +203,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def _packed(ids: list, texts: list[bytes]) -> bytes:
     known = np.array([i is not None for i in ids])
-    return pack(np.array([LAST if i is None else i for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64), b"".join(texts))
+    return pack(np.array([LAST if i is None else i for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64), b"".join(texts), level=3)
 
 
 def _opened(blob: bytes):
@@ -207,8 +224,7 @@ class Anchored:
         if n < length:
             return
         gram = min(gram, length)
-        at = np.arange(n - gram + 1)
-        g = span_hashes(data, at, at + gram) | np.uint64(1)
+        g = gram_hashes(data, gram) | np.uint64(1)
         least = sliding_min(g, length - gram + 1)
         self.owner, self.number = spread(self.sizes)
         whole = self.number[: len(least)] + length <= self.sizes[self.owner[: len(least)]]
@@ -226,10 +242,11 @@ class Anchored:
         self.value = least[self.run]
 
     def strings(self, values: np.ndarray):
-        """(document's number, start, string) of the runs whose anchor is one of values."""
-        for k in np.flatnonzero(np.isin(self.value, values)).tolist():
-            a = int(self.run[k])
-            yield int(self.owner[a]), int(self.number[a]), self.raw[a : a + int(self.n[k]) + self.length - 1]
+        """(anchor as a signed number, document's number, start, string) of the runs whose anchor is one of values."""
+        k = np.flatnonzero(np.isin(self.value, values))
+        a = self.run[k]
+        for value, doc, start, lo, hi in zip(self.value[k].view(np.int64).tolist(), self.owner[a].tolist(), self.number[a].tolist(), a.tolist(), (a + self.n[k] + self.length - 1).tolist()):
+            yield value, doc, start, self.raw[lo:hi]
 
 
 def _repeated_anchors(blocks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -292,10 +309,16 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
                 values = np.concatenate([np.frombuffer(v, np.uint64) for v in lists])
                 runs = np.isin(x.value, values)
                 to = iter((mixed(x.value[runs]) % np.uint64(buckets)).tolist())
-                for doc, start, s in x.strings(values):
+                for value, doc, start, s in x.strings(values):
                     place = (int(x.ids[doc]), start)
-                    y = seen[next(to)].setdefault(s, [*place, *place])
-                    y[:2], y[2:] = min(tuple(y[:2]), place), max(tuple(y[2:]), place)
+                    own = seen[next(to)]
+                    y = own.get(s)
+                    if y is None:
+                        own[s] = [*place, *place, value]
+                    elif place < (y[0], y[1]):
+                        y[0], y[1] = place
+                    elif place > (y[2], y[3]):
+                        y[2], y[3] = place
                 some = [k for k in range(buckets) if seen[k]]
                 blobs = [pack(np.array([len(s) for s in seen[k]], np.int64), np.array(list(seen[k].values()), np.int64), b"".join(seen[k])) for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
@@ -318,21 +341,28 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
         for k in range(len(built) - 1):
             for j in range(k + 1, len(built)):
                 built[k].merge(built[j])
-        replies: dict[int, list] = {}
-        for x, own in zip(built, shards):
-            doc, base = x.runs()
-            ends = np.cumsum(x.windows)
-            for s, lo, hi in zip(own, (ends - x.windows).tolist(), ends.tolist()):
-                d, b = doc[lo:hi], base[lo:hi]
-                last = strings[s][2:4]
-                if not ((d < last[0]) | ((d == last[0]) & (b < last[1]))).any():
-                    continue
-                cut = np.flatnonzero(np.append((d[1:] != d[:-1]) | (b[1:] != b[:-1]), True))
-                told = (string_key(s), np.column_stack([cut + 1, d[cut], b[cut]]).astype(np.int64))
-                for block in strings[s][4]:
-                    replies.setdefault(block, []).append(told)
-        for block, told in replies.items():
-            yield block, pack(np.array([k for k, _ in told], np.int64), np.array([len(r) for _, r in told], np.int64), np.concatenate([r for _, r in told]))
+        # Windows of all shards in a row, in the order of their strings.
+        doc, base = (np.concatenate(v) for v in zip(*(x.runs() for x in built)))
+        windows = np.concatenate([x.windows for x in built])
+        owner, number = spread(windows)
+        last_doc, last_at = np.array([strings[s][2:4] for s in keys], np.int64).T
+        later = (doc < last_doc[owner]) | ((doc == last_doc[owner]) & (base < last_at[owner]))
+        wanted = np.flatnonzero(np.bincount(owner[later], minlength=len(keys)))
+        cut = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (base[1:] != base[:-1]) | (owner[1:] != owner[:-1]), True))
+        told = np.column_stack([number[cut] + 1, doc[cut], base[cut]])
+        count = np.bincount(owner[cut], minlength=len(keys))
+        first = np.cumsum(count) - count
+        replies: dict[int, list[int]] = {}
+        names = {}
+        for k in wanted.tolist():
+            s = keys[k]
+            names[k] = (*string_key(s), strings[s][5])
+            for block in strings[s][4]:
+                replies.setdefault(block, []).append(k)
+        for block, some in replies.items():
+            k = np.array(some)
+            which, nth = spread(count[k])
+            yield block, pack(np.array([names[i] for i in some], np.int64), count[k], told[first[k][which] + nth])
 
     def gather(batches):
         now, strings = None, {}
@@ -350,12 +380,12 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
                 now = bucket
                 sizes, places, raw = unpack(blob.as_py())
                 at = 0
-                for n, (d, a, d2, a2) in zip(np.frombuffer(sizes, np.int64).tolist(), np.frombuffer(places, np.int64).reshape(-1, 4).tolist()):
+                for n, (d, a, d2, a2, value) in zip(np.frombuffer(sizes, np.int64).tolist(), np.frombuffer(places, np.int64).reshape(-1, 5).tolist()):
                     s = raw[at : at + n]
                     at += n
                     x = strings.get(s)
                     if x is None:
-                        strings[s] = [d, a, d2, a2, [block]]
+                        strings[s] = [d, a, d2, a2, [block], value]
                     else:
                         if (d, a) < (x[0], x[1]):
                             x[0], x[1] = d, a
@@ -403,15 +433,16 @@ def _kept(blob: bytes, replies: list[bytes], length: int, gram: int, keep_text:
     ids, known, sizes, raw = _opened(blob)
     gone: list[list[tuple[int, int]]] = [[] for _ in ids]
     if replies:
-        told = {}
+        told, values = {}, []
         for r in replies:
             keys, n, runs = unpack(r)
             runs, at = np.frombuffer(runs, np.int64).reshape(-1, 3).tolist(), 0
-            for key, m in zip(map(tuple, np.frombuffer(keys, np.int64).reshape(-1, 2).tolist()), np.frombuffer(n, np.int64).tolist()):
-                told[key] = runs[at : at + m]
+            for key, m in zip(map(tuple, np.frombuffer(keys, np.int64).reshape(-1, 3).tolist()), np.frombuffer(n, np.int64).tolist()):
+                told[key[:2]] = runs[at : at + m]
+                values.append(key[2])
                 at += m
         x = Anchored(blob, length, gram)
-        for doc, start, s in x.strings(x.value):
+        for _, doc, start, s in x.strings(np.array(values, np.int64).view(np.uint64)):
             i, at = int(ids[doc]), 0
             for end, low, base in told.get(string_key(s), ()):
                 if low < i or low == i and base < start:
