@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, pack, parts_for, span_hashes, text_bytes, unpack, word_bounds
+from .common import only, pack, parts_for, span_hashes, text_bytes, unpack, without, word_bounds
 
 #: Words of a seed and of the shortest tile, share of an item's words that tiles must cover, bytes of benchmark text in a broadcast block, bytes of document text scanned at once.
 SEED, COVERAGE, BLOCK, SCAN = 5, 0.5, 4 << 20, 1 << 20
@@ -180,8 +180,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, i
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id matches an item."""
-    from .common import stored
-
-    bad = stored(matches(docs, benchmark, coverage, id, text).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows whose id matches an item; rows without an id stay."""
+    return without(docs, id, matches(docs, benchmark, coverage, id, text).select("doc_id"))

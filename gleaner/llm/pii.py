@@ -21,8 +21,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _SP, _NS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Least length of an added identifier, distinct trusted instances and precision of a pattern, trust of an instance, rounds.
 LENGTH, SUPPORT, PRECISION, TRUST, ROUNDS = 6, 3, 0.6, 0.8, 3
-#: Characters looked at on either side of a token for its neighbour.
-REACH = 200
+#: Characters looked at on either side of a token for its neighbour (which is what stands there of a longer word); words that are broadcast at most.
+REACH, BROADCAST = 200, 200_000
 
 
 def _plain(word: str) -> str:
@@ -78,9 +78,14 @@ def _patterns(edges: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     firm = edges.where("seed").groupBy("side", "word").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     if firm.isEmpty():
         return firm.select("side", "word")
-    words = only(docs, t=text).select(F.explode(F.split(F.expr(_plain("t")), f"{_SP}+")).alias("word")).groupBy("word").agg(F.count("*").alias("places"))
-    places = stored(words.join(edges.select("word").distinct(), "word", "left_semi"), "places")
-    edges = stored(edges.join(places, "word"), "graph")
+    # A pattern's support is at most the number of its instances, so words with fewer are none and need no count.
+    able = stored(edges.groupBy("side", "word").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("word").distinct(), "able")
+    words = only(docs, t=text).select(F.explode(F.split(F.expr(_plain("t")), f"{_SP}+")).alias("word"))
+    if able.count() <= BROADCAST:
+        places = words.join(F.broadcast(able), "word", "left_semi").groupBy("word").agg(F.count("*").alias("places"))
+    else:  # counts of all words, and none of their places, travel
+        places = words.groupBy("word").agg(F.count("*").alias("places")).join(able, "word")
+    edges = stored(edges.join(stored(places, "places"), "word"), "graph")
     trust = edges.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("c"))
     for _ in range(ROUNDS):
         trust = stored(trust, "trust")
@@ -107,7 +112,11 @@ def found(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[s
     order = F.expr("case kind " + " ".join(f"when '{k}' then {n}" for n, k in enumerate([*KINDS, ADDED])) + " end")
     every = spans.where("kind <> 'token'").select("rid", "kind", "start", "end").union(new)
     lists = every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "start", "end", "kind"))).alias("spans"))
-    return hits.select("rid", "doc_id", *(f"kept_{c}" for c in keep)).join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<o:int,start:bigint,end:bigint,kind:string>>)")))
+    none = F.expr("cast(array() as array<struct<o:int,start:bigint,end:bigint,kind:string>>)")
+    rows = lambda some: hits.where(some).select("rid", "doc_id", *(f"kept_{c}" for c in keep))
+    # Most rows have nothing to be joined, and aren't moved.
+    met = rows(F.size("hits") > 0).join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", none))
+    return met.unionByName(rows(F.size("hits") == 0).withColumn("spans", none))
 
 
 def extracted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, parts_for, stored
+from .common import only, parts_for, stored, without
 from .graph import components, local_roots
 
 #: Fingerprints that one partition of the index takes, and from which a block counts as hot.
@@ -154,6 +154,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the smallest doc_id of each group; rows that repeat that id all stay."""
-    firsts = groups(docs, id, text).select(F.col("component_id").alias("__keep")).distinct()
-    return docs.join(stored(firsts, "firsts"), F.col(f"`{id}`").eqNullSafe(F.col("__keep")), "left_semi")
+    """docs without all but the smallest doc_id of each group; rows that repeat that id all stay, and so do rows without one."""
+    g = groups(docs, id, text)
+    gone = g.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
+    return without(docs, id, gone)

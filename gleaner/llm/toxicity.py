@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -281,10 +283,17 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "
     d = only(docs, id=id, t=text).where(F.octet_length("t") <= SAMPLE_BYTES)
     ids = d.join(y, "id").select("id", "y", F.octet_length("t"))
     chosen = ids.where("y = 1").orderBy(h, "id").limit(sample).union(ids.where("y = 0").orderBy(h, "id").limit(sample)).select("id", "y").distinct()
-    # 2 * sample ids at most.
-    rows = d.join(F.broadcast(chosen), "id").select("id", F.col("t").cast("binary").alias("t"), "y").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["t"])))
-    return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows]))
+
+    def fit(batches):
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        got.sort(key=lambda r: (r[0], r[1]))
+        m = train([r[1] for r in got], np.array([r[2] for r in got]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.words, m.grams, m.p))], pa.binary())], ["model"])
+
+    # 2 * sample ids at most, and their texts in one task, which is not the driver.
+    rows = d.join(F.broadcast(chosen), "id").select("id", F.col("t").cast("binary").alias("t"), "y").repartition(1)
+    made = rows.mapInArrow(fit, "model binary").first()
+    return Model(*pickle.loads(made["model"])) if made else train([], np.zeros(0))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
