@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _V = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -92,7 +93,7 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Stems of arrays of words; each distinct word of a batch is stemmed once."""
     known: dict[str, str] = {}
@@ -123,7 +124,7 @@ def word_break(word: str, known: frozenset[str]) -> list[str] | None:
 def breaker(dictionary: frozenset[str], longest: int = 4):
     """Pandas UDF: of each array of tokens, those longer than `longest` broken up where that is possible, then all tokens again."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def broken(tokens: pd.Series) -> pd.Series:
         def one(ts):
             return None if ts is None else [w for t in ts for w in ((word_break(t, dictionary) or []) if len(t) > longest else [])] + list(ts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~，。、；：？！“”‘’（）《》【】…—·"
 STOP = tuple("a an and are as at be by for from in is it of on or that the this to was with der die das und von zu mit den ist le la les de des et en un une que qui pour par el los las y se su con".split())
@@ -103,13 +104,13 @@ def _lcs(a: list, b: list, within: bool) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
     return pd.Series([0 if x is None or y is None else _lcs(list(x), list(y), False) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_within(a: pd.Series, b: pd.Series) -> pd.Series:
     """As lcs, where a word also equals one that it is part of."""
     return pd.Series([0 if x is None or y is None else _lcs(list(x), list(y), True) for x, y in zip(a, b)], dtype="int32")
