@@ -163,6 +163,7 @@ BROADCAST_IDS = 1_000_000
 def without(docs: DataFrame, id: str, gone: DataFrame) -> DataFrame:
     """docs without the rows whose id is in gone (one column); rows without an id stay. Up to BROADCAST_IDS ids are counted
     and broadcast, so that no text moves; more are joined by Spark's choice."""
-    gone = stored(gone.toDF("__gone").where("__gone is not null").distinct(), "gone")
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = stored(gone.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, F.col(f"`{id}`") == F.col("__gone"), "left_anti")
+    return docs.join(few, F.col(f"`{id}`") == F.col(name), "left_anti")
