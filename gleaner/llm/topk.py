@@ -135,13 +135,15 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id: s
     asked = rows.where(is_query) if is_query is not None else rows
     asked = asked.dropDuplicates(["vec_id", "q"])
     asked = _blocks(asked.repartition(parts_for(n, 64 * QUERIES, 1)), QUERIES)
-    first = buckets.orderBy(F.col("high").desc(), F.col("n").desc(), "bucket").limit(1).select(F.col("block").alias("first"))
+    # One block of BUCKET vectors.
+    first = buckets.orderBy(F.col("high").desc(), F.col("n").desc(), "bucket").select("block").first()
+    first = rows.sparkSession.sparkContext.broadcast(bytes(first["block"]) if first else b"")
 
     def seed(batches):
         for b in batches:
             lows, thetas = [], []
-            for blob, top in zip(b.column("block").to_pylist(), b.column("first").to_pylist()):
-                (qi, qn, q), (ci, _, c) = _opened(blob), _opened(top)
+            for blob in b.column("block").to_pylist():
+                (qi, qn, q), (ci, _, c) = _opened(blob), _opened(first.value)
                 s = np.where(qi[:, None] == ci[None, :], LEAST, products(q, c))
                 theta = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(qi), LEAST)
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -149,8 +151,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id: s
                 thetas.append(theta.astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(thetas, pa.binary()), pa.array(lows, pa.float64())], ["asked", "theta", "least"])
 
-    # `first` is one block of BUCKET vectors.
-    asked = asked.crossJoin(F.broadcast(first)).mapInArrow(seed, "asked binary, theta binary, least double")
+    asked = asked.mapInArrow(seed, "asked binary, theta binary, least double")
     asked = stored(asked.withColumn("q", F.monotonically_increasing_id()), "asked")
     # Names and lengths of blocks only: which buckets are long enough for a query block.
     pairs = asked.select("q", "least").join(buckets.select("bucket", "high"), F.col("high") * (1 + 1e-9) >= F.col("least"))
