@@ -15,12 +15,12 @@ from .common import only, shared_dir
 MAGIC = b"WARC/1.1\r\n"
 #: Equal payloads from this size on are written once.
 REVISIT_BYTES = 100
-#: Archives roll over after so many records.
-ROLL = 2_000
+#: Archives roll over after so many records; classes of payloads' sizes, which get archives of their own; bytes that an archive of a class may reach, but for one larger payload.
+ROLL, CLASSES, ARCHIVE = 2_000, (0, 64 << 10, 1 << 20, 16 << 20, 1 << 62), 128 << 20
 
 
 def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", roll: int = ROLL) -> None:
-    """One record per row, archives of `roll` records at most under path.
+    """One record per row, archives of `roll` records and about ARCHIVE bytes at most under path, large payloads apart.
 
     Of equal payloads of REVISIT_BYTES or more the smallest id is a response, the rest are revisits of it without a
     payload. Rows that repeat an id repeat its record; null ids are written as empty and never referred to unless all
@@ -45,8 +45,12 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
         line("Content-Length", F.octet_length(body)),
         F.lit("\r\n"), body, F.lit("\r\n"),
     )
-    # The writer's line end is the last of the two that close a record.
-    p.select(record.alias("value")).write.option("maxRecordsPerFile", roll).option("lineSep", "\r\n").text(path)
+    most = p.agg(F.max("size")).first()[0] or 0
+    for low, high in zip(CLASSES, CLASSES[1:]):
+        if low <= most:
+            some = p.where((F.col("size") >= low) & (F.col("size") < high)).select(record.alias("value"))
+            # The writer's line end is the last of the two that close a record.
+            some.write.option("maxRecordsPerFile", max(1, min(roll, ARCHIVE // high))).option("lineSep", "\r\n").text(f"{path}/from-{low}")
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?[Cc]ontent-[Ll]ength:[ \t]*([0-9]+)[ \t]*\r\n(?:[^\r\n]+\r\n)*?\r\n")
