@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What cleaning deletes, in this order.
+#: What cleaning deletes, in this order.
 BLOCKS = ("(?s)<!--.*?-->", "(?s)<script.*?>.*?</script>", "(?s)<noscript.*?>.*?</noscript>", "(?s)<style.*?>.*?</style>", "(?s)<fieldset.*?>.*?</fieldset>")
 #: The comma belongs to the class.
 BLANK_LINES = r"[\r,\n]\s*\n+"

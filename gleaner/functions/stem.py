@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: Fixed values of the published definition: vowels, double letters, whole words, words that step 1a ends, endings by step, longest first.
 _V = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 _WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"} | {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
@@ -17,6 +18,10 @@ _STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("ative", "")
 _STEP4 = ["ement", "able", "ance", "ence", "ible", "ment", "ant", "ate", "ent", "ion", "ism", "iti", "ive", "ize", "ous", "al", "er", "ic"]
 
 
+#: Letters that a stem loses at most: the longest endings of all steps together.
+_LOST = 30
+
+
 def _after(w: str, start: int) -> int:
     m = re.search(f"[{_V}][^{_V}]", w[start:])
     return start + m.end() if m else len(w)
@@ -106,12 +111,14 @@ def stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [one(t) for t in ts])
 
 
-def word_break(word: str, known: frozenset[str]) -> list[str] | None:
-    """Words of the dictionary that make up the word, a longer one first at each place; null if none do. Without recursion."""
+def word_break(word: str, known: frozenset[str], longest: int | None = None) -> list[str] | None:
+    """Words of the dictionary (or words whose stem it holds) that make up the word, a longer one first at each place; null
+    if none do. Without recursion, and with pieces no longer than the dictionary's longest word and what a stem can lose."""
     n = len(word)
+    most = (max(map(len, known), default=0) if longest is None else longest) + _LOST
     ends: list[int | None] = [None] * n + [n]
     for i in range(n - 1, -1, -1):
-        ends[i] = next((j for j in range(n, i, -1) if ends[j] is not None and (word[i:j] in known or stem(word[i:j]) in known)), None)
+        ends[i] = next((j for j in range(min(n, i + most), i, -1) if ends[j] is not None and (word[i:j] in known or stem(word[i:j]) in known)), None)
     if not n or ends[0] is None:
         return None
     out, i = [], 0
@@ -124,10 +131,12 @@ def word_break(word: str, known: frozenset[str]) -> list[str] | None:
 def breaker(dictionary: frozenset[str], longest: int = 4):
     """Pandas UDF: of each array of tokens, those longer than `longest` broken up where that is possible, then all tokens again."""
 
+    most = max(map(len, dictionary), default=0)
+
     @F.pandas_udf(ArrayType(StringType()))
     def broken(tokens: pd.Series) -> pd.Series:
         def one(ts):
-            return None if ts is None else [w for t in ts for w in ((word_break(t, dictionary) or []) if len(t) > longest else [])] + list(ts)
+            return None if ts is None else [w for t in ts for w in ((word_break(t, dictionary, most) or []) if len(t) > longest else [])] + list(ts)
 
         return tokens.map(one)
 

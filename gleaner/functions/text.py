@@ -91,17 +91,19 @@ def index_of(text: Column, what: str, start: int = 0) -> Column:
 
 
 def _lcs(a: list, b: list, within: bool) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            if (x in y) if within else x == y:
-                row[j] = last + 1
-            elif row[j - 1] > row[j]:
-                row[j] = row[j - 1]
-            last = keep
-    return row[-1]
+    """Length of the longest common subsequence; a column of its table is the bits of one whole number (Hyyrö's recurrence)."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    if within:
+        own = at
+        at = {y: sum(bits for x, bits in own.items() if x in y) for y in set(b)}
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        if hit := free & at.get(y, 0):
+            free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
 
 
 @F.pandas_udf(IntegerType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SCHEME, _HOST, _PATH = r"^([a-zA-Z][a-zA-Z0-9+.-]*):", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
-#: Left out of a URL's tokens.
+#: Words left out of a URL's tokens.
 COMMON = ("http", "https", "www", "com", "cn", "asp", "ftp", "net")
 _JUNK = "\t\r\n \"'"
 

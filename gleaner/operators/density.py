@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import dom as D
 
+#: Tags that count as links.
 LINKS = ("a", "button", "select")
 _STATS = "page_id long, node_id int, char_num int, tag_num int, linkchar_num int, linktag_num int"
 

@@ -38,8 +38,9 @@ class _Builder(HTMLParser):
     def _push(self, tag: str, attrs) -> None:
         parent = self.open[-1] if self.open else None
         k = len(self.nodes)
-        same = sum(1 for c in (self.nodes[parent]["kids"] if parent is not None else ()) if self.nodes[c]["tag"] == tag)
-        self.nodes.append({"tag": tag, "attrs": {a: v or "" for a, v in attrs}, "parent": parent, "kids": [], "text": [], "tail": [], "sib": same + 1})
+        seen = self.nodes[parent]["seen"] if parent is not None else {}
+        seen[tag] = seen.get(tag, 0) + 1
+        self.nodes.append({"tag": tag, "attrs": {a: v or "" for a, v in attrs}, "parent": parent, "kids": [], "seen": {}, "text": [], "tail": [], "sib": seen[tag]})
         if parent is not None:
             self.nodes[parent]["kids"].append(k)
         self.last = None

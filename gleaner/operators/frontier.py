@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .votes import majority
 
-#: Weight of the parents; probabilities from which a URL is of the first and of the second level.
+#: Weight of the parents; probabilities from which a URL is of the first and of the second level.
 BETA, FIRST, SECOND = 0.25, 0.8, 0.5
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, OneVsRest
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import terms as M
+from .graph import checkpointed
 
 METHODS = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "logistic_l1": lambda: LogisticRegression(maxIter=20, regParam=0.01, elasticNetParam=1.0), "svc": lambda: LinearSVC(maxIter=20, regParam=0.01)}
 TOKENIZERS = {"words": T.words, "grams": lambda c: T.grams(T.words(c)), "blanks": lambda c: F.split(c, " ")}
@@ -53,38 +55,33 @@ def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 class PerClass:
-    """One against the rest, each class with its own gram ratios as weights: ratios (label, gram, p, ratio), and a model per class."""
+    """One against the rest, each class with its own gram ratios as weights: ratios (label, gram, p, ratio), and a model per
+    class over vectors of `size` hashed grams."""
 
-    def __init__(self, ratios: DataFrame, models: dict[str, tuple[CountVectorizer, LogisticRegression]]):
-        self.ratios, self.models = ratios, models
+    def __init__(self, ratios: DataFrame, models: dict[str, LogisticRegressionModel], size: int):
+        self.ratios, self.models, self.size = ratios, models, size
 
     @staticmethod
-    def _vectors(corpus: DataFrame, ratios: DataFrame, label: str, size: int) -> DataFrame:
-        """Documents as hashed vectors of count times the label's ratio."""
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-
-        f = M.gram_features(corpus, ratios.where(F.col("label") == label)).groupBy("doc_id", F.pmod(F.xxhash64("gram"), F.lit(size)).cast("int").alias("i")).agg(F.sum("value").alias("v"))
-        f = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    def _vectors(corpus: DataFrame, ratios: DataFrame, size: int) -> DataFrame:
+        """(doc_id, y, features): documents as hashed vectors of count times the ratio in y, for each label y; of all labels in one pass."""
+        f = M.gram_features(corpus, ratios).groupBy("doc_id", "label", F.pmod(F.xxhash64("gram"), F.lit(size)).cast("int").alias("i")).agg(F.sum("value").alias("v"))
+        f = f.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
         vector = F.udf(lambda x: SparseVector(size, [r["i"] for r in x], [r["v"] for r in x]), VectorUDT())
-        return f.select("doc_id", vector("x").alias("features"))
+        return checkpointed(f.select("doc_id", F.col("label").alias("y"), vector("x").alias("features")))
 
     @classmethod
     def train(cls, corpus: DataFrame, size: int = 1 << 14) -> PerClass:
         """corpus (doc_id, label, text). The labels are few: one pass over them on the driver."""
-        ratios = M.gram_ratios(M.gram_counts(corpus)).cache()
-        models = {}
-        for (y,) in sorted(corpus.select("label").distinct().collect()):
-            v = cls._vectors(corpus, ratios, y, size).join(corpus.select("doc_id", (F.col("label") == y).cast("double").alias("label")), "doc_id")
-            models[y] = LogisticRegression(maxIter=10, regParam=0.1).fit(v)
-        out = cls(ratios, models)
-        out.size = size
-        return out
+        ratios = checkpointed(M.gram_ratios(M.gram_counts(corpus)))
+        v = cls._vectors(corpus, ratios, size).join(corpus.select("doc_id", F.col("label").alias("own")), "doc_id")
+        fit = lambda y: LogisticRegression(maxIter=10, regParam=0.1).fit(v.where(F.col("y") == y).select("features", (F.col("own") == y).cast("double").alias("label")))
+        return cls(ratios, {y: fit(y) for (y,) in sorted(corpus.select("label").where("label is not null").distinct().collect())}, size)
 
     def predict(self, corpus: DataFrame) -> DataFrame:
         """(doc_id, label, prob): the class of the highest decision value, the first on a tie, and its probability."""
-        each = None
+        v, each = self._vectors(corpus, self.ratios, self.size), None
         for y, m in self.models.items():
-            s = m.transform(self._vectors(corpus, self.ratios, y, self.size)).select("doc_id", F.lit(y).alias("label"), vector_to_array("rawPrediction")[1].alias("raw"), vector_to_array("probability")[1].alias("prob"))
+            s = m.transform(v.where(F.col("y") == y)).select("doc_id", F.col("y").alias("label"), vector_to_array("rawPrediction")[1].alias("raw"), vector_to_array("probability")[1].alias("prob"))
             each = s if each is None else each.unionByName(s)
         best = each.groupBy("doc_id").agg(F.min(F.struct((-F.col("raw")).alias("r"), "label", "prob")).alias("b"))
         return best.select("doc_id", "b.label", "b.prob")
@@ -103,8 +100,6 @@ def cotrain(df: DataFrame, rounds: int = 30, pool: int = 75, positive: int = 1,
 
     Each round fits a model per view, scores a pool of unknown rows, and labels at most `positive` and `negative` of those
     on which both agree, the surest by the sum of their probabilities; the pool is refilled."""
-    from .graph import checkpointed
-
     keep = checkpoint or checkpointed
     known, rest = keep(df.where("label >= 0")), keep(df.where("label < 0"))
     fit = lambda: [LogisticRegression(featuresCol=x, labelCol="label", maxIter=10, regParam=0.01).fit(known) for x in ("x1", "x2")]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from . import dom as D
 
+#: Tags that a subtree's listing leaves out, and tags that need no partner.
 _SKIP, _FREE = ("em", "b", "i", "br", "img"), {"em", "b", "br", "i", "font"}
 VARIANTS = ("right_siblings", "next_four", "same_tag")
 

@@ -19,6 +19,11 @@ def frequencies(toks: DataFrame) -> DataFrame:
     return toks.groupBy("tok", "doc_id").agg(F.count("*").alias("n")).groupBy("tok").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
+def rows(df: DataFrame) -> Column:
+    """Their number, as a scalar subquery."""
+    return df.agg(F.count("*")).scalar()
+
+
 def idf(df: Column, n: Column) -> Column:
     """ln(n div df + 0.01), whole division."""
     return F.log(F.floor(n / df) + 0.01)
@@ -32,18 +37,17 @@ def degrees(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(tok, tf, df, idf, tfidf, ldc), ldc 1 where a word has no pair."""
-    n = docs.select(F.count("*").alias("n"))
-    f = frequencies(tokens(docs)).crossJoin(F.broadcast(n))  # one row
+    f = frequencies(tokens(docs)).withColumn("n", rows(docs))
     f = f.withColumn("idf", idf(F.col("df"), F.col("n"))).withColumn("tfidf", F.col("tf") * F.col("idf"))
     return f.join(degrees(docs), "tok", "left").select("tok", "tf", "df", "idf", "tfidf", F.coalesce("ldc", F.lit(1)).alias("ldc"))
 
 
 def thresholds(stats: DataFrame, ratio: float) -> DataFrame:
-    """One row: the tfidf and ldc that stand at the ratio's place when sorted (tfidf falling, ldc rising)."""
-    n = stats.select(F.count("*").alias("v"))
-    place = F.floor(F.col("v") * ratio) + 1
-    top = lambda c, o: stats.groupBy(c).agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(o))).crossJoin(F.broadcast(n)).where(F.col("upto") >= F.least(place, F.col("v"))).orderBy(o).limit(1).select(F.col(c).alias(f"t_{c}"))
-    return top("tfidf", F.col("tfidf").desc()).crossJoin(top("ldc", F.col("ldc").asc()))
+    """One row: the tfidf and ldc that stand at the ratio's place when sorted (tfidf falling, ldc rising); null without words."""
+    v = stats.count()
+    place = min(v, int(v * ratio) + 1)
+    top = lambda c, o: stats.orderBy(o).offset(max(0, place - 1)).limit(1).agg(F.max(c)).scalar()
+    return stats.sparkSession.range(1).select(top("tfidf", F.col("tfidf").desc()).alias("t_tfidf"), top("ldc", F.col("ldc").asc()).alias("t_ldc"))
 
 
 def popular(stats: DataFrame, least_tfidf: float, most_ldc: int) -> DataFrame:
@@ -64,21 +68,29 @@ def top_keywords(docs: DataFrame, k: int = 50) -> DataFrame:
     """(doc_id, tok, weight, rank): each document's k words of the highest tf * idf, ties by word."""
     t = tokens(docs).groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
     df = t.groupBy("tok").agg(F.count("*").alias("df"))
-    w = t.join(df, "tok").crossJoin(F.broadcast(docs.select(F.count("*").alias("n"))))
+    w = t.join(df, "tok").withColumn("n", rows(docs))
     w = w.withColumn("weight", F.round(F.col("tf") * idf(F.col("df"), F.col("n")), 9))
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "tok"))).where(F.col("rank") <= k).select("doc_id", "tok", "weight", "rank")
 
 
+def _filled(found: DataFrame, key: str, count: str, labels: Column) -> DataFrame:
+    """found (key, label, count), one row for each -> (key, count, label, size, total): all labels for each key, 0 where none
+    was found, with the key's total. Labels (an array of label and size) are few: a key's counts fit in one row, and
+    one exchange on the key does it."""
+    one = found.groupBy(key).agg(F.collect_list(F.struct("label", count)).alias("x"), F.sum(count).alias("total"))
+    each = one.select(key, "x", "total", F.explode(labels).alias("l"))
+    own = F.get(F.filter("x", lambda v: v["label"].eqNullSafe(F.col("l.label"))), F.lit(0))[count]
+    return each.select(key, F.col("l.label").alias("label"), F.col("l.size").alias("size"), F.coalesce(own, F.lit(0).cast("long")).alias(count), "total")
+
+
 def class_counts(corpus: DataFrame) -> DataFrame:
     """(tok, label, a, b, c, d): documents of the label with the word, of others with it, of the label without, of others without. All labels for each word."""
     docs = corpus.groupBy("label").agg(F.count("*").alias("size"))
-    total = docs.agg(F.sum("size").alias("n"))
-    found = tokens(corpus).select("tok", "label", "doc_id").distinct().groupBy("tok", "label").agg(F.count("*").alias("a"))
-    # Labels are few: words times labels is what the result holds.
-    every = found.select("tok").distinct().crossJoin(F.broadcast(docs)).crossJoin(F.broadcast(total))
-    all_ = every.join(found, ["tok", "label"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
-    all_ = all_.withColumn("w", F.sum("a").over(Window.partitionBy("tok")))
-    return all_.select("tok", "label", "a", (F.col("w") - F.col("a")).alias("b"), (F.col("size") - F.col("a")).alias("c"), (F.col("n") - F.col("size") - F.col("w") + F.col("a")).alias("d"), "n")
+    labels = docs.agg(F.collect_list(F.struct("label", "size"))).scalar()
+    found = tokens(corpus).groupBy("tok", "doc_id", "label").agg(F.lit(1)).groupBy("tok", "label").agg(F.count("*").alias("a"))
+    all_ = _filled(found, "tok", "a", labels).withColumn("n", rows(corpus))
+    b = F.col("total") - F.col("a")
+    return all_.select("tok", "label", "a", b.alias("b"), (F.col("size") - F.col("a")).alias("c"), (F.col("n") - F.col("size") - b).alias("d"), "n")
 
 
 def chi_reduced(counts: DataFrame) -> DataFrame:
@@ -140,10 +152,9 @@ def gram_counts(corpus: DataFrame) -> DataFrame:
 
 def gram_ratios(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(label, gram, p, ratio): smoothed share of the gram in its label over the whole vocabulary, and ln(p / (1 - p))."""
-    labels = counts.select("label").distinct()
-    every = counts.select("gram").distinct().crossJoin(F.broadcast(labels)).join(counts, ["label", "gram"], "left").withColumn("m", F.coalesce("n", F.lit(0)) + alpha)
-    sums = every.groupBy("label").agg(F.sum("m").alias("s"))
-    p = every.join(F.broadcast(sums), "label").withColumn("p", F.col("m") / F.col("s"))
+    labels = counts.groupBy("label").agg(F.sum("n").alias("size")).agg(F.collect_list(F.struct("label", "size"))).scalar()
+    v = counts.groupBy("gram").agg(F.lit(1)).agg(F.count("*")).scalar()
+    p = _filled(counts, "gram", "n", labels).withColumn("p", (F.col("n") + alpha) / (F.col("size") + alpha * v))
     return p.select("label", "gram", "p", F.log(F.col("p") / (1 - F.col("p"))).alias("ratio"))
 
 

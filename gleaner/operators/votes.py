@@ -11,6 +11,7 @@ def ternary(label: Column, prob: Column, least: float = 0.7) -> Column:
     return F.when(prob < least, 0).when(label == "0", 1).otherwise(-1)
 
 
+#: The weights of a document's fields.
 FIELDS = {"title": 3, "headlines": 2, "meta": 2, "para": 1}
 
 

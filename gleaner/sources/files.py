@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 
+@F.pandas_udf(Ty.StringType())
+def _by_name(raw: pd.Series, encoding: pd.Series) -> pd.Series:
+    """Bytes by the encoding named, else GBK, else null: the JVM's function knows neither."""
+
+    def one(b: bytes | None, name: str | None) -> str | None:
+        for e in (name, "gb2312", "gbk") if b is not None else ():
+            try:
+                return bytes(b).decode(e or "gbk")
+            except (LookupError, UnicodeDecodeError):
+                pass
+
+    return pd.Series([one(b, e) for b, e in zip(raw, encoding)], dtype=object)
+
+
 def decode(raw: Column, encoding: Column | None = None) -> Column:
-    """Bytes as text: UTF-8 if they are, else by the encoding named, else GBK (which holds GB2312)."""
-    utf8 = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return F.coalesce(utf8, F.decode(raw, "GBK")) if encoding is None else F.coalesce(utf8, F.when(F.lower(encoding).isin("gbk", "gb2312", "gb18030"), F.decode(raw, "GBK")).when(F.lower(encoding) == "iso-8859-1", F.decode(raw, "ISO-8859-1")), F.decode(raw, "GBK"))
+    """Bytes as text: UTF-8 if they are, else by the encoding named, else GBK (which holds GB2312), else null. Only what is no
+    UTF-8 goes to Python."""
+    other = F.when(~F.is_valid_utf8(raw.cast("string")), raw)
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(_by_name(other, F.lit(None).cast("string") if encoding is None else encoding))
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
