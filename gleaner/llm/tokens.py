@@ -18,7 +18,7 @@ def load(vocabulary: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, processors
 
     if os.sep not in vocabulary:
         import public_tokenizers
@@ -27,6 +27,8 @@ def load(vocabulary: str):
     tok = Tokenizer.from_file(vocabulary)
     tok.no_truncation()
     tok.no_padding()
+    # Starts are then those of tokens, blanks included; nothing else is left of the post-processor without special tokens.
+    tok.post_processor = processors.ByteLevel(trim_offsets=False)
     return tok
 
 
@@ -73,17 +75,11 @@ def count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: in
             break
         total += hit[0]
         begin, low, end = int(right[1][hit[1]]), int(right[1][hit[1]]), right_end
-        left = tuple(x[hit[1]:] for x in right)
         # Encoded anew only if it must be widened: its own start is a proven boundary.
-        begin -= int(begin > 0 and text[begin - 1] == " " and left[0][0] != _first(tok, text, begin))
+        left = tuple(x[hit[1]:] for x in right)
     return total + len(left[0])
 
 
-def _first(tok, text: str, at: int) -> int:
-    """The token that would open the text from `at` on: it tells whether the blank before belongs to the token there."""
-    return tok.encode(text[at : at + MARGIN], add_special_tokens=False).ids[0]
-
-
 class Pieces:
     """Counts of texts by their pieces, which are parted where one blank stands between two characters that are not
     white space. There a byte-level pre-tokeniser always begins a pre-token and looks at nothing before it, and special
