@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import WORD, only, stored
 
 #: No source is repeated more often; words of a block at least; blocks of a mix at most; rows of a stretch of the permuted line.
-REPEATS, BLOCK, BLOCKS, STRETCH = 3, 1_024, 1 << 20, 4_096
+REPEATS, BLOCK, BLOCKS, STRETCH = 3, 1_024, 1 << 20, 512
 
 
 def _sizes(docs: DataFrame, id: str, text: str, source: str, seed: int, keep: tuple[str, ...]) -> DataFrame:
