@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import BASES, gram_hashes, mixed, only, pack, parts_for, sliding_min, span_hashes, spread, stored, text_bytes, unpack, word_bounds
 
-#: Words of a window and of the grams whose least is its minimiser (single words are too common to spread); bytes of packed strings in a bucket, of text cut at once and of distinct strings held by a task; buckets of a partition.
-WINDOW, GRAM, BUCKET, CUT, HELD, BUCKETS = 50, 4, 4 << 20, 1 << 20, 48 << 20, 4
+#: Words of a window and of the grams whose least is its minimiser (single words are too common to spread); bytes of packed strings in a bucket, of text cut at once and of distinct strings held by a task; buckets of a partition at least, and partitions at most.
+WINDOW, GRAM, BUCKET, CUT, HELD, BUCKETS, PARTS = 50, 4, 4 << 20, 1 << 20, 48 << 20, 4, 100_000
 LAST = 2**63 - 1
 
 
@@ -52,18 +53,17 @@ def _distinct(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     """(bucket, blob): of each batch, the distinct packed strings of a bucket with their smallest and largest ids."""
 
     def run(batches):
-        seen: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
+        seen: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
         held = 0
 
         def out():
             rows = []
-            for k, d in enumerate(seen):
-                if d:
-                    rows.append((k, pack(np.array([len(s) for s in d], np.int32), np.array(list(d.values()), np.int64), b"".join(d))))
-                    d.clear()
-                if len(rows) == 64 or rows and k == buckets - 1:
+            for n, (k, d) in enumerate(seen.items(), 1):
+                rows.append((k, pack(np.array([len(s) for s in d], np.int32), np.array(list(d.values()), np.int64), b"".join(d))))
+                if len(rows) == 64 or n == len(seen):
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
                     rows = []
+            seen.clear()
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -166,7 +166,8 @@ def firsts(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                         x[0], x[1] = min(x[0], lo), max(x[1], hi)
         yield from out(True)
 
-    parts = max(1, buckets // BUCKETS)
+    # Partitions are sorted by bucket (on disk where need be), and one bucket is held at a time.
+    parts = min(PARTS, max(1, buckets // BUCKETS))
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "k1 long, k2 long, runs binary")
 
 
@@ -183,7 +184,7 @@ def _places(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (id long, th long, t binary) -> (id, th, runs array<struct<a, b>>): word ranges that later copies cover."""
-    buckets = parts_for(3 * text_bytes(docs, "t"), BUCKET, BUCKETS)
+    buckets = parts_for(3 * text_bytes(docs, "t"), BUCKET, BUCKETS, 1 << 30)
     known = stored(firsts(docs, buckets, window), "firsts")
     met = _places(docs, window).join(known, ["k1", "k2"])
 
