@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, mixed, only, pack, parts_for, sliding_min, spread, stored, text_bytes, unpack
 from .substrings import LAST, string_key
 
-#: Bytes of a string that counts; of the gram that anchors it; of texts in a block, packed strings in a shard, anchors in a bucket.
-LENGTH, GRAM, TEXTS, SHARD, ANCHORS = 100, 32, 1 << 20, 4 << 20, 8 << 20
+#: Bytes of a string that counts; of the gram that anchors it; of texts in a block, packed strings in a shard, anchors in a bucket; partitions at most.
+LENGTH, GRAM, TEXTS, SHARD, ANCHORS, PARTS = 100, 32, 1 << 20, 4 << 20, 8 << 20, 100_000
 
 
 def byte_words(data: np.ndarray) -> np.ndarray:
@@ -258,10 +259,9 @@ def _repeated_anchors(blocks: DataFrame, buckets: int, length: int, gram: int) -
                 x = Anchored(blob.as_py(), length, gram)
                 to = (mixed(x.anchors) % np.uint64(buckets)).astype(np.int32)
                 turn = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[turn], np.arange(buckets + 1))
-                some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-                blobs = [pack(x.anchors[turn[cut[k] : cut[k + 1]]], x.twice[turn[cut[k] : cut[k + 1]]]) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
+                some, cut = np.unique(to[turn], return_index=True)
+                blobs = [pack(x.anchors[turn[a:z]], x.twice[turn[a:z]]) for a, z in zip(cut, [*cut[1:], len(turn)])]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
 
     def gather(batches):
         now, held = None, []
@@ -295,7 +295,7 @@ def _repeated_anchors(blocks: DataFrame, buckets: int, length: int, gram: int) -
             yield from out()
 
     dealt = blocks.mapInArrow(deal, "bucket int, block long, blob binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "block long, n long, vals binary")
+    return dealt.repartition(min(PARTS, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "block long, n long, vals binary")
 
 
 def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length: int, gram: int, shard: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
         for b in batches:
             for block, blob, lists in zip(*(c.to_pylist() for c in b.columns)):
                 x = Anchored(blob, length, gram)
-                seen: list[dict[bytes, list[int]]] = [{} for _ in range(buckets)]
+                seen: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
                 values = np.concatenate([np.frombuffer(v, np.uint64) for v in lists])
                 runs = np.isin(x.value, values)
                 to = iter((mixed(x.value[runs]) % np.uint64(buckets)).tolist())
@@ -319,7 +319,7 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
                         y[0], y[1] = place
                     elif place > (y[2], y[3]):
                         y[2], y[3] = place
-                some = [k for k in range(buckets) if seen[k]]
+                some = sorted(seen)
                 blobs = [pack(np.array([len(s) for s in seen[k]], np.int64), np.array(list(seen[k].values()), np.int64), b"".join(seen[k])) for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
 
@@ -397,7 +397,8 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
 
     lists = repeated.groupBy("block").agg(F.collect_list("vals").alias("lists"))
     dealt = blocks.join(lists, "block").select("block", "blob", "lists").mapInArrow(deal, "bucket int, block long, blob binary")
-    return dealt.repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "block long, blob binary")
+    # Partitions are sorted by bucket (on disk where need be), and one bucket is held at a time.
+    return dealt.repartition(min(PARTS, max(1, buckets // 2)), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "block long, blob binary")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text", keep_text: bool = False, shard: int = SHARD) -> DataFrame:
@@ -415,9 +416,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     d = only(docs, doc_id=id, t=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("t").cast("binary").alias("t"))
     blocks = stored(_blocks(d), "blocks")
     total = text_bytes(d, "t")
-    repeated = stored(_repeated_anchors(blocks, parts_for(total * 16 // (length - gram + 2), ANCHORS), length, gram), "anchors")
+    repeated = stored(_repeated_anchors(blocks, parts_for(total * 16 // (length - gram + 2), ANCHORS, most=1 << 30), length, gram), "anchors")
     some = repeated.agg(F.sum("n")).first()[0] or 0
-    places = stored(_first_places(blocks, repeated, parts_for(some * 2 * length, shard), length, gram, shard), "places")
+    places = stored(_first_places(blocks, repeated, parts_for(some * 2 * length, shard, most=1 << 30), length, gram, shard), "places")
     replies = places.groupBy("block").agg(F.collect_list("blob").alias("replies"))
     met = blocks.join(replies, "block", "left").select("blob", "replies")
 
