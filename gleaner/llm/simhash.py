@@ -13,7 +13,7 @@ from .common import only, parts_for, stored, without
 from .graph import components, local_roots
 
 #: Fingerprints that one partition of the index takes, and from which a block counts as hot.
-INDEX_ROWS = 200_000
+INDEX_ROWS = 50_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
