@@ -87,3 +87,9 @@ def tokens_with_ngrams(url: Column, n: int = 3, longest: int = 4) -> Column:
 def without_words(text: Column) -> Column:
     """Without runs of CJK characters, letters and digits."""
     return F.regexp_replace(text, r"[一-龥a-zA-Z0-9]+", "")
+
+
+def agent(url: Column, names: tuple[str, ...]) -> Column:
+    """One of the names for each URL, the same in every run."""
+    place = F.conv(F.substring(key(url), 1, 4), 16, 10).cast("int") % len(names)
+    return F.get(F.array(*map(F.lit, names)), place)

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, OneVsRest
 from pyspark.ml.clustering import LDA
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("prob", p)
 
 
+def cross_validated(pipeline: Pipeline, df: DataFrame, folds: int = 3, seed: int = 1) -> float:
+    """Mean area under the ROC curve over the folds."""
+    check = CrossValidator(estimator=pipeline, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed)
+    return check.fit(df).avgMetrics[0]
+
+
 class PerClass:
     """One against the rest, each class with its own gram ratios as weights: ratios (label, gram, p, ratio), and a model per
     class over vectors of `size` hashed grams."""

@@ -126,10 +126,10 @@ def top_ratio(scores: DataFrame, ratio: float = 0.5, by: str = "chi") -> DataFra
     return scores.orderBy(F.col(by).desc(), "tok").limit(n)
 
 
-def vocabulary(toks: DataFrame) -> DataFrame:
-    """(tok, id) from 1 on, frequent words first. Partitions of the sorted words are numbered by what stands before them, so
+def vocabulary(toks: DataFrame, least: int = 1) -> DataFrame:
+    """(tok, id) of the words that occur `least` times, from 1 on, frequent words first. Partitions of the sorted words are numbered by what stands before them, so
     no task holds them all."""
-    f = toks.groupBy("tok").agg(F.count("*").alias("n"))
+    f = toks.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ordered = f.orderBy(F.col("n").desc(), "tok").withColumn("part", F.spark_partition_id())
     inner = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(F.col("n").desc(), "tok")))
     before = ordered.groupBy("part").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -235,3 +235,45 @@ def one_against_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT md5(text) AS text_key, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
 def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.repeated(corpus(spark, sf_dir).select(F.md5(F.col("text").cast("binary")).alias("text_key")), "text_key")
+
+
+@query(f"WITH {_BASE} SELECT DISTINCT tok, 1.0::DOUBLE AS weight FROM t")
+def weight_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.weight_one(M.tokens(corpus(spark, sf_dir)))
+
+
+@query(f"WITH {_BASE} SELECT doc_id, tok, count(*)::DOUBLE AS tf, round(ln(count(*)), 9) AS logtf, 1.0::DOUBLE AS in_doc FROM t GROUP BY doc_id, tok")
+def local_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = M.tokens(corpus(spark, sf_dir)).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+    return t.select("doc_id", "tok", M.LOCAL["tf"](F.col("n")).alias("tf"), F.round(M.LOCAL["logtf"](F.col("n")), 9).alias("logtf"), M.LOCAL["binary"](F.col("n")).alias("in_doc"))
+
+
+@query(f"WITH {_BASE}, k AS (SELECT tok, label, count(DISTINCT doc_id) AS n FROM t GROUP BY tok, label) SELECT doc_id, t.tok, id FROM t JOIN (SELECT tok, row_number() OVER (ORDER BY sum(n) DESC, tok) AS id FROM k GROUP BY tok HAVING sum(n) >= 5) v ON t.tok = v.tok")
+def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the words that a dictionary of words of five documents or more keeps, with their numbers in it."""
+    t = M.tokens(corpus(spark, sf_dir))
+    return t.select("doc_id", "tok").join(M.vocabulary(t.select("tok", "doc_id").distinct(), 5), "tok").select("doc_id", "tok", "id")
+
+
+@query("SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS id, n FROM (SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang)")
+def class_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and their numbers: one row for each label."""
+    c = corpus(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    return c.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("id"), "n")
+
+
+@query("SELECT doc_id, prob FROM (SELECT doc_id, ('0x' || substr(md5('c:' || doc_id), 1, 4))::INT / 65535 AS prob FROM documents) WHERE prob > 0.8")
+def confident_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prob = F.conv(F.substring(F.md5(F.concat(F.lit("c:"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("int") / 65535
+    return S.confident(corpus(spark, sf_dir).select("doc_id", prob.alias("prob")))
+
+
+_AGENTS = ("gleaner/1 (linux)", "gleaner/1 (mac)", "gleaner/1 (windows)")
+_AGENT_LIST = ", ".join(f"'{a}'" for a in _AGENTS)
+
+
+@query(f"SELECT page_id, list_extract([{_AGENT_LIST}], ('0x' || substr(md5(url), 1, 4))::INT % 3 + 1) AS agent FROM pages")
+def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import urls as U
+
+    return table(spark, sf_dir, "pages").select("page_id", U.agent(F.col("url"), _AGENTS).alias("agent"))

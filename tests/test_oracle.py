@@ -24,6 +24,7 @@ ROWS_ONLY = {
     "hashed_pipeline": ["doc_id", "label", "prediction", "prob"],
     "nb_ovr_classify": ["doc_id", "label", "prob"],
     "one_vs_rest_svc": ["doc_id", "label", "prediction"],
+    "cross_validation": ["method", "auc"],
     "lda_topics": ["topic", "rank", "term", "weight"],
     "cotraining": ["id", "prob"],
     "rls_fit": ["event_type", "n", "w"],
