@@ -103,7 +103,8 @@ def best(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, floor: np.nda
 
 def survivors(q: np.ndarray, norm: float, theta: float, m: np.ndarray, norms: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Indices within a bucket (by falling length) that may reach theta with q: by length, and if the bucket's local
-    cosine threshold is high, by the ranges that it leaves to the FOCUS largest coordinates of the unit vectors."""
+    cosine threshold t is high, by the ranges that it leaves to the FOCUS largest coordinates of the unit vectors: of
+    angles to an axis, those within acos(t) of the query's, so the axis itself is within where the query is that near."""
     reach = np.searchsorted(-norms, -(theta / norm) * (1 - 1e-9), side="right") if theta > 0 else len(norms)
     t = theta / (norm * norms[0]) * (1 - 1e-9) if theta > 0 and norms[0] else -1.0
     if t < COORDINATES_FROM or not reach:
@@ -111,9 +112,11 @@ def survivors(q: np.ndarray, norm: float, theta: float, m: np.ndarray, norms: np
     t, live = min(t, 1.0), np.arange(reach)
     for f in np.argsort(-np.abs(q[: m.shape[1]]))[:FOCUS]:
         x = q[f] / norm
-        wide = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
+        # A share next to 1 is known to 1e-16, so the root to 1e-8.
+        wide = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-7
+        least, most = -np.inf if x <= -t else x * t - wide, np.inf if x >= t else x * t + wide
         u = unit[live, f]
-        live = live[(u >= x * t - wide) & (u <= x * t + wide)]
+        live = live[(u >= least) & (u <= most)]
     return live
 
 

@@ -41,6 +41,37 @@ def test_brute_force(spark, monkeypatch, bucket):
     assert got(topk.search(df.repartition(4), F.col("vec_id") % 5 == 0)) == brute(rows, lambda i: i % 5 == 0)
 
 
+@pytest.mark.parametrize("lengths", [[1.0], [0.5, 1.0, 1.1, 4.0]])
+def test_dominant_coordinate(spark, monkeypatch, lengths):
+    """Tight groups about an axis, on both sides of it: the axis itself, nearer and farther vectors, copies of queries."""
+    monkeypatch.setattr(topk, "BUCKET", 16)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(240):
+        v = rng.normal(size=8) * rng.choice([0.0, 0.05, 0.2])
+        v[k % 2] += rng.choice([-1, 1]) if k % 3 else 1
+        rows.append((k, [float(x) for x in v / np.linalg.norm(v) * rng.choice(lengths)]))
+    rows += [(300 + k, rows[5 * k][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert got(topk.search(df.repartition(4), F.col("vec_id") % 5 == 0)) == brute(rows, lambda i: i % 5 == 0)
+
+
+def test_survivors_hold_all_that_reach():
+    """Queries nearer to an axis than the local threshold, and farther."""
+    rng = np.random.default_rng(6)
+    for x in (-0.95, -0.9, -0.75, 0.6, 0.75, 0.9, 0.95, 1.0):
+        m = rng.normal(size=(400, 4)) * rng.choice([0.0, 0.1, 0.5], size=(400, 1)) + np.array([np.sign(x), 0, 0, 0])
+        m = np.floor(m / np.linalg.norm(m, axis=1)[:, None] * 256).astype(np.int64)
+        q = np.floor(256 * np.array([x, np.sqrt(max(0, 1 - x * x)), 0, 0])).astype(np.int64)
+        m = np.concatenate([m, q[None, :]])
+        norms = np.linalg.norm(m.astype(float), axis=1)
+        m, norms = m[np.argsort(-norms)], np.sort(norms)[::-1]
+        norm, s = float(np.linalg.norm(q.astype(float))), m @ q
+        for theta in (int(t * norm * norms[0]) for t in (0.71, 0.8, 0.92)):
+            live = topk.survivors(q, norm, theta, m, norms, m / norms[:, None])
+            assert set(np.flatnonzero(s >= theta)) <= set(live), (x, theta)
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [-3.0, 0.5])], "vec_id long, embedding array<float>")
     assert got(topk.search(df, F.col("vec_id") % 50 == 0)) == brute([tuple(r) for r in df.collect()], lambda i: i % 50 == 0)
