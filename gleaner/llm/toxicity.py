@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from .common import only, span_hashes, spread, word_bounds
 from .decontamination import words_line
 
-#: Words of a window and from one window to the next; units; numbers of an embedding.
-WIDTH, STRIDE, UNITS, DIM = 32, 28, 8, 4
+#: Words of a window, which starts at every word that has as many behind it; units; numbers of an embedding.
+WIDTH, UNITS, DIM = 32, 8, 4
 #: Prefixes of a word, in bytes, that are its character inputs.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: The bounded sample to fit on: rows of either label, bytes of a text that may be in it. Documents that must hold an input for it to be learnt; passes.
 SAMPLE, SAMPLE_BYTES, LEAST, PASSES = 1_500, 1 << 16, 3, 10
-_GROUP, _CHUNK = 1 << 20, 4_096
+#: Bytes of texts and words read at a time; windows of a step.
+_GROUP, _WORDS, _CHUNK = 1 << 20, 1 << 20, 2_048
 
 
 class Inputs:
@@ -57,15 +58,27 @@ class Inputs:
             out.seq = np.concatenate([place[x.seq + a].astype(np.int32) for x, a in zip(parts, starts)])
         return out
 
+    def part(self, first: int, last: int) -> Inputs:
+        """Texts first to last - 1."""
+        out, ends = Inputs([]), np.append(0, np.cumsum(self.sizes))
+        out.words, out.chars, out.sizes, out.seq = self.words, self.chars, self.sizes[first:last], self.seq[ends[first] : ends[last]]
+        return out
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each window's first word in seq, words from there to the text's end, text of each window): a window
+        at every word that WIDTH - 1 follow. A shorter text has one window, and one without words a window of nothing."""
+        owner, number = spread(np.maximum(1, self.sizes - WIDTH + 1))
+        return (np.cumsum(self.sizes) - self.sizes)[owner] + number, self.sizes[owner] - number, owner
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places of each window's words in seq, -1 behind the text's end; text of each window). A text without words has one window, of nothing."""
-        n = np.maximum(1, -(-(self.sizes - WIDTH) // STRIDE) + 1)
-        owner, number = spread(n)
-        at = number * STRIDE
-        begin = (np.cumsum(self.sizes) - self.sizes)[owner] + at
-        left = self.sizes[owner] - at
-        step = np.arange(WIDTH)
-        return np.where(step < left[:, None], begin[:, None] + step, -1), owner
+        """(places of each window's words in seq, -1 behind the text's end; text of each window)."""
+        begin, left, owner = self.starts()
+        return places(begin, left), owner
+
+
+def places(begin: np.ndarray, left: np.ndarray) -> np.ndarray:
+    step = np.arange(WIDTH)
+    return np.where(step < left[:, None], begin[:, None] + step, -1)
 
 
 def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -90,44 +103,68 @@ class Model:
         return np.concatenate([self.p["word"][w], (self.p["char"][c] * (c > 0)[..., None]).sum(-2) / n], -1).astype(np.float32)
 
     def logits(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
-        """Each window's logit, and its text."""
-        at, owner = x.windows()
+        """Each window's logit, and its text. In long texts a step's words are those of the step before, moved by one;
+        windows that reach into the next text are dropped."""
+        begin, left, owner = x.starts()
         v = self.inputs(*self.features(x))
         v = np.concatenate([v, np.zeros((1, v.shape[1]), np.float32)])
-        tables = [(v @ self.p[f"w{d}"] + self.p[f"b{d}"]).astype(np.float32) for d in "fb"]
-        seq = np.append(x.seq, len(v) - 1)[at]
-        out = np.empty(len(at), np.float32)
-        half, two = np.float32(0.5), 2 * UNITS
-        for lo in range(0, len(at), _CHUNK):
-            s, live = np.ascontiguousarray(seq[lo : lo + _CHUNK].T), np.ascontiguousarray(at[lo : lo + _CHUNK].T >= 0)
-            whole = live.all(1)
-            score, value = np.zeros((WIDTH, s.shape[1]), np.float32), np.zeros((WIDTH, s.shape[1]), np.float32)
-            for d, table in zip("fb", tables):
-                u, h = np.ascontiguousarray(self.p[f"u{d}"].T), np.zeros((UNITS, s.shape[1]), np.float32)
-                heads = np.stack([self.p[f"a{d}"], self.p[f"o{d}"]])
-                for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
-                    gx, gh = np.ascontiguousarray(table.take(s[t], 0).T), u @ h
-                    zr = gx[:two] + gh[:two]
-                    zr *= half
-                    np.tanh(zr, out=zr)
-                    zr *= half
-                    zr += half
-                    n = zr[UNITS:] * gh[two:]
-                    n += gx[two:]
-                    np.tanh(n, out=n)
-                    new = h - n
-                    new *= zr[:UNITS]
-                    new += n
-                    h = new if whole[t] else np.where(live[t], new, h)
-                    got = heads @ h
-                    score[t] += got[0]
-                    value[t] += got[1]
-            score = np.where(live, score, -1e9)
-            weight = np.exp(score - score.max(0)) * live
-            weight /= np.maximum(weight.sum(0), 1e-9)
-            out[lo : lo + _CHUNK] = (value * weight).sum(0) + self.p["o"]
+        # A gate is 1 / (1 + e^-g) = (1 + tanh(g / 2)) / 2.
+        half = np.where(np.arange(3 * UNITS) < 2 * UNITS, 0.5, 1).astype(np.float32)
+        tables = {d: ((v @ self.p[f"w{d}"] + self.p[f"b{d}"]) * half).astype(np.float32) for d in "fb"}
+        heads = {d: np.concatenate([(self.p[f"u{d}"] * half).T, [self.p[f"a{d}"], self.p[f"o{d}"]]]).astype(np.float32) for d in "fb"}
+        out = np.empty(len(begin), np.float32)
+        long = x.sizes >= 2 * WIDTH
+        each = np.flatnonzero(~long[owner])
+        for lo in range(0, len(each), _CHUNK):
+            some = each[lo : lo + _CHUNK]
+            at = places(begin[some], left[some]).T
+            s = np.append(x.seq, len(v) - 1)[at]
+            out[some] = self._pooled(lambda d, t: np.ascontiguousarray(tables[d].take(s[t], 0).T), heads, at.shape[1], at >= 0)
+        if long.any():
+            words = np.append(x.seq[np.repeat(long, x.sizes)], np.full(WIDTH - 1, len(v) - 1))
+            n = len(words) - WIDTH + 1
+            got = np.empty(n, np.float32)
+            for lo in range(0, n, _CHUNK):
+                size = min(_CHUNK, n - lo)
+                s = words[lo : lo + size + WIDTH - 1]
+                g = {d: np.ascontiguousarray(tables[d].take(s, 0).T) for d in "fb"}
+                got[lo : lo + size] = self._pooled(lambda d, t: g[d][:, t : t + size], heads, size)  # noqa: B023
+            # What shorter texts before it hold is not in words.
+            shift = np.cumsum(np.where(long, 0, x.sizes))
+            mine = long[owner]
+            out[mine] = got[begin[mine] - shift[owner[mine]]]
         return out, owner
 
+    def _pooled(self, inputs, heads: dict[str, np.ndarray], size: int, live: np.ndarray | None = None) -> np.ndarray:
+        """Logits of `size` windows: inputs(d, t) are those of step t in direction d, live says which steps have words."""
+        score, value = np.zeros((WIDTH, size), np.float32), np.zeros((WIDTH, size), np.float32)
+        half, two, whole = np.float32(0.5), 2 * UNITS, None if live is None else live.all(1)
+        for d in "fb":
+            h, got = np.zeros((UNITS, size), np.float32), np.zeros((len(heads[d]), size), np.float32)
+            for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
+                gx = inputs(d, t)
+                zr = gx[:two] + got[:two]
+                np.tanh(zr, out=zr)
+                zr *= half
+                zr += half
+                n = zr[UNITS:] * got[two : two + UNITS]
+                n += gx[two:]
+                np.tanh(n, out=n)
+                new = h - n
+                new *= zr[:UNITS]
+                new += n
+                h = new if live is None or whole[t] else np.where(live[t], new, h)
+                got = heads[d] @ h
+                score[t] += got[-2]
+                value[t] += got[-1]
+        if live is not None:
+            score = np.where(live, score, -1e9)
+        weight = np.exp(score - score.max(0))
+        if live is not None:
+            weight *= live
+        weight /= np.maximum(weight.sum(0), 1e-9)
+        return (value * weight).sum(0) + self.p["o"]
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """A text's score is that of its most toxic window."""
         out, at = np.empty(len(texts)), 0
@@ -137,8 +174,7 @@ class Model:
                 held += len(texts[at] or b"")
                 at += 1
             logit, owner = self.logits(Inputs(texts[first:at]))
-            top = np.full(at - first, -np.inf)
-            np.maximum.at(top, owner, logit)
+            top = np.maximum.reduceat(logit, np.searchsorted(owner, np.arange(at - first)))
             out[first:at] = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
         return out
 
@@ -212,6 +248,23 @@ def _odds(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
     return u[keep], odds[keep]
 
 
+def _highest(score: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Each text's first window of the highest score."""
+    top = np.maximum.reduceat(score, np.searchsorted(owner, np.arange(owner[-1] + 1)))
+    hit = np.flatnonzero(score == top[owner])
+    return hit[np.unique(owner[hit], return_index=True)[1]]
+
+
+def _likeliest(x: Inputs, first: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Scores of windows by one word each, at a place within them that is drawn by text: first, by word of x.words."""
+    count = np.maximum(1, x.sizes - WIDTH + 1)
+    owner, at = spread(x.sizes)
+    window = np.clip(at - rng.integers(0, WIDTH, len(count))[owner], 0, count[owner] - 1)
+    score = np.full(count.sum(), -9.0)
+    np.maximum.at(score, (np.cumsum(count) - count)[owner] + window, first[x.seq])
+    return score
+
+
 def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes: int = PASSES) -> Model:
     """Fits the network on texts and their labels (0 or 1).
 
@@ -239,24 +292,34 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
         p["o"][:] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         p["of"][:] = p["ob"][:] = 0
         return m
-    at, owner = x.windows()
     w, c = m.features(x)
     w, c, seq = np.append(w, 0), np.concatenate([c, np.zeros((1, len(PREFIXES)), np.int64)]), np.append(x.seq, len(w)).astype(np.int32)
     first = np.append(0, p["word"][1:, 0])[w] + np.append(0, p["char"][1:, 0])[c].max(1)
-    guess = np.where(at >= 0, first[seq[at]], -9).max(1)
+    ends = np.cumsum(x.sizes)
+    groups = [0, *(np.flatnonzero(np.diff(ends // _WORDS)) + 1), len(texts)]
     clean = np.flatnonzero(y[doc] == 0)
     if not len(clean):
         clean = np.array([-1])
     mean, var, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for k in range(passes):
-        score = guess if k < 3 else m.logits(x)[0]
-        order = np.lexsort((-score, owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        # Of clean texts, the second window is clean as well.
-        chosen = order[(rank == 0) | (rank == 1) & (y[owner[order]] == 0)]
+        begin, left, owner = [], [], []
+        for lo, hi in zip(groups, groups[1:]):
+            part = x.part(lo, hi)
+            at, rest, who = part.starts()
+            score = _likeliest(part, first, rng) if k < 3 else m.logits(part)[0]
+            best = _highest(score, who)
+            # Of clean texts, the highest window that shares no word with the first is clean as well.
+            score = np.where((np.abs(at - at[best][who]) >= WIDTH) & (y[lo + who] == 0), score, -np.inf)
+            second = _highest(score, who)
+            some = np.sort(np.concatenate([best, second[score[second] > -np.inf]]))
+            begin.append(at[some] + (ends - x.sizes)[lo])
+            left.append(rest[some])
+            owner.append(lo + who[some])
+        begin, left, owner = np.concatenate(begin), np.concatenate(left), np.concatenate(owner)
+        chosen = np.arange(len(begin))
         for lo in range(0, len(chosen), 128):
             some = chosen[rng.integers(0, len(chosen), 128)]
-            a = at[some]
+            a = places(begin[some], left[some])
             # Windows of one clean word over and over are clean too.
             a = np.concatenate([a, np.repeat(clean[rng.integers(0, len(clean), 16)][:, None], WIDTH, 1)])
             g = _step(p, m, w[seq[a]], c[seq[a]], a >= 0, np.append(y[owner[some]], np.zeros(16)))

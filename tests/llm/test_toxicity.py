@@ -88,3 +88,51 @@ def test_few_labels_and_no_rows(spark, labels):
     docs, y = odd.documents(spark, clashing=False), spark.createDataFrame(labels, "doc_id long, toxic int")
     assert toxicity.scored(docs, y).count() == docs.count()
     assert toxicity.scored(odd.empty(spark), y).count() == toxicity.clean(odd.empty(spark), y).count() == 0
+
+
+def _planted(seed=8):
+    """Clean texts of common words, and toxic ones that hold a passage of rare ones; the words of both."""
+    rng = np.random.default_rng(seed)
+    common, rare = [f"plain{k:03}" for k in range(300)], [f"vile{k:02}" for k in range(24)]
+    say = lambda words, n: [str(w) for w in rng.choice(words, n)]
+    texts, y = [], []
+    for k in range(400):
+        toxic, text = k % 2, say(common, int(rng.integers(10, 220)))
+        # Words of the passages stand alone in clean texts, so that one does not tell.
+        for _ in range(3):
+            text.insert(int(rng.integers(0, len(text))), say(rare, 1)[0])
+        if toxic:
+            at = int(rng.integers(0, len(text)))
+            text[at:at] = say(rare, int(rng.integers(6, 17)))
+        texts.append(" ".join(text).encode())
+        y.append(toxic)
+    return texts, np.array(y), say, common, rare
+
+
+def test_a_passage_counts_the_same_at_every_offset():
+    texts, y, say, common, rare = _planted()
+    m = toxicity.train(texts, y)
+    around = say(common, 130)
+    assert m.scores([" ".join(around).encode()])[0] < 0.5
+    for n in (6, 8, 11, 16):
+        passage = say(rare, n)
+        found = m.scores([" ".join(around[:k] + passage + around[k:]).encode() for k in range(len(around) + 1)])
+        assert (found >= 0.5).all(), (n, np.flatnonzero(found < 0.5))
+        # Among equal words all places are the same.
+        same = m.scores([" ".join([common[0]] * k + passage + [common[0]] * (130 - k)).encode() for k in range(32, 99)])
+        assert np.ptp(same) < 1e-5, n
+
+
+def test_every_window_is_scored_alone():
+    """All windows of short, long and empty texts, against each as a text of its own."""
+    texts, y, say, common, rare = _planted()
+    m = toxicity.train(texts, y, passes=2)
+    lengths = [0, 1, 31, 32, 33, 63, 64, 65, 0, 150, 2, 2300]
+    words = [say(common + rare, n) for n in lengths]
+    own = [[w[k : k + 32] for k in range(max(1, len(w) - 31))] for w in words]
+    logit, owner = m.logits(toxicity.Inputs([" ".join(w).encode() for w in words]))
+    assert owner.tolist() == [k for k, w in enumerate(own) for _ in w]
+    alone = m.logits(toxicity.Inputs([" ".join(w).encode() for some in own for w in some]))[0]
+    assert np.abs(logit - alone).max() < 1e-4
+    best = m.scores([" ".join(w).encode() for w in words])
+    assert np.allclose(best, [1 / (1 + np.exp(-logit[owner == k].max())) for k in range(len(words))], atol=1e-5)
