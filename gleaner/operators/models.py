@@ -20,6 +20,8 @@ from . import terms as M
 from .graph import checkpointed
 
 METHODS = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "logistic_l1": lambda: LogisticRegression(maxIter=20, regParam=0.01, elasticNetParam=1.0), "svc": lambda: LinearSVC(maxIter=20, regParam=0.01)}
+#: No vocabulary is cut: CountVectorizer counts the terms of two or more documents and takes them all.
+ALL = (1 << 31) - 1
 TOKENIZERS = {"words": T.words, "grams": lambda c: T.grams(T.words(c)), "blanks": lambda c: F.split(c, " ")}
 
 
@@ -27,7 +29,7 @@ def with_tokens(df: DataFrame, text: str = "text", tokenizer: str | None = "word
     return df.withColumn("tokens", (custom or TOKENIZERS[tokenizer])(F.coalesce(F.col(text), F.lit(""))))
 
 
-def binary(ratio: float = 0.4, vocabulary: int = 1 << 14, method: str = "logistic", estimator=None, select: bool = True) -> Pipeline:
+def binary(ratio: float = 0.4, vocabulary: int = ALL, method: str = "logistic", estimator=None, select: bool = True) -> Pipeline:
     """tokens -> counts -> the share `ratio` of the terms by chi-square -> idf -> a linear model of column label."""
     stages = [CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary, minDF=2)]
     last = "counts"
@@ -97,7 +99,7 @@ class PerClass:
 
 def topics(df: DataFrame, k: int = 20, iterations: int = 50, words: int = 10, seed: int = 1) -> DataFrame:
     """(topic, rank, term, weight) of tokens."""
-    v = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=1 << 13, minDF=2).fit(df)
+    v = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=ALL, minDF=2).fit(df)
     t = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(v.transform(df)).describeTopics(words)
     vocab = F.array(*map(F.lit, v.vocabulary))
     return t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x")).select("topic", "rank", F.get(vocab, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"))
