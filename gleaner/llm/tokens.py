@@ -50,6 +50,9 @@ def count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: in
     on the second encoding is the whole text's, and up to it the first is. Without such a place the overlap is
     doubled, by encoding the first chunk further, until there is one or the text ends."""
     n = len(text)
+    # No special string may reach across the margin.
+    margin = max([margin, *(2 * len(t.content) for t in tok.get_added_tokens_decoder().values())])
+    overlap = max(overlap, 4 * margin)
     if n <= chunk:
         return len(tok.encode(text, add_special_tokens=False).ids)
     total, begin, end = 0, 0, chunk
@@ -83,52 +86,84 @@ def count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: in
 class Pieces:
     """Counts of texts by their pieces, which are parted where one blank stands between two characters that are not
     white space. There a byte-level pre-tokeniser always begins a pre-token and looks at nothing before it, and special
-    strings hold no blank, so a text's count is the sum over its pieces, and equal pieces are encoded once for as long
-    as the table of them (KNOWN pieces at most) holds."""
+    strings hold no blank, so a text's count is the sum over its pieces. Equal pieces are encoded once for as long as
+    one of two tables of them (KNOWN pieces each at most) holds: pieces still met move from the older to the newer."""
 
-    KNOWN, LONGEST = 300_000, 64
+    KNOWN, LONGEST, JOINED = 400_000, 64, 2_000
 
     def __init__(self, tok):
         import json
         import re
 
-        self.tok, self.known = tok, {}
+        self.tok, self.known, self.older = tok, {}, {}
         self.parted = re.compile(r"(?<=\S) (?=\S)").split
         spec = json.loads(tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        # Which tokens begin with a blank, as its byte is written.
+        names = tok.get_vocab(with_added_tokens=False)
+        self.blank = np.zeros(max([*tok.get_vocab().values(), 0]) + 1, bool)
+        self.blank[[i for name, i in names.items() if name.startswith("\u0120")]] = True
 
     def encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def each(self, pieces: list[str]):
+        """(piece, count) behind a blank. Pieces without white space at their end or blanks are encoded many at a time: of
+        their tokens just the first begins with a blank."""
+        plain = [p for p in pieces if " " not in p and not p[-1].isspace()]
+        rest = [p for p in pieces if " " in p or p[-1].isspace()]
+        lines = [plain[lo : lo + self.JOINED] for lo in range(0, len(plain), self.JOINED)]
+        for some, e in zip(lines, self.tok.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids)
+            first = np.flatnonzero(self.blank[ids])
+            if len(first) == len(some):
+                yield from zip(some, np.diff(np.append(first, len(ids))).tolist())
+            else:
+                rest += some
+        yield from zip(rest, self.encoded([" " + p for p in rest]))
+
     def counts(self, texts: list[str]) -> list[int]:
         if not self.apart:
             return self.encoded(texts)
-        heads, tails, rare = [], [], []
+        heads, tails = [], []
         for t in texts:
             head, *tail = self.parted(t)
             heads.append(head)
             tails.append(tail)
         if len(self.known) > self.KNOWN:
-            self.known.clear()
-        known = self.known
-        for tail in tails:
-            rare += [p for p in tail if p not in known]
-        rare = list(set(rare))
-        known.update(zip(rare, self.encoded([" " + p for p in rare])))
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*tails).difference(known)
+        met = new.intersection(older)
+        known.update((p, older[p]) for p in met)
+        new -= met
+        known.update(self.each(list(new)))
         out = [n + sum(map(known.__getitem__, tail)) for n, tail in zip(self.encoded(heads), tails)]
-        for p in rare:
+        for p in new:
             if len(p) > self.LONGEST:
                 del known[p]
         return out
 
 
+_HELD: dict[str, Pieces] = {}
+
+
+def shared(vocabulary: str) -> Pieces:
+    """The tokenizer of a worker process, which its tasks share with the pieces it knows."""
+    if vocabulary not in _HELD:
+        _HELD[vocabulary] = Pieces(load(vocabulary))
+    return _HELD[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row. Null and empty texts have no tokens; repeated rows stay."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for each row. Null and empty texts have no tokens; repeated rows and null or
+    repeated ids stay rows of their own; texts longer than `chunk` are encoded in overlapping chunks; an empty table
+    gives an empty result."""
 
     def run(batches):
-        tok = load(vocabulary)
-        pieces = Pieces(tok)
+        pieces = shared(vocabulary)
+        tok = pieces.tok
         for b in batches:
             texts = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             sizes = [len(t or b"") for t in b.column(1).to_pylist()]
