@@ -70,3 +70,21 @@ def test_long_chain_and_break(spark, tmp_path):
 
 def test_shared_dir(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_many_magics_take_linear_time():
+    import time
+
+    for noise in (warc.MAGIC * 100_000, b"WARC/1.1\r\nA: b\r\n" * 60_000, (warc.MAGIC + b"Content-Length: 7\r\n") * 35_000, (warc.MAGIC + b"\r\n") * 80_000):
+        data = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(noise), noise) * 2
+        start = time.process_time()
+        at, body, after = warc.candidates(data)
+        k = np.flatnonzero(warc.chain(at, after, len(data)))
+        assert time.process_time() - start < 1.5
+        assert len(k) == 2 and all(data[body[j] : after[j] - 4] == noise for j in k)
+
+
+def test_repeated_digests_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "REPEATED", 0)
+    df = spark.createDataFrame(rows(), PAGES).repartition(2)
+    assert sorted((tuple(r) for r in warc.round_trip(df).select(COLUMNS).collect()), key=repr) == brute(rows())
