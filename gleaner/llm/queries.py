@@ -85,20 +85,53 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op6_mixing": """
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, source_size * 3 AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+w AS (SELECT *, source_size * 3 AS cap, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, rank % 3 + 1 AS weight FROM s),
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 v AS (SELECT first(level ORDER BY cap / weight, source NULLS LAST) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT source, source_size, least(v.level * weight, CAST(cap AS DOUBLE)) AS target FROM w, v),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
-  CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, take - pos)) + greatest(0, least(size, take - source_size - pos))
-  + greatest(0, least(size, take - 2 * source_size - pos)) AS BIGINT) AS taken FROM p
+-- Words of a block, and each source's blocks, whole passes, and words and blocks of the pass behind them.
+z AS (SELECT CAST(greatest(1024, ceil(sum(source_size) / 1048576)) AS BIGINT) AS block FROM s),
+t AS (SELECT source, source_size, rank, block, least(v.level * weight, CAST(cap AS DOUBLE)) AS target, CAST(round(least(v.level * weight, CAST(cap AS DOUBLE))) AS BIGINT) AS take,
+  (source_size + block - 1) // block AS n, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS whole, take - whole * source_size AS rest, (rest + block - 1) // block AS part,
+  whole * n + part AS q FROM w, v, z),
+-- The splitting tree over 64 shards: a row deals one source of a node, or parts the node.
+quotas AS (SELECT list(q ORDER BY rank) AS q, CAST(sum(q) AS BIGINT) AS m FROM t),
+tree AS (
+  SELECT 0 AS lo, 64 AS hi, q, m, 0 AS i, m AS r, (m * 32) // 64 AS c, CAST([] AS BIGINT[]) AS x FROM quotas
+  UNION ALL
+  SELECT CASE WHEN side = 1 THEN mid ELSE lo END, CASE WHEN side = 0 THEN mid ELSE hi END, nq, m,
+    CASE WHEN side = 2 THEN i + 1 ELSE 0 END, CASE WHEN side = 2 THEN r - q[i + 1] ELSE CAST(list_sum(nq) AS BIGINT) END,
+    CASE WHEN side = 2 THEN c - h WHEN side = 0 THEN (m * ((lo + mid) // 2)) // 64 - (m * lo) // 64 ELSE (m * ((mid + hi) // 2)) // 64 - (m * mid) // 64 END,
+    CASE WHEN side = 2 THEN list_append(x, h) ELSE CAST([] AS BIGINT[]) END
+  FROM (
+    SELECT *, (lo + hi) // 2 AS mid, CASE side WHEN 0 THEN x WHEN 1 THEN list_transform(q, lambda y, j: y - x[j]) ELSE q END AS nq,
+      CASE WHEN side < 2 OR r = 0 THEN 0 ELSE a + least(b - a, len(list_filter(range(1, b - a + 2), lambda j: list_sum(list_slice(ws, 1, j)) < u * list_sum(ws)))) END AS h
+    FROM (
+      SELECT *, list_transform(range(a, b + 1), lambda k: exp(lgamma(g + 1) - lgamma(k + 1) - lgamma(g - k + 1) + lgamma(r - g + 1) - lgamma(c - k + 1) - lgamma(r - g - c + k + 1)
+        - lgamma(r + 1) + lgamma(c + 1) + lgamma(r - c + 1))) AS ws
+      FROM (
+        SELECT *, greatest(greatest(0, c + g - r), mode - wide) AS a, least(least(g, c), mode + wide) AS b FROM (
+          SELECT *, CAST(floor((c + 1.0::DOUBLE) * (g + 1) / (r + 2)) AS BIGINT) AS mode,
+            CASE WHEN r = 0 THEN 0 ELSE CAST(ceil(12 * sqrt(greatest(0, c::DOUBLE * g / r * (1 - g::DOUBLE / r) * (r - c) / greatest(1, r - 1)))) AS BIGINT) + 12 END AS wide,
+            (CAST('0x' || substr(md5(concat_ws(':', 7, lo, hi, i)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u
+          FROM (SELECT *, CASE WHEN side = 2 THEN q[i + 1] ELSE 0 END AS g FROM tree, (VALUES (0), (1), (2)) AS sides(side) WHERE hi - lo > 1 AND (side = 2) = (i < len(q)))))))
+),
+x AS (SELECT lo AS shard, unnest(range(len(q))) AS rank, unnest(q) AS n FROM tree WHERE hi - lo = 1),
+y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY rank ORDER BY shard) AS BIGINT) AS upto, upto - n AS since FROM x),
+runs AS (SELECT t.source, greatest(since - whole * t.n, 0) AS nth, nth + (t.n - part) * shard // 64 AS lo, lo + greatest(upto - whole * t.n, 0) - nth AS hi FROM y JOIN t USING (rank)),
+p AS (SELECT d.*, t.* EXCLUDE (source),
+  CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT rid, source, b, n, whole, part, rest, block, pos, size,
+  CASE WHEN b = n - 1 THEN b ELSE (b * CASE WHEN (n - 1) % 1000003 = 0 THEN 999983 ELSE 1000003 END + 7 + whole) % (n - 1) END AS place
+  FROM (SELECT *, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS b FROM p WHERE size > 0 AND rest > 0)),
+f AS (SELECT rid, CAST(sum(greatest(0, least(b * block + CASE WHEN place - lo + nth = part - 1 THEN rest - (part - 1) * block ELSE block END, pos + size) - greatest(b * block, pos))) AS BIGINT) AS n
+  FROM o JOIN runs ON o.source IS NOT DISTINCT FROM runs.source AND place >= lo AND place < hi GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(whole * size + coalesce(f.n, 0) AS BIGINT) AS taken FROM p LEFT JOIN f USING (rid)
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -65,22 +65,40 @@ def test_table_and_reruns(spark, sf):
     assert sorted(map(repr, one.collect())) == sorted(map(repr, again.collect()))
 
 
-def test_shards(spark, sf):
-    """The mix itself: shards of equal size but for blocks, whole words of the texts, as many as taken."""
-    d = odd.table(spark, sf, "documents")
-    out = mixing.shards_of(d, shards=5).collect()
+def test_shards(spark, sf, monkeypatch):
+    """The mix itself: shards of equal size but for blocks, words as they stand in the texts, as many as taken."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    d = odd.table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\t "), F.regexp_replace("text", " ", " \n"), F.lit(" "))).otherwise(F.col("text")))
+    out = mixing.shards_of(d, shards=5, keep=("lang",), slot=500).collect()
     n = {}
     for r in out:
-        n[r["doc_id"]] = n.get(r["doc_id"], 0) + len(r["text"].split())
+        assert len(r["text"].encode().split()) == r["n_words"] and r["lang"]
+        n[r["doc_id"]] = n.get(r["doc_id"], 0) + r["n_words"]
     assert n == {r["doc_id"]: r["taken"] for r in mixing.mixed(d, shards=5).collect() if r["taken"]}
-    text = {r["doc_id"]: " ".join(r["text"].split()) for r in d.collect()}
-    assert all(f" {r['text']} " in f" {text[r['doc_id']]} " for r in out)
-    blocks = {}
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    for r in out:
+        words, whole = r["text"].encode().split(), text[r["doc_id"]].encode().split()
+        assert r["text"] in text[r["doc_id"]] and words == whole[r["from_word"] : r["from_word"] + r["n_words"]]
+    blocks, rows = {}, {}
     for r in out:
-        blocks.setdefault((r["source"], r["block"]), set()).add(r["shard"])
+        blocks.setdefault((r["source"], r["epoch"], r["block"]), set()).add(r["shard"])
+        rows.setdefault(r["shard"], []).append(r["doc_id"])
     assert all(len(s) == 1 for s in blocks.values())  # shards are disjoint
     count = [sum(1 for s in blocks.values() if s == {k}) for k in range(5)]
     assert max(count) - min(count) <= 1
+    assert all(x != sorted(x) for x in rows.values())
+
+
+@pytest.mark.parametrize("change", [{"shards": 3}, {"seed": 8}])
+def test_what_is_taken_hangs_on_the_tree(spark, monkeypatch, change):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rows = [(k, " ".join(["w"] * 40), "en", "ab"[k % 2] if k < 90 else "c", 1) for k in range(100)]
+    df = spark.createDataFrame(rows, odd.DOCS)
+    a, b = ({r["doc_id"]: r["taken"] for r in mixing.mixed(df, **c).collect()} for c in ({}, change))
+    assert a != b and sum(a.values()) == sum(b.values())
+    if "shards" in change:  # the order of the lines is the same, so the tree alone makes the difference
+        monkeypatch.setattr(mixing, "split", lambda q, n, seed, split=mixing.split: split(q, n, seed + 1))
+        assert {r["doc_id"]: r["taken"] for r in mixing.mixed(df).collect()} != a
 
 
 def test_splitting_tree(spark):
