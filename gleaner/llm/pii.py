@@ -21,8 +21,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _SP, _NS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Least length of an added identifier, distinct trusted instances and precision of a pattern, trust of an instance, rounds.
 LENGTH, SUPPORT, PRECISION, TRUST, ROUNDS = 6, 3, 0.6, 0.8, 3
-#: Characters looked at on either side of a token for its neighbour (which is what stands there of a longer word); words that are broadcast at most.
-REACH, BROADCAST = 200, 200_000
+#: Characters before a token that are looked at first for its neighbour; words that are broadcast at most.
+NEAR, BROADCAST = 200, 200_000
 
 
 def _plain(word: str) -> str:
@@ -34,8 +34,11 @@ def _cuts(kind: str, regex: str, guard: str) -> str:
     found = f"named_struct('g', split(t, r'{regex}', -1), 'm', regexp_extract_all(t, r'{regex}', 0))"
     left = right = "''"
     if kind == "token":
-        left = f"coalesce(nullif(regexp_extract(right(p.g[i], {REACH}), r'({_NS}+){_SP}+$', 1), ''), if(i > 0 and length(trim(p.g[i])) < 1, p.m[i - 1], ''))"
-        right = f"coalesce(nullif(regexp_extract(left(p.g[i + 1], {REACH}), r'^{_SP}+({_NS}+)', 1), ''), if(i + 1 < size(p.m) and length(trim(p.g[i + 1])) < 1, p.m[i + 1], ''))"
+        # A gap begins and ends with white space where a token is: its last and first words, or the tokens beyond it. A
+        # word that stands whole in the gap's last NEAR characters needs no look at the rest.
+        last = lambda part, before: f"nullif(regexp_extract({part}, r'{before}({_NS}++){_SP}++$', 1), '')"
+        left = f"coalesce({last(f'right(p.g[i], {NEAR})', _SP)}, {last('p.g[i]', f'(?<!{_NS})')}, if(i > 0, p.m[i - 1], ''))"
+        right = f"coalesce(nullif(regexp_extract(p.g[i + 1], r'^{_SP}++({_NS}++)', 1), ''), if(i + 1 < size(p.m), p.m[i + 1], ''))"
         left, right = _plain(left), _plain(right)
     each = f"transform(p.m, (m, i) -> named_struct('kind', '{kind}', 'i', i, 'g', length(p.g[i]), 'm', m, 'l', {left}, 'r', {right}))"
     none = "cast(array() as array<struct<kind:string,i:int,g:int,m:string,l:string,r:string>>)"
@@ -122,7 +125,9 @@ def found(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[s
 def extracted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs. Counts are of base spans.
 
-    Null and empty texts have no spans; repeated rows and repeated or null ids stay rows of their own."""
+    Null and empty texts have no spans; repeated rows and repeated or null ids stay rows of their own; an empty table
+    gives an empty result. Very long texts are searched whole, in linear time; of spans with one start the shorter
+    comes first."""
     f = found(docs, id, text)
     told = lambda c: F.expr(f"array_join(transform({c}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]

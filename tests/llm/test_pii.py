@@ -77,6 +77,83 @@ def test_context_finds_identifiers(spark):
     assert red[50] == "my account <ID> closes" and red[52] == rows[22][1] and red[3].startswith("account <EMAIL> then")
 
 
+def test_neighbours_behind_any_white_space(spark):
+    rows = [(k, f"account user{k}@mail.org then lorem w{k}") for k in range(20)]
+    ways = {"tab": "account\tZX-99817-Q", "line": "account\r\nZX-99817-Q", "far": "account" + " " * 700 + "ZX-99817-Q", "between": "7\tAccount \n ZX-99817-Q", "not": "accounts ZX-99817-Q", "behind": "q" * 50_000 + " account \x0b\x0c ZX-99817-Q"}
+    rows += [(100 + k, t) for k, t in enumerate(ways.values())]
+    got = {r["doc_id"]: r["spans"] for r in pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (way, t) in enumerate(ways.items()):
+        assert got[100 + k] == ("" if way == "not" else f"id:{len(t) - 10}:{len(t)}"), way
+    # A pattern may be a token itself, and longer than any window.
+    name = "x" * 300 + "7"
+    rows = [(k, f"{name}\nuser{k}@mail.org") for k in range(20)] + [(30, f"see {name} \t QX-4711-77")]
+    got = {r["doc_id"]: r["spans"] for r in pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[30] == "id:308:318"
+
+
+def graph(rows):
+    """The added spans by plain loops over the same rules."""
+    import math
+
+    blank, plain = r"[\x20\x09-\x0D]", lambda w: w.lower().translate(str.maketrans("123456789", "000000000"))
+    edges, places, tokens = {}, {}, []
+    for row, (_, text) in enumerate(rows):
+        words = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        known = [(a, b) for _, a, b in base(text)]
+        for k, (at, w) in enumerate(words):
+            places[plain(w)] = places.get(plain(w), 0) + 1
+            if not re.search("[0-9@]", w):
+                continue
+            core = re.search(r"[A-Za-z0-9@+](?:.*[A-Za-z0-9])?", w)
+            inst = core[0].lower() if core else ""
+            if not inst:
+                continue
+            seed = any(a < at + len(w) and b > at for a, b in known)
+            sides = [("L", plain(words[k - 1][1]) if k else ""), ("R", plain(words[k + 1][1]) if k + 1 < len(words) else "")]
+            tokens.append((row, at, w, inst, seed, sides))
+            for side in sides:
+                if side[1]:
+                    n, s = edges.get((side, inst), (0, False))
+                    edges[side, inst] = (n + 1, s or seed)
+    firm = {}
+    for (side, _), (n, seed) in edges.items():
+        if seed:
+            firm[side] = firm.get(side, 0) + 1
+    if not any(n >= pii.SUPPORT for n in firm.values()):
+        return {}
+    trust = {}
+    for (_, inst), (_, seed) in edges.items():
+        trust[inst] = max(trust.get(inst, 0.0), float(seed))
+    for _ in range(pii.ROUNDS):
+        total, support = {}, {}
+        for (side, inst), (n, _) in edges.items():
+            total[side] = total.get(side, 0) + n * trust[inst]
+            support[side] = support.get(side, 0) + (trust[inst] >= pii.TRUST)
+        rated = {s: t / places[s[1]] for s, t in total.items() if t / places[s[1]] >= pii.PRECISION and support[s] >= pii.SUPPORT}
+        vouch, sure = {}, {}
+        for (side, inst), (_, seed) in edges.items():
+            vouch[inst] = vouch.get(inst, 0.0) + math.log(1 - min(rated.get(side, 0.0), 0.999))
+            sure[inst] = sure.get(inst, False) or seed
+        trust = {i: 1.0 if sure[i] else 1 - math.exp(v) for i, v in vouch.items()}
+    out = {}
+    for row, at, w, inst, seed, sides in tokens:
+        if not seed and len(inst) >= pii.LENGTH and any(s in rated for s in sides):
+            first = at + len(re.match(r"[^A-Za-z0-9@+]*", w)[0])
+            out.setdefault(row, []).append((pii.ADDED, first, first + len(inst)))
+    return out
+
+
+def test_added_spans_against_plain_loops(spark, sf):
+    rows = [tuple(r) for r in odd.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    rows += [(9_000 + k, f"account\tuser{k}@mail.org then lorem w{k} Ref: 10.0.0.{k}") for k in range(30)]
+    rows += [(9_100 + k, f"account ZX-9{k}81-Q\nref: AB{k}7-99-{k}") for k in range(9)] + [(9_200, None), (9_201, "account 12345")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: sorted(s for s in r["spans"].split(",") if s.startswith(pii.ADDED)) for r in pii.extracted(df).collect()}
+    added = graph(rows)
+    assert got == {i: sorted(told([s]) for s in added.get(k, [])) for k, (i, _) in enumerate(rows)}
+    assert sum(map(len, added.values())) >= 9
+
+
 def test_redacted_keeps_rows_and_columns(spark):
     docs = odd.documents(spark)
     out = pii.redacted(docs)

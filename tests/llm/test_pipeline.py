@@ -1,3 +1,5 @@
+import os
+
 import corpus_pipeline
 import odd
 import pytest
@@ -7,7 +9,7 @@ from test_simhash import brute as groups
 
 from gleaner.llm import toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
@@ -55,12 +57,17 @@ def test_personal_data_goes(steps):
 
 
 def test_the_mix(steps):
-    before = {r["doc_id"]: r for r in steps[4]}
-    by = {}
+    before, by, taken = {r["doc_id"]: r for r in steps[4]}, {}, {}
     for r in steps[5]:
-        assert r["text"] == before[r["doc_id"]]["text"] and 0 < r["taken"] <= 3 * r["size"]
-        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+        was = before[r["doc_id"]]
+        words = (was["text"] or "").encode().split()
+        assert r["text"].encode().split() == words[r["from_word"] : r["from_word"] + r["n_words"]] and r["text"] in was["text"]
+        assert (r["lang"], r["source"], r["size"], r["n_chars"]) == (was["lang"], was["source"], len(words), len(r["text"]))
+        taken.setdefault(r["doc_id"], []).extend((r["epoch"], k) for k in range(r["from_word"], r["from_word"] + r["n_words"]))
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["n_words"]
     assert all(abs(t - n) <= 0.5 for t, n in by.values())
+    assert all(len(set(x)) == len(x) <= 3 * len((before[k]["text"] or "").encode().split()) for k, x in taken.items())
+    assert len({r["shard"] for r in steps[5]}) > 1 and any(r["n_words"] < r["size"] for r in steps[5]) and any(r["epoch"] for r in steps[5])
 
 
 def test_run(spark, steps):

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from gleaner.llm import toxicity
 from gleaner.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
