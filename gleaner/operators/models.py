@@ -5,18 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, UnivariateFeatureSelector
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import terms as M
 from .graph import checkpointed
 
 METHODS = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "logistic_l1": lambda: LogisticRegression(maxIter=20, regParam=0.01, elasticNetParam=1.0), "svc": lambda: LinearSVC(maxIter=20, regParam=0.01)}
@@ -65,36 +65,49 @@ def cross_validated(pipeline: Pipeline, df: DataFrame, folds: int = 3, seed: int
 
 
 class PerClass:
-    """One against the rest, each class with its own gram ratios as weights: ratios (label, gram, p, ratio), and a model per
-    class over vectors of `size` hashed grams."""
+    """One against the rest, each class with its own gram ratios as weights: one vector of hashed gram counts for a
+    document, and for each class its ratios by feature (scaled in the JVM) and a linear model; the classes are few, so
+    all stand in one pipeline that reads a document once."""
 
-    def __init__(self, ratios: DataFrame, models: dict[str, LogisticRegressionModel], size: int):
-        self.ratios, self.models, self.size = ratios, models, size
+    def __init__(self, model: PipelineModel, labels: list[str]):
+        self.model, self.labels = model, labels
 
     @staticmethod
-    def _vectors(corpus: DataFrame, ratios: DataFrame, size: int) -> DataFrame:
-        """(doc_id, y, features): documents as hashed vectors of count times the ratio in y, for each label y; of all labels in one pass."""
-        f = M.gram_features(corpus, ratios).groupBy("doc_id", "label", F.pmod(F.xxhash64("gram"), F.lit(size)).cast("int").alias("i")).agg(F.sum("value").alias("v"))
-        f = f.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
-        vector = F.udf(lambda x: SparseVector(size, [r["i"] for r in x], [r["v"] for r in x]), VectorUDT())
-        return checkpointed(f.select("doc_id", F.col("label").alias("y"), vector("x").alias("features")))
+    def _tokens(corpus: DataFrame) -> DataFrame:
+        return corpus.withColumn("grams", T.grams(T.words(F.col("text"))))
 
     @classmethod
-    def train(cls, corpus: DataFrame, size: int = 1 << 14) -> PerClass:
-        """corpus (doc_id, label, text). The labels are few: one pass over them on the driver."""
-        ratios = checkpointed(M.gram_ratios(M.gram_counts(corpus)))
-        v = cls._vectors(corpus, ratios, size).join(corpus.select("doc_id", F.col("label").alias("own")), "doc_id")
-        fit = lambda y: LogisticRegression(maxIter=10, regParam=0.1).fit(v.where(F.col("y") == y).select("features", (F.col("own") == y).cast("double").alias("label")))
-        return cls(ratios, {y: fit(y) for (y,) in sorted(corpus.select("label").where("label is not null").distinct().collect())}, size)
+    def train(cls, corpus: DataFrame, size: int = 1 << 18, alpha: float = 1.0) -> PerClass:
+        """corpus (doc_id, label, text). Ratios are those of term statistics with hashed grams for grams: ln(p / (1 - p)) of the
+        feature's smoothed share in the class, 0 for features that the corpus lacks. `size` numbers a class are held by the driver."""
+        tf = HashingTF(inputCol="grams", outputCol="counts", numFeatures=size)
+        v = checkpointed(tf.transform(cls._tokens(corpus.where("label is not null"))).select("label", "counts"))
+        sums = {r["label"]: r["s"].toArray() for r in v.groupBy("label").agg(Summarizer.sum(F.col("counts")).alias("s")).collect()}
+        labels = sorted(sums)
+        seen = sum(sums.values(), np.zeros(size)) > 0
+        stages = [tf]
+        for k, y in enumerate(labels):
+            p = (sums[y] + alpha) / (sums[y].sum() + alpha * max(1, seen.sum()))
+            with np.errstate(divide="ignore"):
+                ratio = np.where(seen, np.log(p) - np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0)
+            scale = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="counts", outputCol=f"x{k}")
+            fit = LogisticRegression(maxIter=10, regParam=0.1, featuresCol=f"x{k}", labelCol="y", rawPredictionCol=f"raw{k}", probabilityCol=f"prob{k}", predictionCol=f"is{k}")
+            stages += [scale, fit.fit(scale.transform(v.withColumn("y", (F.col("label") == y).cast("double"))))]
+        return cls(PipelineModel(stages), labels)
 
     def predict(self, corpus: DataFrame) -> DataFrame:
         """(doc_id, label, prob): the class of the highest decision value, the first on a tie, and its probability."""
-        v, each = self._vectors(corpus, self.ratios, self.size), None
-        for y, m in self.models.items():
-            s = m.transform(v.where(F.col("y") == y)).select("doc_id", F.col("y").alias("label"), vector_to_array("rawPrediction")[1].alias("raw"), vector_to_array("probability")[1].alias("prob"))
-            each = s if each is None else each.unionByName(s)
-        best = each.groupBy("doc_id").agg(F.min(F.struct((-F.col("raw")).alias("r"), "label", "prob")).alias("b"))
-        return best.select("doc_id", "b.label", "b.prob")
+        out = self.model.transform(self._tokens(corpus.select("doc_id", "text")))
+        each = F.array(*(F.struct((-vector_to_array(f"raw{k}")[1]).alias("r"), F.lit(y).alias("label"), vector_to_array(f"prob{k}")[1].alias("prob")) for k, y in enumerate(self.labels)))
+        return out.select("doc_id", F.array_min(each).alias("b")).select("doc_id", "b.label", "b.prob")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(k, y) for k, y in enumerate(self.labels)], "k int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PerClass:
+        return cls(PipelineModel.load(f"{path}/model"), [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("k").collect()])
 
 
 def topics(df: DataFrame, k: int = 20, iterations: int = 50, words: int = 10, seed: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import checkpointed
 
 
 def tokens(docs: DataFrame, words: Column | None = None) -> DataFrame:
@@ -14,9 +15,15 @@ def tokens(docs: DataFrame, words: Column | None = None) -> DataFrame:
     return docs.select("doc_id", *keep, F.posexplode(T.words(F.col("text")) if words is None else words).alias("pos", "tok"))
 
 
-def frequencies(toks: DataFrame) -> DataFrame:
-    """(tok, tf, df): occurrences and documents. The distinct count is two steps of pre-aggregation."""
-    return toks.groupBy("tok", "doc_id").agg(F.count("*").alias("n")).groupBy("tok").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+def frequencies(docs: DataFrame, words: Column | None = None) -> DataFrame:
+    """(tok, tf, df) of docs: occurrences and documents. A document's words and its distinct words are counted side by side,
+    so both counts are pre-aggregated before one exchange on the word."""
+    def both(ws: Column) -> Column:
+        one = lambda a, tf, df: F.transform(a, lambda x: F.struct(x.alias("tok"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+        return F.concat(one(ws, 1, 0), one(F.array_distinct(ws), 0, 1))
+
+    ws = T.words(F.col("text")) if words is None else words
+    return docs.select(F.explode(T.bound(ws, both)).alias("x")).groupBy("x.tok").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df"))
 
 
 def rows(df: DataFrame) -> Column:
@@ -37,17 +44,28 @@ def degrees(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(tok, tf, df, idf, tfidf, ldc), ldc 1 where a word has no pair."""
-    f = frequencies(tokens(docs)).withColumn("n", rows(docs))
+    f = frequencies(docs).withColumn("n", rows(docs))
     f = f.withColumn("idf", idf(F.col("df"), F.col("n"))).withColumn("tfidf", F.col("tf") * F.col("idf"))
     return f.join(degrees(docs), "tok", "left").select("tok", "tf", "df", "idf", "tfidf", F.coalesce("ldc", F.lit(1)).alias("ldc"))
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """df's rows numbered from 1 on in this order. The sorted rows are stored with their partitions, whose sizes say what
+    stands before each, so no task holds or numbers them all."""
+    kept = checkpointed(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_m"))
+    before = sizes.select("_part", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inner.join(F.broadcast(before), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")
+
+
 def thresholds(stats: DataFrame, ratio: float) -> DataFrame:
-    """One row: the tfidf and ldc that stand at the ratio's place when sorted (tfidf falling, ldc rising); null without words."""
+    """One row: the tfidf and the ldc that stand at the ratio's place when sorted from the highest down; null without words."""
+    stats = checkpointed(stats)
     v = stats.count()
     place = min(v, int(v * ratio) + 1)
-    top = lambda c, o: stats.orderBy(o).offset(max(0, place - 1)).limit(1).agg(F.max(c)).scalar()
-    return stats.sparkSession.range(1).select(top("tfidf", F.col("tfidf").desc()).alias("t_tfidf"), top("ldc", F.col("ldc").asc()).alias("t_ldc"))
+    at = lambda c: numbered(stats.select(c), F.col(c).desc()).where(F.col("number") == place).agg(F.max(c)).scalar()
+    return stats.sparkSession.range(1).select(at("tfidf").alias("t_tfidf"), at("ldc").alias("t_ldc"))
 
 
 def popular(stats: DataFrame, least_tfidf: float, most_ldc: int) -> DataFrame:
@@ -94,8 +112,9 @@ def class_counts(corpus: DataFrame) -> DataFrame:
 
 
 def chi_reduced(counts: DataFrame) -> DataFrame:
+    """Greatest (ad - bc)^2 over the product of the label's documents and the others'."""
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    return counts.groupBy("tok").agg(F.max(F.coalesce(F.try_divide(F.pow(a * d - b * c, 2), (a + b) * (c + d)), F.lit(0.0))).alias("chi"))
+    return counts.groupBy("tok").agg(F.max(F.coalesce(F.try_divide(F.pow(a * d - b * c, 2), (a + c) * (b + d)), F.lit(0.0))).alias("chi"))
 
 
 def chi_full(counts: DataFrame) -> DataFrame:
@@ -121,19 +140,22 @@ LOCAL = {"tf": lambda n: n.cast("double"), "logtf": lambda n: F.log(n), "binary"
 
 
 def top_ratio(scores: DataFrame, ratio: float = 0.5, by: str = "chi") -> DataFrame:
-    """The floor(V * ratio) words of the highest scores, ties by word: a top-k, not a numbering of all rows."""
+    """The floor(V * ratio) words of the highest scores, ties by word."""
+    scores = checkpointed(scores)
     n = int(scores.count() * ratio)
-    return scores.orderBy(F.col(by).desc(), "tok").limit(n)
+    return numbered(scores, F.col(by).desc(), "tok").where(F.col("number") <= n).drop("number")
 
 
 def vocabulary(toks: DataFrame, least: int = 1) -> DataFrame:
-    """(tok, id) of the words that occur `least` times, from 1 on, frequent words first. Partitions of the sorted words are numbered by what stands before them, so
-    no task holds them all."""
+    """(tok, id) of the words that occur `least` times, from 1 on, frequent words first."""
     f = toks.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ordered = f.orderBy(F.col("n").desc(), "tok").withColumn("part", F.spark_partition_id())
-    inner = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(F.col("n").desc(), "tok")))
-    before = ordered.groupBy("part").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(before, "part").select("tok", (F.col("k") + F.col("before")).alias("id"))
+    return numbered(f, F.col("n").desc(), "tok", name="id").select("tok", "id")
+
+
+def first_seen(toks: DataFrame) -> DataFrame:
+    """(tok, id): words numbered from 0 on as documents (by id) and their words (by place) bring them up."""
+    f = toks.groupBy("tok").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    return numbered(f.select("tok", "at.doc_id", "at.pos"), "doc_id", "pos", "tok", name="id").select("tok", (F.col("id") - 1).alias("id"))
 
 
 def features(toks: DataFrame, weights: DataFrame, local: str = "tf") -> DataFrame:
@@ -150,12 +172,25 @@ def gram_counts(corpus: DataFrame) -> DataFrame:
     return g.groupBy("label", "gram").agg(F.count("*").alias("n"))
 
 
-def gram_ratios(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
+def label_counts(corpus: DataFrame) -> tuple[list, DataFrame]:
+    """The labels, and (gram, ns array<long>): occurrences of each gram by label, in the labels' order. Labels are few, so
+    one exchange on the gram carries pre-aggregated counts of them all."""
+    labels = [r[0] for r in corpus.select("label").where("label is not null").distinct().orderBy("label").collect()]
+    g = corpus.where("label is not null").select("label", F.explode(T.grams(T.words(F.col("text")))).alias("gram"))
+    ns = g.groupBy("gram").agg(*(F.count_if(F.col("label") == y).alias(f"n{k}") for k, y in enumerate(labels)))
+    return labels, ns.select("gram", F.array(*(f"n{k}" for k in range(len(labels)))).alias("ns"))
+
+
+def label_ratios(corpus: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(label, gram, p, ratio): smoothed share of the gram in its label over the whole vocabulary, and ln(p / (1 - p))."""
-    labels = counts.groupBy("label").agg(F.sum("n").alias("size")).agg(F.collect_list(F.struct("label", "size"))).scalar()
-    v = counts.groupBy("gram").agg(F.lit(1)).agg(F.count("*")).scalar()
-    p = _filled(counts, "gram", "n", labels).withColumn("p", (F.col("n") + alpha) / (F.col("size") + alpha * v))
-    return p.select("label", "gram", "p", F.log(F.col("p") / (1 - F.col("p"))).alias("ratio"))
+    labels, ns = label_counts(corpus)
+    if not labels:
+        return corpus.sparkSession.createDataFrame([], f"label {corpus.schema['label'].dataType.simpleString()}, gram string, p double, ratio double")
+    ns = checkpointed(ns)
+    total = ns.agg(F.count("*").alias("v"), *(F.sum(F.col("ns")[k]).alias(f"s{k}") for k in range(len(labels)))).first()
+    each = F.array(*(F.struct(F.lit(y).alias("label"), ((F.col("ns")[k] + alpha) / F.lit(float((total[f"s{k}"] or 0) + alpha * total["v"]))).alias("p")) for k, y in enumerate(labels)))
+    p = ns.select("gram", F.explode(each).alias("x"))
+    return p.select("x.label", "gram", "x.p", F.log(F.col("x.p") / (1 - F.col("x.p"))).alias("ratio"))
 
 
 def gram_features(corpus: DataFrame, ratios: DataFrame) -> DataFrame:

@@ -51,10 +51,10 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.title_words(H.title(F.col("html"))), " ").alias("words"))
 
 
-@query(f"SELECT doc_id, translate(text, '{_PUNCT}', '') AS plain, CASE WHEN length(text) < 2 THEN '' ELSE regexp_replace(regexp_replace(text, '[\\r,\\n]\\s', '', 'g'), '\\s+', '', 'g') END AS squeezed, len(string_split(text, ' ')) AS pieces, replace(left(text, 40), ' ', '.') AS dotted FROM documents")
+@query(f"SELECT doc_id, translate(text, '{_PUNCT}', '') AS plain, CASE WHEN length(text) < 2 THEN '' ELSE regexp_replace(regexp_replace(text, '[\\r,\\n]\\s', '', 'g'), '\\s+', '', 'g') END AS squeezed, len(string_split(text, ' ')) AS pieces, replace(text, ' ', '.') AS dotted FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return corpus(spark, sf_dir).select("doc_id", T.without_punctuation(t).alias("plain"), T.squeezed(t).alias("squeezed"), F.size(F.split(t, " ")).cast("long").alias("pieces"), F.replace(F.left(t, F.lit(40)), F.lit(" "), F.lit(".")).alias("dotted"))
+    return corpus(spark, sf_dir).select("doc_id", T.without_punctuation(t).alias("plain"), T.squeezed(t).alias("squeezed"), F.size(F.split(t, " ")).cast("long").alias("pieces"), F.replace(t, F.lit(" "), F.lit(".")).alias("dotted"))
 
 
 @query(r"SELECT page_id, regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(html, '[\r\n]+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '([A-Za-z0-9]+)', ' \1 ', 'g')), '[^a-z0-9' || chr(10) || ' ]', ' ', 'g')), ' +', chr(10), 'g') AS lines FROM pages")
@@ -70,7 +70,7 @@ def doc_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE} SELECT tok, count(*) AS tf FROM t GROUP BY tok")
 def term_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.frequencies(M.tokens(corpus(spark, sf_dir))).select("tok", "tf")
+    return M.frequencies(corpus(spark, sf_dir)).select("tok", "tf")
 
 
 @query(f"WITH {_STATS} SELECT tok, df, round(idf, 9) AS idf FROM s")
@@ -110,7 +110,7 @@ def keyword_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.keywords(M.statistics(corpus(spark, sf_dir))))
 
 
-@query(f"WITH {_STATS}, o AS (SELECT *, row_number() OVER (ORDER BY tfidf DESC) AS i, row_number() OVER (ORDER BY ldc) AS j, count(*) OVER () AS v FROM s) SELECT round(max(CASE WHEN i = least(v, floor(v * 0.1) + 1) THEN tfidf END), 6) AS t_tfidf, max(CASE WHEN j = least(v, floor(v * 0.1) + 1) THEN ldc END) AS t_ldc FROM o")
+@query(f"WITH {_STATS}, o AS (SELECT *, row_number() OVER (ORDER BY tfidf DESC) AS i, row_number() OVER (ORDER BY ldc DESC) AS j, count(*) OVER () AS v FROM s) SELECT round(max(CASE WHEN i = least(v, floor(v * 0.1) + 1) THEN tfidf END), 6) AS t_tfidf, max(CASE WHEN j = least(v, floor(v * 0.1) + 1) THEN ldc END) AS t_ldc FROM o")
 def keyword_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.thresholds(M.statistics(corpus(spark, sf_dir)), 0.1).select(F.round("t_tfidf", 6).alias("t_tfidf"), "t_ldc")
 
@@ -125,7 +125,7 @@ def term_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.class_counts(corpus(spark, sf_dir)).select("tok", "label", "a", "b", "c", "d")
 
 
-_CHI = "max(coalesce(power(a::DOUBLE * d - b * c, 2) / nullif((a::DOUBLE + b) * (c + d), 0), 0))"
+_CHI = "max(coalesce(power(a::DOUBLE * d - b * c, 2) / nullif((a::DOUBLE + c) * (b + d), 0), 0))"
 _CHI2 = "max(coalesce(n::DOUBLE * power(a::DOUBLE * d - b * c, 2) / nullif((a::DOUBLE + c) * (b + d) * (a + b) * (c + d), 0), 0))"
 
 
@@ -198,13 +198,13 @@ def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RATIOS} SELECT label, gram, round(p, 12) AS p, round(ln(p / (1 - p)), 9) AS ratio FROM gr")
 def nb_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.gram_ratios(M.gram_counts(corpus(spark, sf_dir))).select("label", "gram", F.round("p", 12).alias("p"), F.round("ratio", 9).alias("ratio"))
+    return M.label_ratios(corpus(spark, sf_dir)).select("label", "gram", F.round("p", 12).alias("p"), F.round("ratio", 9).alias("ratio"))
 
 
 @query(f"WITH {_RATIOS}, y AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram) SELECT doc_id, gr.label, round(sum(n * ln(p / (1 - p))), 6) AS total, count(*) AS n_grams FROM y JOIN gr ON y.gram = gr.gram GROUP BY doc_id, gr.label")
 def nb_doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return M.gram_features(c, M.gram_ratios(M.gram_counts(c))).groupBy("doc_id", "label").agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n_grams"))
+    return M.gram_features(c, M.label_ratios(c)).groupBy("doc_id", "label").agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n_grams"))
 
 
 _K = "md5('1:' || doc_id)"
@@ -248,6 +248,11 @@ def local_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "tok", M.LOCAL["tf"](F.col("n")).alias("tf"), F.round(M.LOCAL["logtf"](F.col("n")), 9).alias("logtf"), M.LOCAL["binary"](F.col("n")).alias("in_doc"))
 
 
+@query(f"WITH {_BASE}, f AS (SELECT tok, min({{'d': doc_id, 'p': pos}}) AS at FROM t GROUP BY tok) SELECT tok, row_number() OVER (ORDER BY at.d, at.p, tok) - 1 AS id FROM f")
+def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.first_seen(M.tokens(corpus(spark, sf_dir)))
+
+
 @query(f"WITH {_BASE}, k AS (SELECT tok, label, count(DISTINCT doc_id) AS n FROM t GROUP BY tok, label) SELECT doc_id, t.tok, id FROM t JOIN (SELECT tok, row_number() OVER (ORDER BY sum(n) DESC, tok) AS id FROM k GROUP BY tok HAVING sum(n) >= 5) v ON t.tok = v.tok")
 def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the words that a dictionary of words of five documents or more keeps, with their numbers in it."""

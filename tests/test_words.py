@@ -34,12 +34,16 @@ def test_classes(spark):
     assert {(r["tok"], r["label"]): (r["a"], r["b"], r["c"], r["d"]) for r in c.where("tok = 'y'").collect()} == {("y", "a"): (1, 1, 1, 3), ("y", "b"): (1, 1, 3, 1)}
     assert math.isclose(table(M.weight_rf(c), "tok", "weight")["x"], math.log(2 + 2 / 1))
     assert math.isclose(table(M.weight_idf(c), "tok", "weight")["x"], math.log(6 / 3))
-    assert math.isclose(table(M.chi_reduced(c), "tok", "chi")["x"], (2 * 4 - 0) ** 2 / (2 * 4))
+    assert math.isclose(table(M.chi_reduced(c), "tok", "chi")["x"], (2 * 4 - 0) ** 2 / (2 * 4))  # two documents of a and four of b, whoever holds the word
+    six = spark.createDataFrame([(1, 'a', 'x'), (2, 'a', 'x'), (3, 'a', 'y'), (4, 'b', 'x'), (5, 'b', 'y'), (6, 'b', 'y')], 'doc_id long, label string, text string')
+    assert math.isclose(table(M.chi_reduced(M.class_counts(six)), 'tok', 'chi')['x'], (2 * 2 - 1 * 1) ** 2 / (3 * 3))
+    four = six.where('doc_id <> 6').unionByName(six.where('doc_id = 5').withColumn('label', F.lit('a')).withColumn('text', F.lit('x y')))
+    assert not math.isclose(table(M.chi_reduced(M.class_counts(four)), 'tok', 'chi')['x'], table(M.chi_full(M.class_counts(four)), 'tok', 'chi')['x'])
     assert math.isclose(table(M.chi_full(c), "tok", "chi")["x"], 6 * (2 * 4) ** 2 / (2 * 4 * 2 * 4))
 
 
 def test_ratios(spark):
-    r = M.gram_ratios(M.gram_counts(corpus(spark)))
+    r = M.label_ratios(corpus(spark))
     assert all(math.isclose(x, 1) for x in table(r.groupBy("label").agg(F.sum("p").alias("s")), "label", "s").values())
     p = {(x["label"], x["gram"]): x["p"] for x in r.collect()}
     assert math.isclose(p["a", "x"], 4 / (8 + 8)) and math.isclose(p["b", "x"], 1 / (4 + 8))  # 8 grams; a: x y, y x, x z and 5 words; b: y y and 3 words
@@ -58,6 +62,29 @@ def test_vocabulary_numbers_all(spark):
     assert v == {"x": 1, "y": 2, "w": 3, "z": 4}
 
 
+def test_first_seen_and_cuts(spark):
+    assert table(M.first_seen(M.tokens(corpus(spark))), "tok", "id") == {"x": 0, "y": 1, "z": 2, "w": 3}
+    many = spark.range(1000).select(F.col("id").cast("string").alias("tok"), (F.col("id") % 7).cast("double").alias("chi")).repartition(9)
+    want = sorted(((str(k), k % 7) for k in range(1000)), key=lambda x: (-x[1], x[0]))[:300]
+    assert sorted(r["tok"] for r in M.top_ratio(many, 0.3).collect()) == sorted(t for t, _ in want)
+    s = spark.createDataFrame([(float(k), k % 10) for k in range(50)], "tfidf double, ldc long")
+    assert tuple(M.thresholds(s, 0.1).first()) == (44.0, 8) and tuple(M.thresholds(s.where("ldc > 99"), 0.1).first()) == (None, None)
+
+
+def test_per_class_model_is_saved(spark, tmp_path):
+    from gleaner.operators.models import PerClass
+
+    rng = random.Random(2)
+    words = {y: [f"{y}{k}" for k in range(8)] + [f"c{k}" for k in range(8)] for y in "ab"}
+    rows = [(k, "ab"[k % 2], " ".join(rng.choice(words["ab"[k % 2]]) for _ in range(12))) for k in range(120)] + [(500, None, "a1 a2"), (501, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, text string")
+    m = PerClass.train(df.where("doc_id < 80"), 1 << 12)
+    got = {r["doc_id"]: (r["label"], r["prob"]) for r in m.predict(df).collect()}
+    assert sum(got[k][0] == y for k, y, _ in rows[:120]) > 114 and got[500][0] == "a" and len(got) == len(rows)
+    m.save(spark, f"file://{tmp_path}/m")
+    assert {r["doc_id"]: (r["label"], r["prob"]) for r in PerClass.load(spark, f"file://{tmp_path}/m").predict(df).collect()} == got
+
+
 def test_splits(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id").withColumn("label", F.col("doc_id") % 2)
     s = A.split(df, "doc_id", 20, 10, 5).collect()
