@@ -12,7 +12,7 @@ from .common import WORD, only, stored
 #: No source is repeated more often; words of a block at least; blocks of a mix at most; rows of a stretch of the permuted line.
 REPEATS, BLOCK, BLOCKS, STRETCH = 3, 1_024, 1 << 20, 512
 #: Primes that step through a source's blocks; words of a shard that are shuffled at once.
-FACTORS, SLOT = (1_000_003, 999_983), 16 << 20
+FACTORS, SLOT = (1_000_003, 999_983), 2 << 20
 TAKEN = "aggregate(pieces, 0L, (z, v) -> z + v.n_words)"
 
 

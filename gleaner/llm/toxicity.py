@@ -9,21 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, span_hashes, spread, word_bounds
+from .common import gram_hashes, only, span_hashes, spread, word_bounds
 from .decontamination import words_line
 
 #: Words of a window, which starts at every word that has as many behind it; units; numbers of an embedding.
-WIDTH, UNITS, DIM = 32, 8, 4
-#: Prefixes of a word, in bytes, that are its character inputs.
-PREFIXES = (3, 4, 5, 6, 7, 8)
+WIDTH, UNITS, DIM = 32, 12, 8
+#: Character inputs of a word: all runs of so many bytes of it between marks of its ends, dealt to so many learnt vectors.
+GRAMS, BUCKETS = (3, 4), 1 << 14
 #: The bounded sample to fit on: rows of either label, bytes of a text that may be in it. Documents that must hold an input for it to be learnt; passes.
-SAMPLE, SAMPLE_BYTES, LEAST, PASSES = 1_500, 1 << 16, 3, 10
+SAMPLE, SAMPLE_BYTES, LEAST, PASSES = 1_500, 1 << 16, 3, 8
+#: First passes, which learn from windows drawn at random, how many of each text, and steps of a pass at least.
+DRAWN, DRAWS, STEPS = 2, 6, 40
 #: Bytes of texts and words read at a time; windows of a step.
 _GROUP, _WORDS, _CHUNK = 1 << 20, 1 << 20, 2_048
 
 
+def _rows(offsets: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the lists that offsets cut ids into, as offsets and ids."""
+    count = np.diff(offsets)[which]
+    owner, number = spread(count)
+    return np.append(0, np.cumsum(count)), ids[offsets[which][owner] + number]
+
+
 class Inputs:
-    """Texts as words: for each distinct word its hash and its prefixes' hashes, and the words of each text in turn."""
+    """Texts as words: for each distinct word its hash and its character runs (ids, cut by offsets), and the words of each
+    text in turn."""
 
     def __init__(self, texts: list[bytes | None]):
         lines = [words_line(t) for t in texts]
@@ -31,13 +41,23 @@ class Inputs:
         line = b" ".join(x for x in lines if x)
         data = np.frombuffer(line, np.uint8)
         if not len(data):
-            self.words, self.chars, self.seq = np.zeros(0, np.uint64), np.zeros((0, len(PREFIXES)), np.uint64), np.zeros(0, np.int64)
+            self.words, self.seq, self.offsets, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
             return
         starts, ends = word_bounds(data)
         self.words, at, self.seq = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        a, z = starts[at], ends[at]
-        # A word that is as short as the prefix has none: 0.
-        self.chars = np.stack([np.where(z - a > k, span_hashes(data, a, np.minimum(a + k, z)) | np.uint64(1), 0) for k in PREFIXES], 1).astype(np.uint64)
+        size = (ends - starts)[at] + 2
+        owner, number = spread(size)
+        marked = data[np.clip(starts[at][owner] + number - 1, 0, len(data) - 1)]
+        marked[number == 0], marked[number == size[owner] - 1] = 60, 62
+        who, ids = [], []
+        for n in GRAMS:
+            g = gram_hashes(marked, n)
+            whole = number[: len(g)] + n <= size[owner[: len(g)]]
+            who.append(owner[: len(g)][whole])
+            ids.append((g[whole] % np.uint64(BUCKETS)).astype(np.int64))
+        turn = np.argsort(np.concatenate(who), kind="stable")
+        self.ids = np.concatenate(ids)[turn]
+        self.offsets = np.append(0, np.cumsum(np.bincount(np.concatenate(who), minlength=len(at))))
 
     @classmethod
     def gathered(cls, texts: list[bytes | None]) -> Inputs:
@@ -53,7 +73,8 @@ class Inputs:
         if parts:
             out.sizes = np.concatenate([x.sizes for x in parts])
             out.words, first, place = np.unique(np.concatenate([x.words for x in parts]), return_index=True, return_inverse=True)
-            out.chars = np.concatenate([x.chars for x in parts])[first]
+            offsets = np.append(0, np.cumsum(np.concatenate([np.diff(x.offsets) for x in parts])))
+            out.offsets, out.ids = _rows(offsets, np.concatenate([x.ids for x in parts]), first)
             starts = np.cumsum([0, *(len(x.words) for x in parts)])
             out.seq = np.concatenate([place[x.seq + a].astype(np.int32) for x, a in zip(parts, starts)])
         return out
@@ -61,7 +82,7 @@ class Inputs:
     def part(self, first: int, last: int) -> Inputs:
         """Texts first to last - 1."""
         out, ends = Inputs([]), np.append(0, np.cumsum(self.sizes))
-        out.words, out.chars, out.sizes, out.seq = self.words, self.chars, self.sizes[first:last], self.seq[ends[first] : ends[last]]
+        out.words, out.offsets, out.ids, out.sizes, out.seq = self.words, self.offsets, self.ids, self.sizes[first:last], self.seq[ends[first] : ends[last]]
         return out
 
     def starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,23 +111,26 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """words, grams: hashes of the inputs; p: parameters by name."""
+    """words: hashes of those that have a vector of their own; p: parameters by name."""
 
-    def __init__(self, words: np.ndarray, grams: np.ndarray, p: dict[str, np.ndarray]):
-        self.words, self.grams, self.p = words, grams, p
+    def __init__(self, words: np.ndarray, p: dict[str, np.ndarray]):
+        self.words, self.p = words, p
 
-    def features(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
-        return _find(self.words, x.words), _find(self.grams, x.chars)
-
-    def inputs(self, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-        n = np.maximum(1, (c > 0).sum(-1, keepdims=True))
-        return np.concatenate([self.p["word"][w], (self.p["char"][c] * (c > 0)[..., None]).sum(-2) / n], -1).astype(np.float32)
+    def vectors(self, x: Inputs, which: np.ndarray | None = None) -> np.ndarray:
+        """Inputs of words (all distinct ones of x, or some): the word's vector, and the mean of its character runs'."""
+        words, offsets, ids = x.words, x.offsets, x.ids
+        if which is not None:
+            words, (offsets, ids) = words[which], _rows(offsets, ids, which)
+        if not len(words):
+            return np.zeros((0, 2 * DIM), np.float32)
+        chars = np.add.reduceat(self.p["char"][ids], offsets[:-1]) / np.diff(offsets)[:, None]
+        return np.concatenate([self.p["word"][_find(self.words, words)], chars], 1).astype(np.float32)
 
     def logits(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """Each window's logit, and its text. In long texts a step's words are those of the step before, moved by one;
         windows that reach into the next text are dropped."""
         begin, left, owner = x.starts()
-        v = self.inputs(*self.features(x))
+        v = self.vectors(x)
         v = np.concatenate([v, np.zeros((1, v.shape[1]), np.float32)])
         # A gate is 1 / (1 + e^-g) = (1 + tanh(g / 2)) / 2.
         half = np.where(np.arange(3 * UNITS) < 2 * UNITS, 0.5, 1).astype(np.float32)
@@ -179,9 +203,12 @@ class Model:
         return out
 
 
-def _step(p: dict[str, np.ndarray], m: Model, w: np.ndarray, c: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over a batch of windows: w (B, T), c (B, T, prefixes), live (B, T)."""
-    x = m.inputs(w, c)
+def _step(p: dict[str, np.ndarray], m: Model, inputs: Inputs, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy over a batch of windows: at (B, T) holds places in inputs.seq, -1 for none."""
+    live = at >= 0
+    which, word = np.unique(inputs.seq[at[live]], return_inverse=True)
+    x = np.zeros((*at.shape, 2 * DIM), np.float32)
+    x[live] = m.vectors(inputs, which)[word]
     size, grads, kept, states = len(y), {}, {}, {}
     for d in "fb":
         u = p[f"u{d}"]
@@ -229,25 +256,17 @@ def _step(p: dict[str, np.ndarray], m: Model, w: np.ndarray, c: np.ndarray, live
             dx[:, t] += dgx @ p[f"w{d}"].T
             dh = passed + dnew * z + dgh @ u.T
         grads[f"u{d}"], grads[f"w{d}"], grads[f"b{d}"] = du, dw, db
+    each = np.zeros((len(which), 2 * DIM), np.float32)
+    np.add.at(each, word, dx[live])
     grads["word"], grads["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-    np.add.at(grads["word"], w[live], dx[live][:, :DIM])
-    n = np.maximum(1, (c > 0).sum(-1, keepdims=True))
-    np.add.at(grads["char"], c[live], np.where((c[live] > 0)[..., None], (dx[live][:, DIM:] / n[live])[:, None, :], 0))
-    grads["word"][0] = grads["char"][0] = 0
+    np.add.at(grads["word"], _find(m.words, inputs.words[which]), each[:, :DIM])
+    grads["word"][0] = 0
+    offsets, ids = _rows(inputs.offsets, inputs.ids, which)
+    n = np.diff(offsets)
+    np.add.at(grads["char"], ids, np.repeat(each[:, DIM:] / n[:, None], n, 0))
     return grads
 
 
-def _odds(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs that LEAST documents hold, and the logarithm of how much likelier toxic documents hold them."""
-    u, place = np.unique(h, return_inverse=True)
-    pair = np.unique(place * len(y) + doc)
-    place, doc = pair // len(y), pair % len(y)
-    n, pos = np.bincount(place, minlength=len(u)), np.bincount(place, y[doc], minlength=len(u))
-    keep = n >= LEAST
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((n - pos + 0.5) / ((1 - y).sum() + 1))
-    return u[keep], odds[keep]
-
-
 def _highest(score: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Each text's first window of the highest score."""
     top = np.maximum.reduceat(score, np.searchsorted(owner, np.arange(owner[-1] + 1)))
@@ -255,46 +274,28 @@ def _highest(score: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return hit[np.unique(owner[hit], return_index=True)[1]]
 
 
-def _likeliest(x: Inputs, first: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Scores of windows by one word each, at a place within them that is drawn by text: first, by word of x.words."""
-    count = np.maximum(1, x.sizes - WIDTH + 1)
-    owner, at = spread(x.sizes)
-    window = np.clip(at - rng.integers(0, WIDTH, len(count))[owner], 0, count[owner] - 1)
-    score = np.full(count.sum(), -9.0)
-    np.maximum.at(score, (np.cumsum(count) - count)[owner] + window, first[x.seq])
-    return score
-
-
 def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes: int = PASSES) -> Model:
     """Fits the network on texts and their labels (0 or 1).
 
-    A text's label is taken to be that of its most toxic window: each pass scores all windows and learns from the
-    highest of each text (at first from the one with the likeliest words). First numbers of the embeddings begin as
-    their inputs' log odds, the rest and the weights at random."""
+    All vectors and weights begin at random. The first passes learn from windows drawn from each text; then a text's
+    label is taken to be that of its most toxic window: each pass scores all windows and learns from the highest of
+    each text."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     x = Inputs.gathered(texts)
     doc = np.repeat(np.arange(len(texts)), x.sizes)
     pair = np.unique(x.seq.astype(np.int64) * max(1, len(texts)) + doc)
-    word, who = pair // max(1, len(texts)), pair % max(1, len(texts))
-    words, word_odds = _odds(x.words[word], who, y)
-    by_length = [_odds(x.chars[word, k][x.chars[word, k] > 0], who[x.chars[word, k] > 0], y) for k in range(len(PREFIXES))]
-    grams, gram_odds = (np.concatenate(v) for v in zip(*by_length))
-    grams, gram_odds = grams[np.argsort(grams)], gram_odds[np.argsort(grams)]
+    words = x.words[np.bincount(pair // max(1, len(texts)), minlength=len(x.words)) >= LEAST]
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    p = {"word": small(len(words) + 1, DIM), "char": small(len(grams) + 1, DIM), "o": np.full(1, -1, np.float32)}
-    p["word"][1:, 0], p["char"][1:, 0] = word_odds / 3, gram_odds / 3
-    p["word"][0] = p["char"][0] = 0
+    p = {"word": small(len(words) + 1, DIM), "char": small(BUCKETS, DIM), "o": np.full(1, -1, np.float32)}
+    p["word"][0] = 0
     for d in "fb":
         p |= {f"w{d}": small(2 * DIM, 3 * UNITS) * 4, f"u{d}": small(UNITS, 3 * UNITS) * 2, f"b{d}": np.zeros(3 * UNITS, np.float32), f"a{d}": small(UNITS), f"o{d}": small(UNITS) * 3}
-    m = Model(words, grams, p)
+    m = Model(words, p)
     if not len(texts) or not 0 < y.sum() < len(y):
         p["o"][:] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         p["of"][:] = p["ob"][:] = 0
         return m
-    w, c = m.features(x)
-    w, c, seq = np.append(w, 0), np.concatenate([c, np.zeros((1, len(PREFIXES)), np.int64)]), np.append(x.seq, len(w)).astype(np.int32)
-    first = np.append(0, p["word"][1:, 0])[w] + np.append(0, p["char"][1:, 0])[c].max(1)
     ends = np.cumsum(x.sizes)
     groups = [0, *(np.flatnonzero(np.diff(ends // _WORDS)) + 1), len(texts)]
     clean = np.flatnonzero(y[doc] == 0)
@@ -306,7 +307,14 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
         for lo, hi in zip(groups, groups[1:]):
             part = x.part(lo, hi)
             at, rest, who = part.starts()
-            score = _likeliest(part, first, rng) if k < 3 else m.logits(part)[0]
+            if k < DRAWN:
+                count = np.bincount(who)
+                some = np.unique((np.cumsum(count) - count)[:, None] + rng.integers(0, count[:, None], (len(count), DRAWS)))
+                begin.append(at[some] + (ends - x.sizes)[lo])
+                left.append(rest[some])
+                owner.append(lo + who[some])
+                continue
+            score = m.logits(part)[0]
             best = _highest(score, who)
             # Of clean texts, the highest window that shares no word with the first is clean as well.
             score = np.where((np.abs(at - at[best][who]) >= WIDTH) & (y[lo + who] == 0), score, -np.inf)
@@ -317,12 +325,12 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 11, passes:
             owner.append(lo + who[some])
         begin, left, owner = np.concatenate(begin), np.concatenate(left), np.concatenate(owner)
         chosen = np.arange(len(begin))
-        for lo in range(0, len(chosen), 128):
+        for _ in range(max(STEPS, -(-len(chosen) // 128))):
             some = chosen[rng.integers(0, len(chosen), 128)]
             a = places(begin[some], left[some])
             # Windows of one clean word over and over are clean too.
             a = np.concatenate([a, np.repeat(clean[rng.integers(0, len(clean), 16)][:, None], WIDTH, 1)])
-            g = _step(p, m, w[seq[a]], c[seq[a]], a >= 0, np.append(y[owner[some]], np.zeros(16)))
+            g = _step(p, m, x, a, np.append(y[owner[some]], np.zeros(16)))
             step += 1
             rate = 0.02 * (1 - k / passes) + 0.001
             for name, v in g.items():
@@ -351,7 +359,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         got.sort(key=lambda r: (r[0], r[1]))
         m = train([r[1] for r in got], np.array([r[2] for r in got]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.words, m.grams, m.p))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.words, m.p))], pa.binary())], ["model"])
 
     # 2 * sample ids at most, and their texts in one task, which is not the driver.
     rows = d.join(F.broadcast(chosen), "id").select("id", F.col("t").cast("binary").alias("t"), "y").repartition(1)
@@ -364,7 +372,7 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     of the whole text. Null and empty texts get the score of a window without words; repeated rows stay; a null id
     counts as the empty string for held_out. Without labels of both kinds all scores are the share of toxic ones."""
     model = fitted(docs, labels, sample, id, text, label)
-    held = docs.sparkSession.sparkContext.broadcast((model.words, model.grams, model.p))
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.p))
 
     def run(batches):
         m = Model(*held.value)
@@ -380,7 +388,7 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
 def clean(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches the limit, in one pass and with nothing moved."""
     model = fitted(docs, labels, sample, id, text, label)
-    held = docs.sparkSession.sparkContext.broadcast((model.words, model.grams, model.p))
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.p))
     at = docs.columns.index(text)
 
     def run(batches):
