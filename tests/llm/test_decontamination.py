@@ -10,7 +10,8 @@ ITEMS = "item_id long, text string, doc_id string, t int"
 
 
 def words(t):
-    return re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    """Runs of letters and digits; a Chinese character is a word."""
+    return [w for run in re.findall(r"[^\W_]+", (t or "").lower()) for w in re.findall("[\u4e00-\u9fff]|[^\u4e00-\u9fff]+", run)]
 
 
 def tiling(item, doc, least=5):
@@ -72,14 +73,16 @@ def test_planted(spark, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK", block)
     docs, items = planted()
     docs += [(r[0], r[1]) for r in odd.rows()]
-    items += [(50, None), (51, ""), (None, items[0][1]), items[3], items[3]]
+    docs += [(3, "a clean text under the id of another"), (None, docs[0][1]), (900, "“V1”…" + docs[0][1].replace(" ", "\u00a0")), (901, "他说" + "我们今天学习历史和数学问题" + "吗"), (902, "我们今天学习"), (903, None)]
+    items += [(60, "我们今天学习历史和数学问题"), (50, None), (51, ""), (None, items[0][1]), items[3], items[3]]
     d = spark.createDataFrame([(*r, 1, "x", "y") for r in docs], "doc_id long, text string, item_id int, t string, covered string").repartition(4)
     b = spark.createDataFrame([(*r, "q", 2) for r in items], ITEMS)
     want = brute(docs, items)
     assert got(decontamination.matches(d, b)) == want
-    bad = {x[0] for x in want if x[0] is not None}
     out = decontamination.decontaminated(d, b)
-    assert out.columns == d.columns and sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted((i for i, _ in docs if i not in bad), key=repr)
+    assert out.columns == d.columns
+    clean = [r for r in docs if not brute([r], items)]
+    assert len(clean) < len(docs) and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(clean, key=repr)
 
 
 def test_empty(spark):
