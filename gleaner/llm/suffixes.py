@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mixed, only, pack, parts_for, sliding_min, spread, stored, text_bytes, unpack
-from .substrings import LAST, string_key
+from .substrings import CELLS, HOT, LAST, SECOND, string_key
+from .substrings import _cell as cell_of
 
 #: Bytes of a string that counts; of the gram that anchors it; of texts in a block, packed strings in a shard, anchors in a bucket; partitions at most.
 LENGTH, GRAM, TEXTS, SHARD, ANCHORS, PARTS = 100, 32, 1 << 20, 4 << 20, 8 << 20, 100_000
@@ -213,14 +214,16 @@ def _opened(blob: bytes):
 
 
 class Anchored:
-    """A block's windows by anchor, the least gram within each."""
+    """A block's windows by anchor, the least gram within each. Windows of hot anchors (those in the hot cells) are dealt
+    out by a second anchor, the least gram in another order: key is what deals a run of windows, value its anchor."""
 
-    def __init__(self, blob: bytes, length: int, gram: int):
+    def __init__(self, blob: bytes, length: int, gram: int, cells: int = 0, hot: np.ndarray | None = None):
         self.ids, self.known, self.sizes, self.raw = _opened(blob)
         self.length = length
         data = np.frombuffer(self.raw, np.uint8)
         n = len(data)
-        self.run = self.n = self.value = np.zeros(0, np.int64)
+        self.run = self.n = np.zeros(0, np.int64)
+        self.value = self.key = np.zeros(0, np.uint64)
         self.anchors, self.twice = np.zeros(0, np.uint64), np.zeros(0, bool)
         if n < length:
             return
@@ -236,11 +239,16 @@ class Anchored:
         picked = g[(g == most[: len(g)])]
         self.anchors, count = np.unique(picked, return_counts=True)
         self.twice = count > 1
+        key = least
+        if hot is not None and len(hot):
+            some = np.isin(cell_of(least, cells), hot)
+            if some.any():
+                key = np.where(some, sliding_min(mixed(g ^ SECOND), length - gram + 1), least)
         new = whole.copy()
-        new[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
+        new[1:] &= ~whole[:-1] | (least[1:] != least[:-1]) | (key[1:] != key[:-1])
         self.run = np.flatnonzero(new)
         self.n = np.flatnonzero(whole & ~np.append(whole[1:] & ~new[1:], False)) - self.run + 1
-        self.value = least[self.run]
+        self.value, self.key = least[self.run], key[self.run]
 
     def strings(self, values: np.ndarray):
         """(anchor as a signed number, document's number, start, string) of the runs whose anchor is one of values."""
@@ -298,17 +306,34 @@ def _repeated_anchors(blocks: DataFrame, buckets: int, length: int, gram: int) -
     return dealt.repartition(min(PARTS, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "block long, n long, vals binary")
 
 
-def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length: int, gram: int, shard: int) -> DataFrame:
+def hot_cells(repeated: DataFrame, cells: int, least: int) -> np.ndarray:
+    """Of the cells that anchors are dealt to, those that more than HOT times their share of the repeated ones (and `least` of
+    them) fall on; an anchor counts once for each block. Fewer than cells / HOT."""
+
+    def run(batches):
+        total = np.zeros(cells, np.int64)
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                np.add.at(total, cell_of(np.frombuffer(v, np.uint64), cells), 1)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["cell", "n"])
+
+    per = stored(repeated.select("vals").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    return np.sort(per.where(F.col("n") > max(HOT * total // cells, least)).select("cell").toArrow().column(0).to_numpy())
+
+
+def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length: int, gram: int, shard: int, cells: int, hot: np.ndarray) -> DataFrame:
     """(block, blob): for strings of the block with a window that stands earlier elsewhere, the first places of all windows."""
 
     def deal(batches):
         for b in batches:
             for block, blob, lists in zip(*(c.to_pylist() for c in b.columns)):
-                x = Anchored(blob, length, gram)
+                x = Anchored(blob, length, gram, cells, hot)
                 seen: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
                 values = np.concatenate([np.frombuffer(v, np.uint64) for v in lists])
                 runs = np.isin(x.value, values)
-                to = iter((mixed(x.value[runs]) % np.uint64(buckets)).tolist())
+                to = iter((mixed(x.key[runs]) % np.uint64(buckets)).tolist())
                 for value, doc, start, s in x.strings(values):
                     place = (int(x.ids[doc]), start)
                     own = seen[next(to)]
@@ -405,12 +430,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text binary]) for each row: UTF-8 bytes without those that a
     string of `length` bytes covers which also starts earlier, in a document with a smaller id or before in its own.
 
-    Null and empty texts have no bytes; null ids come last; rows with one id are one document to each other: equal
+    Null and empty texts have no bytes; an empty table gives an empty result; a very long text is a block of its own, held
+    whole by one task; null ids come last; rows with one id are one document to each other: equal
     places are not earlier. Strings are judged on the input, never across documents.
 
     Windows with one anchor (their least gram) can only equal each other. Anchors that stand in one place alone are
     settled by a count; the windows of all others go to their anchor's bucket as packed strings, once for each block of
-    documents. A bucket is sorted in shards of bounded size, each by its own suffix array; groups of equal windows
+    documents; those of an anchor that holds many times its share go by a second anchor. A bucket is sorted in shards of bounded size, each by its own suffix array; groups of equal windows
     follow from common prefixes, and shards of one bucket are merged by binary search. Blocks get back the first
     places of their strings' windows."""
     d = only(docs, doc_id=id, t=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("t").cast("binary").alias("t"))
@@ -418,19 +444,22 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: st
     total = text_bytes(d, "t")
     repeated = stored(_repeated_anchors(blocks, parts_for(total * 16 // (length - gram + 2), ANCHORS, most=1 << 30), length, gram), "anchors")
     some = repeated.agg(F.sum("n")).first()[0] or 0
-    places = stored(_first_places(blocks, repeated, parts_for(some * 2 * length, shard, most=1 << 30), length, gram, shard), "places")
+    buckets = parts_for(some * 2 * length, shard, most=1 << 30)
+    cells = min(buckets, CELLS)
+    hot = hot_cells(repeated, cells, 2 * shard // (2 * length))
+    places = stored(_first_places(blocks, repeated, buckets, length, gram, shard, cells, hot), "places")
     replies = places.groupBy("block").agg(F.collect_list("blob").alias("replies"))
     met = blocks.join(replies, "block", "left").select("blob", "replies")
 
     def run(batches):
         for b in batches:
             for blob, replies in zip(b.column(0), b.column(1).to_pylist()):
-                yield from _kept(blob.as_py(), replies or [], length, gram, keep_text)
+                yield from _kept(blob.as_py(), replies or [], length, gram, keep_text, cells, hot)
 
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text binary" * keep_text)
 
 
-def _kept(blob: bytes, replies: list[bytes], length: int, gram: int, keep_text: bool):
+def _kept(blob: bytes, replies: list[bytes], length: int, gram: int, keep_text: bool, cells: int, hot: np.ndarray):
     ids, known, sizes, raw = _opened(blob)
     gone: list[list[tuple[int, int]]] = [[] for _ in ids]
     if replies:
@@ -442,7 +471,7 @@ def _kept(blob: bytes, replies: list[bytes], length: int, gram: int, keep_text:
                 told[key[:2]] = runs[at : at + m]
                 values.append(key[2])
                 at += m
-        x = Anchored(blob, length, gram)
+        x = Anchored(blob, length, gram, cells, hot)
         for _, doc, start, s in x.strings(np.array(values, np.int64).view(np.uint64)):
             i, at = int(ids[doc]), 0
             for end, low, base in told.get(string_key(s), ()):

@@ -79,3 +79,24 @@ def test_suffix_order_and_common_prefixes(letters):
         x, y = (text[i : min(i + depth, len(data))] for i in order[k - 1 : k + 1])
         same = next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         assert shared[k] == same or prefixes[k] == prefixes[k - 1]
+
+
+@pytest.mark.parametrize("hot", ["found", "all", "some"])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """One line in every document, texts around it that differ, and passages that repeat with it."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(["ab", "cde", "fghi", "jk", "lmnop"]) + str(rng.randrange(1000)) for _ in range(n))
+    line, passage = " all rights are reserved by the owners of this text ", say(30)
+    rows = [(k, say(20) + line + (passage if k % 5 == 0 else say(20))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    if hot == "found":
+        monkeypatch.setattr(suffixes, "TEXTS", 2_000)
+        blocks = suffixes.stored(suffixes._blocks(df.selectExpr("doc_id", "cast(text as binary) t")))
+        repeated = suffixes.stored(suffixes._repeated_anchors(blocks, 4, 100, 32))
+        cells = suffixes.hot_cells(repeated, 64, 10)
+        assert 0 < len(cells) < 8
+        monkeypatch.setattr(suffixes, "hot_cells", lambda r, n, least, real=suffixes.hot_cells: real(r, n, 10))
+        monkeypatch.setattr(suffixes, "parts_for", lambda *a, **k: 64)
+    else:
+        monkeypatch.setattr(suffixes, "hot_cells", lambda r, n, least: np.arange(n) if hot == "all" else np.array([0, n - 1]))
+    assert got(suffixes.deduplicated(df)) == brute(rows, 100)
