@@ -11,6 +11,8 @@ from .common import only, pack, parts_for, stored, unpack
 
 #: Vectors of a bucket and of a block of queries, and the local threshold from which coordinates prune.
 BUCKET, QUERIES, COORDINATES_FROM, FOCUS = 4_096, 1_024, 0.7, 4
+#: Query blocks and buckets of a group at most, bytes of a group of queries, and cells that are enough to keep a cluster busy.
+GRID, MEMORY, CELLS = (32, 64), 64 << 20, 4_096
 
 
 def quantised(vectors: DataFrame, id: str, vector: str, scale: float = 256.0) -> DataFrame:
@@ -120,6 +122,59 @@ def survivors(q: np.ndarray, norm: float, theta: float, m: np.ndarray, norms: np
     return live
 
 
+class Asked:
+    """A block of queries in a cell: what they found so far, and the k-th best score of each, which prunes what follows."""
+
+    def __init__(self, blob: bytes, theta: bytes, k: int):
+        self.ids, self.norms, self.q = _opened(blob)
+        self.theta, self.k, self.rows, self.size = np.frombuffer(theta, np.int64).copy(), k, [], 0
+
+    def meet(self, ci: np.ndarray, cn: np.ndarray, c: np.ndarray) -> None:
+        """One bucket: each query prunes by length or by coordinates before its products are taken."""
+        theta, qn, q, qi = self.theta, self.norms, self.q, self.ids
+        with np.errstate(over="ignore"):
+            local = np.where((theta > 0) & (qn * cn[0] > 0), theta / np.maximum(qn * cn[0], 1e-300), -1.0)
+        local = np.where((theta > 0) & (qn * cn[0] == 0), 2.0, local)
+        plain = np.flatnonzero(local < COORDINATES_FROM)
+        if len(plain):
+            reach = max(len(survivors(q[i], qn[i], theta[i], c, cn, cn)) for i in plain) if (theta[plain] > 0).all() else len(cn)
+            s = products(q[plain], c[:reach])
+            r, j = best(s, qi[plain][:, None] != ci[None, :reach], ci[:reach], theta[plain], self.k)
+            self._keep(plain[r], ci[j], s[r, j])
+        rest = np.flatnonzero((local >= COORDINATES_FROM) & (local <= 1 + 1e-9))
+        unit = c / np.maximum(cn, 1e-300)[:, None] if len(rest) else None
+        for i in rest:
+            live = survivors(q[i], qn[i], theta[i], c, cn, unit)
+            if len(live):
+                s = products(q[i : i + 1], c[live])
+                r, j = best(s, (ci[live] != qi[i])[None, :], ci[live], theta[i : i + 1], self.k)
+                self._keep(np.full(len(j), i), ci[live][j], s[0, j])
+        if self.size > 4 * self.k * len(qi):
+            self.settle()
+
+    def _keep(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.rows.append((query, vec, score))
+            self.size += len(query)
+
+    def settle(self) -> None:
+        """Only the k best of each query stay, ties to smaller ids."""
+        query, vec, score = (np.concatenate(x) for x in zip(*self.rows))
+        # ~score falls as score rises, without leaving 64 bits.
+        turn = np.lexsort((vec, ~score, query))
+        query, vec, score = query[turn], vec[turn], score[turn]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = place == self.k - 1
+        self.theta[query[full]] = np.maximum(self.theta[query[full]], score[full])
+        keep = place < self.k
+        self.rows, self.size = [(query[keep], vec[keep], score[keep])], int(keep.sum())
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.settle()
+        query, vec, score = self.rows[0]
+        return self.ids[query], vec, score
+
+
 def search(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds (of its id, named vec_id; none: all
     rows), the k rows of other ids with the highest inner products of the quantised vectors, ties to smaller ids.
@@ -129,8 +184,10 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id: s
 
     Vectors are dealt by falling length, so a partition holds a range of lengths, cut into buckets; ties in length
     are dealt by id, so equal vectors spread. The longest bucket gives each query a k-th best score to start from.
-    Bucket and query block meet only if their lengths allow a product that high; both travel packed, and within a
-    pair each query prunes by length or by coordinates before its products are taken."""
+    Groups of query blocks and groups of buckets span a grid. A cell whose lengths allow a product that high holds both
+    groups once, packed, and keeps the k best of its queries as it goes from long buckets to short ones; so a bucket
+    travels once for each group of queries, not for each block. An empty table gives an empty result; very long vectors
+    make the groups of queries smaller."""
     rows = stored(quantised(vectors, id, vector).where(F.col("vec_id").isNotNull()), "vectors")
     n = rows.count()
     buckets = _blocks(rows.repartitionByRange(parts_for(n, 4 * BUCKET, 1), F.col("norm").desc(), "vec_id").sortWithinPartitions(F.col("norm").desc()), BUCKET)
@@ -156,35 +213,41 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id: s
 
     asked = asked.mapInArrow(seed, "asked binary, theta binary, least double")
     asked = stored(asked.withColumn("q", F.monotonically_increasing_id()), "asked")
-    # Names and lengths of blocks only: which buckets are long enough for a query block.
-    pairs = asked.select("q", "least").join(buckets.select("bucket", "high"), F.col("high") * (1 + 1e-9) >= F.col("least"))
-    met = pairs.select("q", "bucket").join(asked.select("q", "asked", "theta"), "q").join(buckets.select("bucket", "block"), "bucket")
+    # Groups of query blocks and groups of buckets, by names and lengths alone: a cell of the grid is a pair of groups.
+    wide = rows.agg(F.max(F.octet_length("q"))).first()[0] or 8
+    n_asked, n_buckets = asked.count(), buckets.count()
+    tall = max(1, min(GRID[0], MEMORY // (QUERIES * max(8, wide)), n_asked // 16))
+    broad = max(1, min(GRID[1], -(-n_buckets * -(-n_asked // tall) // CELLS)))
+    rank = lambda df, by, each: df.withColumn("g", F.floor((F.row_number().over(Window.orderBy(*by)) - 1) / each))
+    q_groups = stored(rank(asked.select("q", "least"), [F.col("least").desc(), "q"], tall), "qgroups")
+    b_groups = stored(rank(buckets.select("bucket", "high"), [F.col("high").desc(), "bucket"], broad), "bgroups")
+    cells = q_groups.groupBy(F.col("g").alias("qg")).agg(F.min("least").alias("least")).join(b_groups.groupBy(F.col("g").alias("bg")).agg(F.max("high").alias("high")), F.col("high") * (1 + 1e-9) >= F.col("least"))
+    cells = stored(cells.select("qg", "bg"), "cells")
+    ours = asked.select("q", "asked", "theta").join(q_groups.select("q", F.col("g").alias("qg")), "q").join(cells, "qg").select("qg", "bg", F.lit(0).alias("side"), F.lit(0.0).alias("high"), F.col("asked").alias("blob"), "theta")
+    theirs = buckets.select("bucket", "high", "block").join(b_groups.select("bucket", F.col("g").alias("bg")), "bucket").join(cells, "bg").select("qg", "bg", F.lit(1).alias("side"), "high", F.col("block").alias("blob"), F.lit(b"").alias("theta"))
 
     def verify(batches):
+        cell, held = None, []
+
+        def out():
+            found = [x.best() for x in held if x.rows]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            for blob, theta, other in zip(*(b.column(c).to_pylist() for c in ("asked", "theta", "block"))):
-                (qi, qn, q), (ci, cn, c) = _opened(blob), _opened(other)
-                theta = np.frombuffer(theta, np.int64)
-                local = np.where((theta > 0) & (qn * cn[0] > 0), theta / np.maximum(qn * cn[0], 1e-300), -1.0)
-                local = np.where((theta > 0) & (qn * cn[0] == 0), 2.0, local)
-                out = []
-                plain = np.flatnonzero(local < COORDINATES_FROM)
-                if len(plain):
-                    reach = max(len(survivors(q[i], qn[i], theta[i], c, cn, cn)) for i in plain) if (theta[plain] > 0).all() else len(cn)
-                    s = products(q[plain], c[:reach])
-                    r, j = best(s, qi[plain][:, None] != ci[None, :reach], ci[:reach], theta[plain], k)
-                    out.append((qi[plain][r], ci[j], s[r, j]))
-                rest = np.flatnonzero((local >= COORDINATES_FROM) & (local <= 1 + 1e-9))
-                unit = c / np.maximum(cn, 1e-300)[:, None] if len(rest) else None
-                for i in rest:
-                    live = survivors(q[i], qn[i], theta[i], c, cn, unit)
-                    if len(live):
-                        s = products(q[i : i + 1], c[live])
-                        r, j = best(s, (ci[live] != qi[i])[None, :], ci[live], theta[i : i + 1], k)
-                        out.append((np.full(len(j), qi[i]), ci[live][j], s[0, j]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = met.select("asked", "theta", "block").mapInArrow(verify, "query_id long, vec_id long, score long")
+            for qg, bg, side, blob, theta in zip(*(b.column(c).to_pylist() for c in ("qg", "bg", "side", "blob", "theta"))):
+                if (qg, bg) != cell:
+                    yield from out()
+                    cell, held = (qg, bg), []
+                if side == 0:
+                    held.append(Asked(blob, theta, k))
+                else:
+                    ids, norms, m = _opened(blob)
+                    for x in held:
+                        x.meet(ids, norms, m)
+        yield from out()
+
+    dealt = ours.unionByName(theirs).repartition(parts_for(cells.count(), 1, 1, 20_000), "qg", "bg").sortWithinPartitions("qg", "bg", "side", F.col("high").desc())
+    found = dealt.select("qg", "bg", "side", "blob", "theta").mapInArrow(verify, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

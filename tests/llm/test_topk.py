@@ -77,3 +77,14 @@ def test_few_and_none(spark):
     assert got(topk.search(df, F.col("vec_id") % 50 == 0)) == brute([tuple(r) for r in df.collect()], lambda i: i % 50 == 0)
     assert topk.search(df.where("vec_id < 0")).count() == 0
     assert topk.search(df.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("cells,queries", [(3, 8), (4_096, 8), (4, 2)])
+def test_grid(spark, monkeypatch, cells, queries):
+    """Groups of several query blocks and buckets, and the k best of a cell kept as it goes."""
+    for name, value in {"BUCKET": 16, "QUERIES": queries, "CELLS": cells, "GRID": (3, 5) if queries > 2 else (32, 64)}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(size=5) * rng.choice([0.2, 1, 3])]) for k in range(400)] + [(500 + k, [0.5] * 5) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert got(topk.search(df.repartition(4), F.col("vec_id") % 3 == 0)) == brute(rows, lambda i: i % 3 == 0)
