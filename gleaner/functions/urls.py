@@ -27,24 +27,36 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its dot segments."""
+    step = lambda z, x: F.when(x == ".", z).when(x == "..", F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(1)))).otherwise(F.concat(z, F.array(x)))
+    # The first part, before the path's first slash, stays; a path that ends in a dot segment ends in a slash.
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def resolve(url: Column, base: Column) -> Column:
-    """url as seen from base; null if it is null or only a fragment. Dot segments stay as they are."""
+    """url as seen from base, without dot segments; null if it is null or only a fragment."""
     root = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.concat(root, F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", ""))
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    own = F.regexp_extract(url, "^([^?#]*)", 1)
+    rest = F.substr(url, F.length(own) + 1)
     return (
         F.when(url.isNull() | url.startswith("#"), F.lit(None).cast("string"))
         .when(scheme(url) != "", url)
         .when(url.startswith("//"), F.concat(scheme(base), F.lit(":"), url))
-        .when(url.startswith("/"), F.concat(root, url))
+        .when(url.startswith("/"), F.concat(root, without_dots(own), rest))
         .when(url.startswith("?"), F.concat(root, path(base), url))
-        .otherwise(F.concat(folder, url))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
     )
 
 
 def normalized(url: Column, base: Column) -> Column:
-    """Resolved if it names no host; with a path in any case."""
+    """Resolved if it names no host; a URL without a path gets a slash at its end."""
     u = F.when(host(url) == "", resolve(url, base)).otherwise(url)
-    return F.when((host(u) != "") & (path(u) == "") & ~u.rlike("[?#]"), F.concat(u, F.lit("/"))).otherwise(u)
+    return F.when((host(u) != "") & (path(u) == ""), F.concat(u, F.lit("/"))).otherwise(u)
 
 
 def key(url: Column) -> Column:

@@ -18,7 +18,8 @@ for _b in ("<!--.*?-->", "<script.*?>.*?</script>", "<noscript.*?>.*?</noscript>
 _CLEAN = rf"regexp_replace({_CLEAN}, '[\r,\n]\s*\n+', '', 'g')"
 _A = """(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 _BODY = f"regexp_replace({_CLEAN}, '<head.*?</head>', '', 'gs')"
-_RATIO = f"round(coalesce(list_sum(list_transform(regexp_extract_all({_BODY}, '{_A}', 2), lambda x: length(regexp_replace(x, '<[^>]+>', '', 'g')))), 0) / greatest(length(regexp_replace({_BODY}, '<[^>]+>', '', 'g')), 1), 9)"
+_LINKED = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all({_BODY}, '(?is)<{t}(?:[ >][^>]*)?>(.*?)</{t}>', 1), lambda x: length(regexp_replace(x, '<[^>]+>', '', 'g')))), 0)" for t in ("a", "button", "select")).replace("(?:[ >][^>]*)?>", "(?:\\s[^>]*)?>")
+_RATIO = f"round(({_LINKED}) / greatest(length(regexp_replace({_BODY}, '<[^>]+>', '', 'g')), 1), 9)"
 
 
 def _norm(x: str) -> str:
@@ -28,16 +29,18 @@ def _norm(x: str) -> str:
 
 def _links_sql() -> str:
     """Links as (page_id, base, href, url, anchor), one for each distinct page and URL: the first."""
+    refs = lambda x: f"replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
     return rf"""
-a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '{_A}', 1)) AS raw, unnest(regexp_extract_all(html, '{_A}', 2)) AS anchor, generate_subscripts(regexp_extract_all(html, '{_A}', 1), 1) AS pos FROM pages),
+ch AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
+a AS (SELECT page_id, url AS base, {refs(f"unnest(regexp_extract_all(html, '{_A}', 1))")} AS raw, {refs(f"regexp_replace(unnest(regexp_extract_all(html, '{_A}', 2)), '<[^>]+>', '', 'g')")} AS anchor, generate_subscripts(regexp_extract_all(html, '{_A}', 1), 1) AS pos FROM ch),
 t AS (SELECT page_id, base, trim(raw, chr(9) || chr(13) || chr(10) || ' "''') AS href, anchor, pos FROM a),
 k AS (SELECT * FROM t WHERE length(href) >= 2 AND href[1] <> '#'),
 r AS (SELECT *, regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS bs, regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS bh, regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS bp,
   regexp_extract(href, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS hs, regexp_extract(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS hh FROM k),
 v AS (SELECT *, CASE WHEN hh <> '' OR hs <> '' THEN href WHEN href LIKE '//%' THEN bs || ':' || href WHEN href LIKE '/%' THEN bs || '://' || bh || href WHEN href LIKE '?%' THEN bs || '://' || bh || bp || href
   ELSE bs || '://' || bh || regexp_replace(CASE WHEN bp = '' THEN '/' ELSE bp END, '[^/]*$', '') || href END AS u0 FROM r),
-w AS (SELECT *, CASE WHEN regexp_extract(u0, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) <> '' AND regexp_extract(u0, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' AND NOT regexp_matches(u0, '[?#]') THEN u0 || '/' ELSE u0 END AS url FROM v),
-links AS (SELECT page_id, base, href, url, {_norm("regexp_replace(anchor, '<[^>]+>', '', 'g')")} AS anchor, pos FROM w QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)"""
+w AS (SELECT *, CASE WHEN regexp_extract(u0, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) <> '' AND regexp_extract(u0, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN u0 || '/' ELSE u0 END AS url FROM v),
+links AS (SELECT page_id, base, href, url, {_norm("anchor")} AS anchor, pos FROM w QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)"""
 
 
 @query(f"SELECT page_id, {_CLEAN} AS cleaned, length({_CLEAN}) AS n_chars FROM pages")
@@ -153,17 +156,17 @@ def page_link_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.round(H.link_ratio(F.col("html")), 9).alias("link_ratio"))
 
 
-@query(f"SELECT page_id, url, {_RATIO} AS link_ratio, {_RATIO} > 0.6 AS is_hub FROM pages ORDER BY link_ratio DESC, page_id LIMIT 100")
+@query(f"SELECT page_id, url, {_RATIO} AS link_ratio, {_RATIO} > 0.6 AS is_hub FROM pages")
 def hub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.round(H.link_ratio(F.col("html")), 9).alias("link_ratio"))
-    return p.withColumn("is_hub", F.col("link_ratio") > 0.6).orderBy(F.col("link_ratio").desc(), "page_id").limit(100)
+    return p.withColumn("is_hub", F.col("link_ratio") > 0.6)
 
 
-@query(f"SELECT page_id, CASE WHEN {_RATIO} > 0.05 THEN 'links' ELSE 'content' END AS route, CASE WHEN {_RATIO} > 0.05 THEN len(regexp_extract_all(html, '{_A}', 1)) ELSE 0 END AS n_links, CASE WHEN {_RATIO} <= 0.05 THEN length(regexp_replace({_BODY}, '<[^>]+>', '', 'g')) ELSE 0 END AS n_chars FROM pages")
+@query(f"SELECT page_id, CASE WHEN {_RATIO} > 0.05 THEN 'links' ELSE 'content' END AS route, CASE WHEN {_RATIO} > 0.05 THEN len(regexp_extract_all({_CLEAN}, '{_A}', 1)) ELSE 0 END AS n_links, CASE WHEN {_RATIO} <= 0.05 THEN length(regexp_replace({_BODY}, '<[^>]+>', '', 'g')) ELSE 0 END AS n_chars FROM pages")
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, hub = F.col("html"), F.col("r") > 0.05
     p = table(spark, sf_dir, "pages").withColumn("r", F.round(H.link_ratio(h), 9))
-    return p.select("page_id", F.when(hub, "links").otherwise("content").alias("route"), F.when(hub, F.size(H.hrefs(h))).otherwise(0).cast("long").alias("n_links"), F.when(~hub, F.length(H.strip_tags(H.body(h)))).otherwise(0).cast("long").alias("n_chars"))
+    return p.select("page_id", F.when(hub, "links").otherwise("content").alias("route"), F.when(hub, F.size(H.hrefs(H.clean(h)))).otherwise(0).cast("long").alias("n_links"), F.when(~hub, F.length(H.strip_tags(H.body(h)))).otherwise(0).cast("long").alias("n_chars"))
 
 
 @query("SELECT page_id, split_part(url || chr(10) || html, chr(10), 1) AS url, substring(url || chr(10) || html, length(url) + 2) AS html FROM pages")
