@@ -13,7 +13,7 @@ from .common import gram_hashes, only, span_hashes, spread, word_bounds
 from .decontamination import words_line
 
 #: Words of a window, which starts at every word that has as many behind it; units; numbers of an embedding.
-WIDTH, UNITS, DIM = 32, 12, 8
+WIDTH, UNITS, DIM = 32, 8, 8
 #: Character inputs of a word: all runs of so many bytes of it between marks of its ends, dealt to so many learnt vectors.
 GRAMS, BUCKETS = (3, 4), 1 << 14
 #: The bounded sample to fit on: rows of either label, bytes of a text that may be in it. Documents that must hold an input for it to be learnt; passes.
