@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.types import IntegerType
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~，。、；：？！“”‘’（）《》【】…—·"
 STOP = tuple("a an and are as at be by for from in is it of on or that the this to was with der die das und von zu mit den ist le la les de des et en un une que qui pour par el los las y se su con".split())
 CJK = r"[⺀-鿿]"
+_NO_MARKS = {ord(c): None for c in PUNCTUATION}
 
 
 def spaced_cjk(text: Column) -> Column:
@@ -22,6 +25,11 @@ def title_words(text: Column) -> Column:
     return F.filter(t, lambda x: (x != "") & (F.translate(x, PUNCTUATION, "") != ""))
 
 
+def plain_title_words(text: str) -> list[str]:
+    """As title_words, of one text."""
+    return [w for w in re.sub(f"({CJK})", r" \1 ", text).lower().split() if w.translate(_NO_MARKS)]
+
+
 def has_letter(token: Column) -> Column:
     return token.rlike(r"[a-zA-Z⺀-鿿]")
 
@@ -90,7 +98,7 @@ def index_of(text: Column, what: str, start: int = 0) -> Column:
     return F.locate(what, text, start + 1) - 1
 
 
-def _lcs(a: list, b: list, within: bool) -> int:
+def common(a: list, b: list, within: bool) -> int:
     """Length of the longest common subsequence; a column of its table is the bits of one whole number (Hyyrö's recurrence)."""
     at: dict[str, int] = {}
     for i, x in enumerate(a):
@@ -109,10 +117,10 @@ def _lcs(a: list, b: list, within: bool) -> int:
 @F.pandas_udf(IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
-    return pd.Series([0 if x is None or y is None else _lcs(list(x), list(y), False) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([0 if x is None or y is None else common(list(x), list(y), False) for x, y in zip(a, b)], dtype="int32")
 
 
 @F.pandas_udf(IntegerType())
 def lcs_within(a: pd.Series, b: pd.Series) -> pd.Series:
     """As lcs, where a word also equals one that it is part of."""
-    return pd.Series([0 if x is None or y is None else _lcs(list(x), list(y), True) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([0 if x is None or y is None else common(list(x), list(y), True) for x, y in zip(a, b)], dtype="int32")

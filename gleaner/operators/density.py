@@ -1,50 +1,38 @@
-"""Main text by text density (composite)."""
+"""Main text by text density (composite). A page's counts, densities and marks are one fold over its tree, made where the page
+is parsed."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tree import body_of, ends, kids
 from . import dom as D
 
 #: Tags that count as links.
 LINKS = ("a", "button", "select")
-_STATS = "page_id long, node_id int, char_num int, tag_num int, linkchar_num int, linktag_num int"
-
-
-def counts(nodes: DataFrame) -> DataFrame:
-    """node_stats of body nodes: characters, descendants, characters and tags of links. One page is one group; the fold over
-    its nodes in reverse pre-order needs children before parents, which no aggregate gives."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("node_id")
-        ids, parents, tags = p.node_id.tolist(), p.parent_id.tolist(), p.tag.tolist()
-        char, place = p.content.str.len().tolist(), {i: k for k, i in enumerate(ids)}
-        kids: list[list[int]] = [[] for _ in ids]
-        for k, q in enumerate(parents):
-            if not pd.isna(q) and int(q) in place:
-                kids[place[int(q)]].append(k)
-        n, tag = len(ids), [0] * len(ids)
-        for k in range(n - 1, -1, -1):
-            tag[k] = sum(tag[c] + 1 for c in kids[k])
-        inside = [False] * n
-        for k in range(n):
-            inside[k] = inside[k] or tags[k] in LINKS
-            for c in kids[k]:
-                inside[c] = inside[k]
-        lc, lt = [0] * n, [0] * n
-        for k in range(n - 1, -1, -1):
-            if inside[k]:
-                lc[k], lt[k] = char[k], tag[k]
-            else:
-                lc[k] = sum(lc[c] for c in kids[k])
-                lt[k] = sum(lt[c] + int(tags[c] in LINKS or (lt[c] == tag[c] and char[c] == lc[c] and lt[c] != 0)) for c in kids[k])
-        return pd.DataFrame({"page_id": p.page_id.iloc[0], "node_id": ids, "char_num": char, "tag_num": tag, "linkchar_num": lc, "linktag_num": lt})
-
-    return D.body(nodes).select("page_id", "node_id", "parent_id", "tag", "content").groupBy("page_id").applyInPandas(fold, _STATS)
+_STATS = "node_id int, char_num int, tag_num int, linkchar_num int, linktag_num int, ratio double, text_density double, density_sum double, max_density_sum double, threshold double, mark int"
+
+
+def counts(b: list[dict]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of a body's nodes: characters, descendants, characters and tags of links."""
+    below, n = kids(b), len(b)
+    char, tag, inside, lc, lt = [x["content_length"] for x in b], [0] * n, [False] * n, [0] * n, [0] * n
+    for k in range(n - 1, -1, -1):
+        tag[k] = sum(tag[c] + 1 for c in below[k])
+    for k in range(n):
+        inside[k] = inside[k] or b[k]["tag"] in LINKS
+        for c in below[k]:
+            inside[c] = inside[k]
+    for k in range(n - 1, -1, -1):
+        if inside[k]:
+            lc[k], lt[k] = char[k], tag[k]
+        else:
+            lc[k] = sum(lc[c] for c in below[k])
+            lt[k] = sum(lt[c] + int(b[c]["tag"] in LINKS or (lt[c] == tag[c] and char[c] == lc[c] and lt[c] != 0)) for c in below[k])
+    return char, tag, lc, lt
 
 
 def density(c: Column, t: Column, lc: Column, lt: Column, ratio: Column) -> Column:
@@ -61,43 +49,76 @@ def gap(length: Column, ratio: Column) -> Column:
     return F.when((length > 0) & (ratio > 0), F.coalesce(F.try_divide(length * F.log(length), inner), F.lit(0.0))).otherwise(0.0)
 
 
-def stats(nodes: DataFrame) -> DataFrame:
-    """counts with ratio, text_density, density_sum, max_density_sum. A leaf's sum is its density; others add those of their
-    children and the gaps that their own text and their children's tails are."""
-    s = counts(nodes)
-    top = s.groupBy("page_id").agg((F.min_by("linkchar_num", "node_id") / F.greatest(F.min_by("char_num", "node_id"), F.lit(1))).alias("ratio"))
-    s = s.join(top, "page_id").withColumn("text_density", density(F.col("char_num"), F.col("tag_num"), F.col("linkchar_num"), F.col("linktag_num"), F.col("ratio")))
-    tree = nodes.select("page_id", "node_id", "parent_id", "anc", F.length("text").alias("text_n"), F.length("tail").alias("tail_n"))
-    s = s.join(tree, ["page_id", "node_id"])
-    kids = s.groupBy("page_id", F.col("parent_id").alias("node_id")).agg((F.sum("text_density") + F.sum(gap(F.col("tail_n"), F.col("ratio")))).alias("below"))
-    s = s.join(kids, ["page_id", "node_id"], "left").withColumn("density_sum", F.when(F.col("below").isNull(), F.col("text_density")).otherwise(F.col("below") + gap(F.col("text_n"), F.col("ratio")))).drop("below")
-    most = s.select("page_id", "density_sum", F.explode("anc").alias("node_id")).groupBy("page_id", "node_id").agg(F.max("density_sum").alias("max_density_sum"))
-    return s.join(most, ["page_id", "node_id"]).drop("text_n", "tail_n")
-
-
-def marked(s: DataFrame) -> DataFrame:
-    """stats with threshold and mark: 1 for content, 2 for what leads to it, 0 else.
-
-    Threshold: least density from the body to the node of the greatest sum. Of every node down to which densities keep
-    to it, the subtree node of the greatest sum (the first on a tie) is content, with all below."""
-    r = s.withColumn("sum9", F.round("density_sum", 9))
-    best = r.groupBy("page_id").agg(F.min(F.struct((-F.col("sum9")).alias("x"), "node_id", "anc")).alias("b")).select("page_id", F.explode("b.anc").alias("node_id"))
-    thr = best.join(r.select("page_id", "node_id", "text_density"), ["page_id", "node_id"]).groupBy("page_id").agg(F.min("text_density").alias("threshold"))
-    up = r.select("page_id", "node_id", F.explode("anc").alias("a")).join(r.select("page_id", F.col("node_id").alias("a"), F.col("text_density").alias("d")), ["page_id", "a"])
-    visited = up.groupBy("page_id", "node_id").agg(F.min("d").alias("d")).join(thr, "page_id").where("d >= threshold").select("page_id", "node_id")
-    down = r.select("page_id", F.col("node_id").alias("n"), "sum9", F.explode("anc").alias("node_id")).join(visited, ["page_id", "node_id"])
-    targets = down.groupBy("page_id", "node_id").agg(F.min(F.struct((-F.col("sum9")).alias("x"), "n")).alias("t")).select("page_id", F.col("t.n").alias("t")).distinct()
-    one = r.select("page_id", "node_id", F.explode("anc").alias("t")).join(targets, ["page_id", "t"]).select("page_id", "node_id").distinct().withColumn("m1", F.lit(1))
-    two = targets.join(r.select("page_id", F.col("node_id").alias("t"), "anc"), ["page_id", "t"]).select("page_id", F.explode("anc").alias("node_id")).distinct().withColumn("m2", F.lit(2))
-    m = r.join(one, ["page_id", "node_id"], "left").join(two, ["page_id", "node_id"], "left").join(thr, "page_id", "left")
-    return m.withColumn("mark", F.coalesce("m1", "m2", F.lit(0))).drop("m1", "m2", "sum9")
-
-
-def article(nodes: DataFrame) -> DataFrame:
-    """(page_id, para): texts and tails of the marked nodes, in order; a tail stays if its parent does."""
-    m = marked(stats(nodes)).where("mark > 0").select("page_id", "node_id", "mark")
-    kept = nodes.join(m, ["page_id", "node_id"])
-    alive = kept.select("page_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("up"))
-    t = kept.join(alive, ["page_id", "parent_id"], "left").select("page_id", "node_id", F.trim(F.concat_ws(" ", "text", F.when(F.col("up"), F.col("tail")))).alias("t"))
-    g = t.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "t"))).alias("ts"))
-    return g.select("page_id", F.array_join(F.filter(F.transform("ts", lambda x: x["t"]), lambda x: x != ""), " ").alias("para"))
+def plain_density(c: int, t: int, lc: int, lt: int, ratio: float) -> float:
+    """density() of numbers."""
+    if not c:
+        return 0.0
+    t, lc1, lt, u = max(t, 1), max(lc, 1), max(lt, 1), max(c - lc, 1)
+    below = math.log(math.log(c * lc1 / u + ratio * c + math.e))
+    return c / t * math.log((c / lc1) * (t / lt)) / below if below else 0.0
+
+
+def plain_gap(length: int, ratio: float) -> float:
+    """gap() of numbers."""
+    if length <= 0 or ratio <= 0:
+        return 0.0
+    below = math.log(math.log(ratio * length + math.e))
+    return length * math.log(length) / below if below else 0.0
+
+
+def folded(tree: list[dict]) -> tuple[list[dict], list[tuple]]:
+    """A tree's body and its rows of _STATS.
+
+    A leaf's density sum is its density; others add those of their children and the gaps that their own text and their
+    children's tails are. Threshold: least density from the body to the node of the greatest sum. Of every node down to
+    which densities keep to it, the subtree node of the greatest sum (the first on a tie) is content (mark 1), with all
+    below; what leads to one is marked 2, the rest 0."""
+    b = body_of(tree)
+    below, stop, n = kids(b), ends(b), len(b)
+    char, tag, lc, lt = counts(b)
+    ratio = lc[0] / max(char[0], 1)
+    text = [plain_density(*x, ratio) for x in zip(char, tag, lc, lt)]
+    sums = [text[k] if not below[k] else sum(text[c] + plain_gap(len(b[c]["tail"]), ratio) for c in below[k]) + plain_gap(len(b[k]["text"]), ratio) for k in range(n)]
+    most, best, parent = sums[:], list(range(n)), [-1] * n
+    nine = [round(s, 9) for s in sums]
+    for k in range(n - 1, -1, -1):
+        for c in below[k]:
+            parent[c] = k
+            most[k] = max(most[k], most[c])
+            if (-nine[best[c]], best[c]) < (-nine[best[k]], best[k]):
+                best[k] = best[c]
+    at, threshold = best[0], text[best[0]]
+    while parent[at] >= 0:
+        at = parent[at]
+        threshold = min(threshold, text[at])
+    mark, open_ = [0] * n, [0] if text[0] >= threshold else []
+    targets = set()
+    while open_:
+        k = open_.pop()
+        targets.add(best[k])
+        open_ += [c for c in below[k] if text[c] >= threshold]
+    for k in targets:
+        mark[k : stop[k]] = [1] * (stop[k] - k)
+    for k in targets:
+        while (k := parent[k]) >= 0 and not mark[k]:
+            mark[k] = 2
+    return b, [(b[k]["node_id"], char[k], tag[k], lc[k], lt[k], ratio, text[k], sums[k], most[k], threshold, mark[k]) for k in range(n)]
+
+
+def marked(pages: DataFrame) -> DataFrame:
+    """(page_id, node_id, char_num, tag_num, linkchar_num, linktag_num, ratio, text_density, density_sum, max_density_sum,
+    threshold, mark) of the body nodes of pages (page_id, html)."""
+    return D.trees(pages, lambda tree: folded(tree)[1], _STATS)
+
+
+def main_text(tree: list[dict]) -> str:
+    """Texts and tails of the marked nodes, in order; a tail stays if its parent does."""
+    b, rows = folded(tree)
+    alive = {r[0] for r in rows if r[-1]}
+    parts = (" ".join(x for x in (n["text"], n["tail"] if n["parent_id"] in alive else "") if x) for n in b if n["node_id"] in alive)
+    return " ".join(x for x in parts if x)
+
+
+def article(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, keep.., para): main texts of pages (page_id, html) that have any element."""
+    return D.trees(pages, lambda tree: [(main_text(tree),)], "para string", keep)

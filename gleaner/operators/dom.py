@@ -1,132 +1,58 @@
 """Pages as tables of nodes.
 
 dom_nodes: page_id, node_id (pre-order, root 1), parent_id, last_id (last node of the subtree), depth, sib_idx, tag, attrs,
-text, tail, content (normalised text of the subtree), anc (ancestors and the node itself, root first), step. A subtree is
-node_id BETWEEN a.node_id AND a.last_id, so trees need neither recursion nor iterative joins."""
+text, tail, content_length (of the subtree's normalised text), content (that text, of titles, headings, links and strong
+text only). A subtree is node_id BETWEEN a.node_id AND a.last_id. What needs a whole tree at once is worked out where a
+page is parsed, in one pass over the pages and without an exchange (trees())."""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import lcs_within, title_words
+from ..functions.tree import body_of, ends, kids, norm, parse, title_node  # noqa: F401
 
-VOID = frozenset("br img hr input meta link base area col embed source track wbr param".split())
-_BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-SCHEMA = "page_id long, node_id int, parent_id int, last_id int, depth int, sib_idx int, tag string, attrs map<string,string>, text string, tail string, content string, anc array<int>"
-
-
-def norm(text: str | None) -> str:
-    t = re.sub(r"[\r,\n]\s*[\n,\t]+", "\n", (text or "").replace("\t", " "))
-    return " ".join(x for x in (p.strip() for p in t.split(" ")) if x)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.last: int | None = None  # the node whose tail grows
-
-    def _push(self, tag: str, attrs) -> None:
-        parent = self.open[-1] if self.open else None
-        k = len(self.nodes)
-        seen = self.nodes[parent]["seen"] if parent is not None else {}
-        seen[tag] = seen.get(tag, 0) + 1
-        self.nodes.append({"tag": tag, "attrs": {a: v or "" for a, v in attrs}, "parent": parent, "kids": [], "seen": {}, "text": [], "tail": [], "sib": seen[tag]})
-        if parent is not None:
-            self.nodes[parent]["kids"].append(k)
-        self.last = None
-        if tag in VOID:
-            self.last = k
-        else:
-            self.open.append(k)
-
-    def _close_to(self, depth: int) -> None:
-        while len(self.open) > depth:
-            self.last = self.open.pop()
-
-    def handle_starttag(self, tag, attrs):
-        if not self.nodes and tag != "html":
-            self._push("html", ())
-        if tag == "html" and self.nodes:
-            return
-        if tag in _BLOCK:
-            self._implied({"p"}, {"button", "table", "td", "th"})
-        if tag in _CLOSES:
-            self._implied(_CLOSES[tag], _SCOPE[tag])
-        self._push(tag, attrs)
-
-    def _implied(self, tags: set[str], scope: set[str]) -> None:
-        for d in range(len(self.open) - 1, 0, -1):
-            t = self.nodes[self.open[d]]["tag"]
-            if t in tags:
-                self._close_to(d)
-                return
-            if t in scope:
-                return
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.nodes[self.open[-1]]["tag"] == tag:
-            self._close_to(len(self.open) - 1)
-
-    def handle_endtag(self, tag):
-        for d in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[d]]["tag"] == tag:
-                self._close_to(max(d, 1) if tag != "html" else d + 1)
-                return
-
-    def handle_data(self, data):
-        if self.last is not None and self.open and self.nodes[self.last]["parent"] == self.open[-1]:
-            self.nodes[self.last]["tail"].append(data)
-        elif self.open:
-            self.nodes[self.open[-1]]["text"].append(data)
-
-
-def parse(html: str | None) -> list[dict]:
-    """Nodes in pre-order, leaves without text and attributes left out (their number is used up). Never fails: what is open at the end is closed."""
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    nodes, out = b.nodes, []
-    last = list(range(len(nodes)))
-    for k in range(len(nodes) - 1, 0, -1):
-        p = nodes[k]["parent"]
-        if p is not None:
-            last[p] = max(last[p], last[k])
-    full = [""] * len(nodes)
-    for k in range(len(nodes) - 1, -1, -1):
-        x = nodes[k]
-        x["text"], x["tail"] = "".join(x["text"]), "".join(x["tail"])
-        full[k] = x["text"] + "".join(full[c] + nodes[c]["tail"] for c in x["kids"])
-    anc: list[list[int]] = []
-    for k, x in enumerate(nodes):
-        anc.append(([] if x["parent"] is None else anc[x["parent"]]) + [k + 1])
-        if k and not x["kids"] and not norm(x["text"]) and not norm(x["tail"]) and x["tag"] not in ("a", "img", "meta"):
-            continue
-        out.append({"node_id": k + 1, "parent_id": None if x["parent"] is None else x["parent"] + 1, "last_id": last[k] + 1, "depth": len(anc[k]), "sib_idx": x["sib"], "tag": x["tag"], "attrs": x["attrs"], "text": norm(x["text"]), "tail": norm(x["tail"]), "content": norm(full[k]), "anc": anc[k]})
-    return out
+SCHEMA = "page_id long, node_id int, parent_id int, last_id int, depth int, sib_idx int, tag string, attrs map<string,string>, text string, tail string, content_length int, content string"
+def trees(pages: DataFrame, rows: Callable[[list[dict]], Iterable[tuple]], schema: str, keep: tuple[str, ...] = (), clean: bool = True) -> DataFrame:
+    """rows(tree) of each page (page_id, html), behind its page_id and the columns in keep: (page_id, keep.., schema..). Pages
+    are cleaned first in the JVM; those without any element have no rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-
-def nodes(pages: DataFrame, clean: bool = True) -> DataFrame:
-    """dom_nodes of pages (page_id, html), cleaned first in the JVM. Pages without any element have no rows."""
+    p = pages.select("page_id", *keep, (H.clean(F.col("html")) if clean else F.col("html")).alias("html"))
+    whole = StructType([*p.drop("html").schema.fields, *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(whole)
 
     def run(batches):
         for b in batches:
-            rows = [n | {"page_id": i} for i, h in zip(b["page_id"], b["html"]) for n in parse(h)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "node_id", "parent_id", "last_id", "depth", "sib_idx", "tag", "attrs", "text", "tail", "content", "anc"]).astype({"parent_id": "Int32"})
+            html, owner, out = b.column(b.num_columns - 1), [], []
+            for k in range(b.num_rows):
+                if tree := parse(html[k].as_py()):
+                    found = list(rows(tree))
+                    owner += [k] * len(found)
+                    out += found
+            if out:
+                kept = [b.column(c).take(pa.array(owner)) for c in range(b.num_columns - 1)]
+                made = [pa.array(list(v), f.type) for v, f in zip(zip(*out), list(arrow)[len(kept) :])]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip([*kept, *made], arrow)], schema=arrow)
+
+    return p.mapInArrow(run, whole)
 
-    p = pages.select("page_id", (H.clean(F.col("html")) if clean else F.col("html")).alias("html"))
-    return p.mapInPandas(run, SCHEMA)
+
+def nodes(pages: DataFrame, clean: bool = True) -> DataFrame:
+    """dom_nodes of pages (page_id, html). Pages without any element have no rows."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+
+    def rows(tree: list[dict]):
+        for n in tree:
+            yield tuple(list(n["attrs"].items()) if c == "attrs" else n[c] for c in names)
+
+    return trees(pages, rows, SCHEMA.split(", ", 1)[1], clean=clean)
 
 
 def rejected(pages: DataFrame, dom: DataFrame) -> DataFrame:
@@ -153,7 +79,7 @@ def children(dom: DataFrame) -> DataFrame:
 def flags(dom: DataFrame) -> DataFrame:
     """dom with n_children, has_child, no_text, no_tail, no_content, nested, text and content lengths."""
     d = dom.join(children(dom), ["page_id", "node_id"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    return d.withColumns({"has_child": F.col("n_children") > 0, "no_text": F.length("text") == 0, "no_tail": F.length("tail") == 0, "no_content": F.length("content") == 0, "nested": F.col("last_id") > F.col("node_id"), "text_length": F.length("text"), "content_length": F.length("content")})
+    return d.withColumns({"has_child": F.col("n_children") > 0, "no_text": F.length("text") == 0, "no_tail": F.length("tail") == 0, "no_content": F.col("content_length") == 0, "nested": F.col("last_id") > F.col("node_id"), "text_length": F.length("text")})
 
 
 def own_text(dom: DataFrame) -> DataFrame:
@@ -162,25 +88,25 @@ def own_text(dom: DataFrame) -> DataFrame:
     return dom.join(tails, ["page_id", "node_id"], "left").select("page_id", "node_id", F.trim(F.concat_ws(" ", "text", "tails")).alias("own"))
 
 
-def block_text(dom: DataFrame) -> DataFrame:
-    """(page_id, node_id, lines): texts of the subtree by lines, tails behind blanks."""
-    d = dom.select("page_id", "node_id", "text", "tail", F.explode("anc").alias("top"))
-    inner = F.when(F.col("node_id") == F.col("top"), F.col("text")).otherwise(F.trim(F.concat_ws(" ", F.nullif("text", F.lit("")), F.nullif("tail", F.lit("")))))
-    t = d.groupBy("page_id", "top").agg(F.array_sort(F.collect_list(F.struct("node_id", inner.alias("t")))).alias("ts"))
-    return t.select("page_id", F.col("top").alias("node_id"), F.array_join(F.filter(F.transform("ts", lambda x: x["t"]), lambda x: x != ""), "\n").alias("lines"))
+def _joined(parts: Iterable[str], by: str) -> str:
+    return by.join(x for x in parts if x)
 
 
-def height(dom: DataFrame) -> DataFrame:
-    d = dom.select("page_id", "depth", F.explode("anc").alias("top")).groupBy("page_id", "top").agg(F.max("depth").alias("deepest"))
-    return dom.join(d.withColumnRenamed("top", "node_id"), ["page_id", "node_id"]).select("page_id", "node_id", (F.col("deepest") - F.col("depth") + 1).alias("height"))
+def structure(pages: DataFrame) -> DataFrame:
+    """(page_id, node_id, height, xpath, lines) of each node: levels of its subtree, the path to it, and the texts of the
+    subtree by lines, tails behind blanks."""
 
+    def rows(tree: list[dict]):
+        place, end = {n["node_id"]: k for k, n in enumerate(tree)}, ends(tree)
+        path: list[str] = []
+        for k, n in enumerate(tree):
+            above = path[place[n["parent_id"]]] if n["parent_id"] in place else ""
+            path.append(f"{above}/{n['tag']}[{n['sib_idx']}]")
+            below = tree[k : end[k]]
+            inner = (x["text"] if x is n else _joined((x["text"], x["tail"]), " ") for x in below)
+            yield n["node_id"], max(x["depth"] for x in below) - n["depth"] + 1, path[k], _joined(inner, "\n")
 
-def paths(dom: DataFrame) -> DataFrame:
-    """(page_id, node_id, xpath), from each node's ancestors."""
-    steps = dom.select("page_id", F.col("node_id").alias("a"), F.concat("tag", F.lit("["), F.col("sib_idx").cast("string"), F.lit("]")).alias("step"))
-    up = dom.select("page_id", "node_id", F.explode("anc").alias("a")).join(steps, ["page_id", "a"])
-    p = up.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("a", "step"))).alias("s"))
-    return p.select("page_id", "node_id", F.concat(F.lit("/"), F.array_join(F.transform("s", lambda x: x["step"]), "/")).alias("xpath"))
+    return trees(pages, rows, "node_id int, height int, xpath string, lines string")
 
 
 def body(dom: DataFrame) -> DataFrame:
@@ -207,10 +133,8 @@ def title_nodes(dom: DataFrame) -> DataFrame:
 
 def neighbour_text(dom: DataFrame) -> DataFrame:
     """(page_id, node_id, href, near): a link's nearest text within two levels above it."""
-    t = own_text(dom)
-    a = by_tag(dom, "a").select("page_id", "node_id", attr("href").alias("href"), F.get("anc", F.size("anc") - 2).alias("p"), F.get("anc", F.size("anc") - 3).alias("g"))
-    p = t.select("page_id", F.col("node_id").alias("p"), F.nullif("own", F.lit("")).alias("pt"))
+    t = own_text(dom).join(dom.select("page_id", "node_id", "parent_id"), ["page_id", "node_id"])
+    a = by_tag(dom, "a").select("page_id", "node_id", attr("href").alias("href"), F.col("parent_id").alias("p"))
+    p = t.select("page_id", F.col("node_id").alias("p"), F.nullif("own", F.lit("")).alias("pt"), F.col("parent_id").alias("g"))
     g = t.select("page_id", F.col("node_id").alias("g"), F.nullif("own", F.lit("")).alias("gt"))
     return a.join(p, ["page_id", "p"], "left").join(g, ["page_id", "g"], "left").select("page_id", "node_id", "href", F.coalesce("pt", "gt", F.lit("")).alias("near"))
-
-

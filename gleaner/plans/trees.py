@@ -17,27 +17,31 @@ from ..session import table
 from . import query
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
 def _dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built once where more than one step reads it."""
     from ..operators.graph import checkpointed
 
-    return checkpointed(D.nodes(table(spark, sf_dir, "pages")))
+    return checkpointed(D.nodes(_pages(spark, sf_dir)))
 
 
 @query()
 def dom_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.nodes(table(spark, sf_dir, "pages"))
+    return D.nodes(_pages(spark, sf_dir))
 
 
 @query()
 def dom_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.paths(_dom(spark, sf_dir))
+    return D.structure(_pages(spark, sf_dir)).select("page_id", "node_id", "xpath")
 
 
 @query()
 def dom_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dom(spark, sf_dir)
-    return D.flags(d).join(D.height(d), ["page_id", "node_id"]).join(D.own_text(d), ["page_id", "node_id"]).join(D.block_text(d), ["page_id", "node_id"]).drop("attrs", "anc")
+    return D.flags(d).join(D.structure(_pages(spark, sf_dir)).drop("xpath"), ["page_id", "node_id"]).join(D.own_text(d), ["page_id", "node_id"]).drop("attrs")
 
 
 @query()
@@ -52,60 +56,56 @@ def neighbour_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def node_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.marked(C.stats(_dom(spark, sf_dir))).drop("anc")
+    return C.marked(_pages(spark, sf_dir))
 
 
 @query()
 def article_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.article(_dom(spark, sf_dir))
-
-
-def _records(variant: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = _dom(spark, sf_dir)
-        return W.measured(d, W.clusters(d, variant))
-
-    return run
+    return C.article(_pages(spark, sf_dir))
 
 
 for _v in W.VARIANTS:
-    query(name=f"record_clusters_{_v}")(_records(_v))
+    query(name=f"record_clusters_{_v}")(lambda spark, sf_dir, _v=_v: W.measured(_pages(spark, sf_dir), _v))
 
 
 @query()
 def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.article(_dom(spark, sf_dir))
+    return W.article(_pages(spark, sf_dir))
 
 
 @query()
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.documents(table(spark, sf_dir, "pages"), _dom(spark, sf_dir))
+    return W.documents(_pages(spark, sf_dir))
 
 
 @query()
 def page_documents_no_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.documents(table(spark, sf_dir, "pages"), _dom(spark, sf_dir), skip_hubs=True)
+    return W.documents(_pages(spark, sf_dir), skip_hubs=True)
 
 
 @query()
 def extraction_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three extractors side by side."""
-    d = _dom(spark, sf_dir)
-    p = table(spark, sf_dir, "pages").select("page_id", H.normalize(H.strip_tags(H.clean(F.col("html")))).alias("para"))
-    each = [("density", C.article(d)), ("records", W.article(d).select("page_id", "para")), ("tags", p)]
-    out = None
-    for name, x in each:
-        x = x.select("page_id", F.lit(name).alias("method"), "para")
-        out = x if out is None else out.unionByName(x)
-    return out
+    return W.compared(_pages(spark, sf_dir))
 
 
 @query()
 def lcs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted articles against the text of <article>."""
-    gold = table(spark, sf_dir, "pages").select("page_id", T.words(H.strip_tags(F.regexp_extract(H.clean(F.col("html")), "(?s)<article>(.*?)</article>", 1))).alias("gold"))
-    got = C.article(_dom(spark, sf_dir)).select("page_id", T.words(F.col("para")).alias("candidate"))
-    return E.lcs_score(gold.join(got, "page_id")).select("page_id", "p", "r", "f1", "score")
+    gold = T.words(H.strip_tags(F.regexp_extract(H.clean(F.col("html")), "(?s)<article>(.*?)</article>", 1)))
+    got = C.article(_pages(spark, sf_dir).select("page_id", "html", gold.alias("gold")), ("gold",)).withColumn("candidate", T.words(F.col("para")))
+    return E.lcs_score(got).select("page_id", "p", "r", "f1", "score")
+
+
+# Densities and gaps over counts that a table has: lines of an order are the nodes of a page.
+_NODES = "n AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 7 AS BIGINT) % 90 AS c, CAST(l_quantity AS BIGINT) % 4 AS t, CAST(l_quantity * 5 AS BIGINT) % 40 AS lc, CAST(l_linenumber AS BIGINT) % 3 AS lt, l_discount * 4 AS ratio FROM lineitem)"
+
+
+@query(f"WITH {_NODES}, o AS (SELECT *, greatest(t, 1)::DOUBLE AS t1, greatest(lc, 1)::DOUBLE AS lc1, greatest(lt, 1)::DOUBLE AS lt1, greatest(c - lc, 1)::DOUBLE AS u FROM n) SELECT l_orderkey, l_linenumber, round(CASE WHEN c = 0 THEN 0.0 ELSE c / t1 * ln((c / lc1) * (t1 / lt1)) / ln(ln(c * lc1 / u + ratio * c + exp(1.0))) END, 6) AS density, round(CASE WHEN c > 0 AND ratio > 0 THEN coalesce(c * ln(c) / nullif(ln(ln(ratio * c + exp(1.0))), 0), 0.0) ELSE 0.0 END, 6) AS gap FROM o")
+def density_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, n = F.col("l_quantity"), F.col("l_linenumber").cast("long")
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((q * 7).cast("long") % 90).alias("c"), (q.cast("long") % 4).alias("t"), ((q * 5).cast("long") % 40).alias("lc"), (n % 3).alias("lt"), (F.col("l_discount") * 4).alias("ratio"))
+    return t.select("l_orderkey", "l_linenumber", F.round(C.density(*(F.col(x) for x in ("c", "t", "lc", "lt", "ratio"))), 6).alias("density"), F.round(C.gap(F.col("c"), F.col("ratio")), 6).alias("gap"))
 
 
 @query()

@@ -28,7 +28,7 @@ ROWS_ONLY = {
     "lda_topics": ["topic", "rank", "term", "weight"],
     "cotraining": ["id", "prob"],
     "rls_fit": ["event_type", "n", "w"],
-    "dom_nodes": ["page_id", "node_id", "parent_id", "last_id", "depth", "sib_idx", "tag", "attrs", "text", "tail", "content", "anc"],
+    "dom_nodes": ["page_id", "node_id", "parent_id", "last_id", "depth", "sib_idx", "tag", "attrs", "text", "tail", "content_length", "content"],
     "dom_paths": ["page_id", "node_id", "xpath"],
     "title_node_lcs": ["page_id", "node_id", "content", "lcs"],
     "neighbour_text": ["page_id", "node_id", "href", "near"],
