@@ -146,14 +146,16 @@ class Pieces:
         return out
 
 
-_HELD: dict[str, Pieces] = {}
-
-
 def shared(vocabulary: str) -> Pieces:
-    """The tokenizer of a worker process, which its tasks share with the pieces it knows."""
-    if vocabulary not in _HELD:
-        _HELD[vocabulary] = Pieces(load(vocabulary))
-    return _HELD[vocabulary]
+    """The tokenizer of a worker process, which its tasks share with the pieces it knows. It hangs on a module of the process's
+    own, as this package's functions reach each task anew, by value."""
+    import sys
+    import types
+
+    known = sys.modules.setdefault("_gleaner_of_process", types.ModuleType("_gleaner_of_process")).__dict__
+    if vocabulary not in known:
+        known[vocabulary] = Pieces(load(vocabulary))
+    return known[vocabulary]
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
