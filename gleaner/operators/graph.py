@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -110,29 +112,46 @@ def reach(edges: DataFrame, seeds: DataFrame, steps: int, stored=None) -> DataFr
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; in a folder of our own where it names none."""
-    spark = df.sparkSession
+_OWN: dict[str, str] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in one of the application's own where it names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         import tempfile
 
-        at = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    path = f"{at}/gleaner-graph/{uuid.uuid4().hex}"
+        at = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        _OWN[spark.sparkContext.applicationId] = at
+    return f"{at}/gleaner-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. spent() removes them all."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spent(spark: SparkSession) -> None:
+    """Removes what this application has stored in the shared folder, when no result that reads it is needed any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x").rsplit("/", 1)[0])
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def crawl(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int, batch: int = 1, score: str = "oracle", epsilon: float = 0.0, seed: int = 1) -> DataFrame:
-    """(step, nid, weight, total): a simulated crawl. Each step takes the `batch` best nodes of the frontier, reveals their
+def crawl(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int, batch: int | None = 1, score: str | Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = "oracle", epsilon: float = 0.0, seed: int = 1) -> DataFrame:
+    """(step, nid, weight, total): a simulated crawl. Each step takes the `batch` best nodes of the frontier (None: all), reveals their
     weights and adds what they point to. Scores: 'oracle' (true weight), 'bfs' (sooner found first), 'relevance' (sum of
-    revealed in-neighbours' weights); with probability epsilon a step takes any nodes instead. Ties go to the smaller id."""
+    revealed in-neighbours' weights), or a function of the frontier (nid, found, weight, which it must not look at), of
+    what was taken (nid, step, weight) and the edges that adds the column score; with probability epsilon a step takes any nodes instead. Ties go to the smaller id."""
     every = all_nodes(nodes, edges)
     front = checkpointed(seeds.select("nid").distinct().withColumn("found", F.lit(0)))
     done = checkpointed(front.limit(0).select("nid", F.lit(0).alias("step"), F.lit(0.0).alias("weight")))
     for k in range(1, steps + 1):
         c = front.join(every, "nid", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-        if score == "oracle":
+        if callable(score):
+            c = score(c, done, edges)
+        elif score == "oracle":
             c = c.withColumn("score", F.col("weight"))
         elif score == "bfs":
             c = c.withColumn("score", -F.col("found").cast("double"))
@@ -141,7 +160,8 @@ def crawl(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int, batc
             c = c.join(seen, "nid", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         explore = (F.pmod(F.xxhash64(F.lit(seed), F.lit(k)), F.lit(10_000)) / 10_000) < epsilon
         c = c.withColumn("key", F.when(explore, F.xxhash64(F.lit(seed), F.lit(k), "nid").cast("double")).otherwise(F.col("score")))
-        picked = checkpointed(c.orderBy(F.col("key").desc(), "nid").limit(batch).select("nid", F.lit(k).alias("step"), "weight"))
+        best = c if batch is None else c.orderBy(F.col("key").desc(), "nid").limit(batch)
+        picked = checkpointed(best.select("nid", F.lit(k).alias("step"), "weight"))
         if picked.isEmpty():
             break
         done = checkpointed(done.unionByName(picked))
@@ -150,3 +170,14 @@ def crawl(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int, batc
     total = done.groupBy("step").agg(F.sum("weight").alias("w"))
     upto = total.alias("a").join(total.alias("b"), F.col("b.step") <= F.col("a.step")).groupBy(F.col("a.step").alias("step")).agg(F.sum("b.w").alias("total"))
     return done.join(upto, "step").select("step", "nid", "weight", "total")
+
+
+def raced(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, steps: int, scores: dict, batch: int | None = 1, **options) -> DataFrame:
+    """(name, seconds, step, nid, weight, total): the same crawl under several ways of scoring, each with what it took."""
+    out = None
+    for name, score in scores.items():
+        start = time.perf_counter()
+        c = checkpointed(crawl(nodes, edges, seeds, steps, batch, score, **options))
+        c = c.select(F.lit(name).alias("name"), F.lit(time.perf_counter() - start).alias("seconds"), "step", "nid", "weight", "total")
+        out = c if out is None else out.unionByName(c)
+    return out

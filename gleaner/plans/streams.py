@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frontier as P
+from ..operators.graph import shared_path
 from ..session import table
 from ..streaming import replay as R
 from . import query
@@ -20,19 +19,10 @@ def _score(links: DataFrame) -> DataFrame:
     return r.where("v is not null").select("parent_url", "url", "node_weight", "v.label", "v.prob")
 
 
-def _folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    return f"{at}/gleaner-stream/{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_LEV.replace('WHERE label IS NOT NULL', 'WHERE label IS NOT NULL AND url NOT IN (SELECT url FROM pages)')} SELECT url, level, priority FROM lev")
 def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages replayed as a stream; the frontier that is left."""
-    out = _folder(spark)
+    out = shared_path(spark, "stream")
     R.crawl(R.pages(spark, f"{sf_dir}/pages.parquet*"), _score, out, f"{out}/checkpoint").awaitTermination()
     return R.frontier(spark, out).select("url", "level", F.round("priority", 9).alias("priority"))
 

@@ -115,5 +115,12 @@ def porter_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def url_word_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = breaker(frozenset({"the", "th", "her", "re", "ha", "an", "on", "example", "in", "ing", "er", "ti"}))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(b(U.tokens(F.col("url"))), " ").alias("tokens"))
+    """URLs' words parted by a dictionary file: the words of the pages' titles."""
+    from ..operators.graph import shared_path
+    from ..sources.files import read_dictionary, write_lines
+
+    path, pages = shared_path(spark, "dictionary"), _pages(spark, sf_dir)
+    write_lines(pages.select(F.explode(T.title_words(H.title(F.col("html"))))).distinct(), path)
+    known = read_dictionary(spark, path).where(F.length("term") > 1)
+    b = breaker(frozenset(r["term"] for r in known.toLocalIterator()))
+    return pages.select("page_id", F.array_join(b(U.tokens(F.col("url"))), " ").alias("tokens"))

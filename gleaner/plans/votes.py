@@ -12,6 +12,7 @@ from ..operators import votes as V
 from ..functions import text as T
 from ..functions import urls as U
 from ..session import table
+from ..operators.models import agreement
 from . import query
 from .corpus import _WORDS
 from .pages import _TOK, _links_sql
@@ -79,17 +80,17 @@ def trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.trimmed_mean(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), "n")
 
 
-@query("SELECT 'page' || page_id AS name, length(url) AS gold, length(html) AS candidate FROM pages WHERE page_id % 3 <> 0 AND page_id % 2 = 0")
+@query("SELECT 'page' || page_id AS name, length(url) AS gold, length(html) AS candidate FROM pages")
 def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").withColumn("name", F.concat(F.lit("page"), F.col("page_id").cast("string")))
-    gold = p.where("page_id % 3 <> 0").select("name", F.length("url").cast("long").alias("gold"))
-    return E.paired(p.where("page_id % 2 = 0").select(F.concat(F.lit("C_"), "name").alias("name"), F.length("html").cast("long").alias("candidate")), gold)
+    gold = p.select("name", F.length("url").cast("long").alias("gold"))
+    return E.paired(p.select(F.concat(F.lit("C_"), "name").alias("name"), F.length("html").cast("long").alias("candidate")), gold)
 
 
-@query(f"WITH {_PRED}, t AS (SELECT doc_id, truth FROM pr), q AS (SELECT doc_id, predicted FROM pr WHERE doc_id % 5 <> 0) SELECT t.doc_id, truth, predicted FROM t JOIN q ON t.doc_id = q.doc_id")
+@query(f"WITH {_PRED}, t AS (SELECT doc_id, truth FROM pr), q AS (SELECT doc_id, predicted FROM pr) SELECT t.doc_id, truth, predicted FROM t JOIN q ON t.doc_id = q.doc_id")
 def align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    return E.aligned(p.select("doc_id", "truth"), p.where("doc_id % 5 <> 0").select("doc_id", "predicted"), "doc_id")
+    return E.aligned(p.select("doc_id", "truth"), p.select("doc_id", "predicted"), "doc_id")
 
 
 @query(f"WITH w AS (SELECT doc_id, list_distinct({_WORDS}) AS c, list_distinct({_WORDS.replace('text', 'left(text, length(text) // 2)')}) AS g FROM documents), i AS (SELECT doc_id, len(list_intersect(c, g)) AS n, len(c) AS c, len(g) AS g FROM w) SELECT doc_id, round(coalesce(n / nullif(c, 0), 0), 9) AS p, round(coalesce(n / nullif(g, 0), 0), 9) AS r, round(coalesce(n / nullif(c + g - n, 0), 0), 9) AS score FROM i")
@@ -146,12 +147,12 @@ def url_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN (p1 >= 0.5) = (p2 >= 0.5) THEN (p1 >= 0.5)::INTEGER WHEN p1 + p2 > 1 THEN 1 WHEN p1 + p2 < 1 THEN 0 ELSE ascii(md5(doc_id::VARCHAR)) % 2 END AS label, round((p1 + p2) / 2, 9) AS prob FROM (SELECT doc_id, {_p('1', 'doc_id')} AS p1, {_p('2', 'doc_id')} AS p2 FROM documents)")
 def cotrain_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p1, p2 = pseudo("1", "doc_id"), pseudo("2", "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", V.two_views(p1, p2, F.col("doc_id")).alias("label"), F.round((p1 + p2) / 2, 9).alias("prob"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.two_views(p1, p2, F.col("doc_id")).alias("label"), F.round(agreement(p1, p2), 9).alias("prob"))
 
 
-@query("SELECT doc_id, unnest(['para', 'meta', 'title_meta1_para', 'title_meta2_para', 'title_meta3_para']) AS variant, md5(unnest([left(text, 60), source, lang || ' ' || source || ' ' || left(text, 60), lang || ' ' || source || ' ' || source || ' ' || left(text, 60), lang || ' ' || source || ' ' || source || ' ' || source || ' ' || left(text, 60)])) AS digest FROM documents")
+@query("SELECT doc_id, unnest(['para', 'meta', 'title_meta1_para', 'title_meta2_para', 'title_meta3_para']) AS variant, md5(unnest([text, source, lang || ' ' || source || ' ' || text, lang || ' ' || source || ' ' || source || ' ' || text, lang || ' ' || source || ' ' || source || ' ' || source || ' ' || text])) AS digest FROM documents")
 def field_weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("title"), F.col("source").alias("meta"), F.left("text", F.lit(60)).alias("para"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("title"), F.col("source").alias("meta"), F.col("text").alias("para"))
     return V.field_variants(d).select("doc_id", "variant", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

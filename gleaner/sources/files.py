@@ -10,10 +10,10 @@ from pyspark.sql import types as Ty
 
 @F.pandas_udf(Ty.StringType())
 def _by_name(raw: pd.Series, encoding: pd.Series) -> pd.Series:
-    """Bytes by the encoding named, else GBK, else null: the JVM's function knows neither."""
+    """Bytes by the encoding named, else UTF-8, else GBK, else null: the JVM's function knows neither."""
 
     def one(b: bytes | None, name: str | None) -> str | None:
-        for e in (name, "gb2312", "gbk") if b is not None else ():
+        for e in (name, "utf-8", "gb2312", "gbk") if b is not None else ():
             try:
                 return bytes(b).decode(e or "gbk")
             except (LookupError, UnicodeDecodeError):
@@ -23,10 +23,11 @@ def _by_name(raw: pd.Series, encoding: pd.Series) -> pd.Series:
 
 
 def decode(raw: Column, encoding: Column | None = None) -> Column:
-    """Bytes as text: UTF-8 if they are, else by the encoding named, else GBK (which holds GB2312), else null. Only what is no
-    UTF-8 goes to Python."""
-    other = F.when(~F.is_valid_utf8(raw.cast("string")), raw)
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(_by_name(other, F.lit(None).cast("string") if encoding is None else encoding))
+    """Bytes as text: by the encoding named, if one is, else UTF-8 if they are, else GBK (which holds GB2312), else null. What
+    is UTF-8 and names nothing else stays in the JVM."""
+    named = F.lit(None).cast("string") if encoding is None else encoding
+    plain = F.is_valid_utf8(raw.cast("string")) & F.coalesce(F.lower(named).isin("utf-8", "utf8", "ascii", "us-ascii"), F.lit(True))
+    return F.when(plain, raw.cast("string")).otherwise(_by_name(F.when(~plain, raw), named))
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +69,20 @@ def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
     corpus.select(F.concat_ws("\t", F.col("label").cast("string"), clean(F.col("text"))).alias("value")).write.mode(mode).text(path)
 
 
+def corpus_round_trip(corpus: DataFrame) -> DataFrame:
+    """corpus (label, text) written to the shared folder as lines and read back."""
+    from ..operators.graph import shared_path
+
+    path = shared_path(corpus.sparkSession, "corpus")
+    write_corpus(corpus, path)
+    return read_corpus(corpus.sparkSession, path)
+
+
+def write_lines(values: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One column as lines."""
+    values.toDF("value").select(F.col("value").cast("string")).write.mode(mode).text(path)
+
+
 DOCUMENT = "title string, meta string, url string, div string"
 
 
