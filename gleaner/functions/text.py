@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~，。、；：？！“”‘’（）《》【】…—·"
-STOP = tuple("a an and are as at be by for from in is it of on or that the this to was with der die das und von zu mit den ist le la les de des et en un une que qui pour par el los las y se su con".split())
+#: Words left out, by language.
+STOPS = {
+    "en": tuple("a an and are as at be by for from in is it of on or that the this to was with".split()),
+    "de": tuple("der die das und von zu mit den ist".split()),
+    "fr": tuple("le la les de des et en un une que qui pour par".split()),
+    "es": tuple("el los las y se su con".split()),
+}
+STOP = tuple(w for words in STOPS.values() for w in words)
 CJK = r"[⺀-鿿]"
 _NO_MARKS = {ord(c): None for c in PUNCTUATION}
 
@@ -47,6 +54,13 @@ def without_stops(tokens: Column, stops: tuple[str, ...] = STOP) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(*stops))
 
 
+def without_stops_of(tokens: Column, language: Column) -> Column:
+    """Without the words left out in a language; of other languages all stay."""
+    lists = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in STOPS.items() for x in pair))
+    own = F.coalesce(F.try_element_at(lists, language), F.array().cast("array<string>"))
+    return bound(own, lambda stops: F.filter(tokens, lambda x: ~F.array_contains(stops, x)))
+
+
 def squeezed(text: Column) -> Column:
     """'' for less than 2 characters, otherwise without any white space."""
     return F.when(F.length(text) < 2, "").otherwise(F.regexp_replace(F.regexp_replace(text, r"[\r,\n]\s", ""), r"\s+", ""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 from .text import common, plain_title_words
@@ -144,3 +145,37 @@ def title_node(tree: list[dict]) -> tuple[dict, int] | None:
             if shared >= 1 and (best is None or shared > best[1]):
                 best = n, shared
     return best
+
+
+def without(tree: list[dict], gone: Callable[[dict], bool]) -> list[dict]:
+    """A tree without the subtrees of such nodes; their tails go with them."""
+    out, upto = [], 0
+    for n in tree:
+        if n["node_id"] > upto:
+            if gone(n):
+                upto = n["last_id"]
+            else:
+                out.append(n)
+    return out
+
+
+def changed(tree: list[dict], which: Callable[[dict], bool], **values) -> list[dict]:
+    """A tree in which such nodes have other values (tag, text, tail), or attributes if attrs is given (None removes one)."""
+    attrs = values.pop("attrs", {})
+    new = lambda n: {**n, **values, "attrs": {k: v for k, v in {**n["attrs"], **attrs}.items() if v is not None}}
+    return [new(n) if which(n) else n for n in tree]
+
+
+def unwrapped(tree: list[dict], which: Callable[[dict], bool]) -> list[dict]:
+    """A tree in which the children of such nodes are their parent's; the root stays."""
+    up: dict[int, int | None] = {}
+    out = []
+    for n in tree:
+        parent = n["parent_id"]
+        while parent in up:
+            parent = up[parent]
+        if n["parent_id"] is not None and which(n):
+            up[n["node_id"]] = parent
+            continue
+        out.append({**n, "parent_id": parent, "depth": 1 if parent is None else next(x["depth"] for x in reversed(out) if x["node_id"] == parent) + 1})
+    return out

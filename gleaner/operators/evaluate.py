@@ -85,3 +85,14 @@ def lines_aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "left"))
     y = b.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "right"))
     return x.join(y, [key, "pos"])
+
+
+def checked(articles: DataFrame, gold: DataFrame, words) -> DataFrame:
+    """One row (n, p, r, f1, score): means over the pages that articles (page_id, para) and gold (page_id, gold text) share, of
+    scores over 0.01 and without one least and one greatest; words parts a text."""
+    pairs = aligned(articles.select("page_id", words(F.col("para")).alias("candidate")), gold.select("page_id", words(F.col("gold")).alias("gold")), "page_id")
+    s = lcs_score(pairs).withColumn("all", F.lit(1))
+    out = s.agg(F.count("*").alias("n")).withColumn("all", F.lit(1))
+    for c in ("p", "r", "f1", "score"):
+        out = out.join(trimmed_mean(s, "all", c).select("all", F.col("mean").alias(c)), "all", "left")
+    return out.drop("all")

@@ -29,9 +29,10 @@ def with_tokens(df: DataFrame, text: str = "text", tokenizer: str | None = "word
     return df.withColumn("tokens", (custom or TOKENIZERS[tokenizer])(F.coalesce(F.col(text), F.lit(""))))
 
 
-def binary(ratio: float = 0.4, vocabulary: int = ALL, method: str = "logistic", estimator=None, select: bool = True) -> Pipeline:
-    """tokens -> counts -> the share `ratio` of the terms by chi-square -> idf -> a linear model of column label."""
-    stages = [CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary, minDF=2)]
+def binary(ratio: float = 0.4, vocabulary: int = ALL, method: str = "logistic", estimator=None, select: bool = True, converter: list | None = None) -> Pipeline:
+    """tokens -> counts -> the share `ratio` of the terms by chi-square -> idf -> a linear model of column label. A converter, stages
+    that make `counts` of `tokens`, takes the place of the vocabulary."""
+    stages = list(converter or [CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary, minDF=2)])
     last = "counts"
     if select:
         pick = UnivariateFeatureSelector(featuresCol="counts", outputCol="picked", labelCol="label", selectionMode="percentile").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(ratio)
@@ -64,6 +65,46 @@ def cross_validated(pipeline: Pipeline, df: DataFrame, folds: int = 3, seed: int
     return check.fit(df).avgMetrics[0]
 
 
+def reported(pipeline: Pipeline, train: DataFrame, test: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """A model fitted on train, and (label, precision, recall) in percent of what it predicts of test; column label on both."""
+    from . import evaluate as E
+
+    m = pipeline.fit(train)
+    p = m.transform(test).select(F.col("label").cast("double").alias("truth"), F.col("prediction").alias("predicted"))
+    return m, E.report(E.by_label(p))
+
+
+class Bundle:
+    """Models by name (of URLs, anchors, paragraphs, ..) that are kept together: name -> (model, column of the text)."""
+
+    def __init__(self, models: dict[str, tuple[PipelineModel, str]]):
+        self.models = models
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name, (m, _) in self.models.items():
+            m.write().overwrite().save(f"{path}/{name}")
+        spark.createDataFrame([(n, c) for n, (_, c) in self.models.items()], "name string, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bundle:
+        return cls({r["name"]: (PipelineModel.load(f"{path}/{r['name']}"), r["text"]) for r in spark.read.parquet(f"{path}/names").collect()})
+
+    def predict(self, df: DataFrame, **rules: Column) -> DataFrame:
+        """df with a struct (label, prob) for each model, under its name: what its rule says, where it says anything, else
+        what the model predicts, labels as '0' and '1'."""
+        for name, (m, text) in self.models.items():
+            had = df.columns
+            out = scored(m, with_tokens(df, text))
+            vote = F.struct(F.col("prediction").cast("int").cast("string").alias("label"), "prob")
+            df = out.select(*had, F.coalesce(rules[name], vote).alias(name) if name in rules else vote.alias(name))
+        return df
+
+
+def json_map(df: DataFrame, key: str, label: str = "prediction", prob: str = "prob") -> DataFrame:
+    """(value): for each row, key: [label, probability] as JSON, a line each; the lines of all rows are the map."""
+    return df.select(F.to_json(F.create_map(F.col(key).cast("string"), F.array(F.col(label).cast("int").cast("string"), F.format_string("%.6f", prob)))).alias("value"))
+
+
 class PerClass:
     """One against the rest, each class with its own gram ratios as weights: one vector of hashed gram counts for a
     document, and for each class its ratios by feature (scaled in the JVM) and a linear model; the classes are few, so
@@ -118,14 +159,16 @@ def topics(df: DataFrame, k: int = 20, iterations: int = 50, words: int = 10, se
     return t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x")).select("topic", "rank", F.get(vocab, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"))
 
 
-def cotrain(df: DataFrame, rounds: int = 30, pool: int = 75, positive: int = 1, negative: int = 1, checkpoint=None, seed: int = 1) -> tuple:
+def cotrain(df: DataFrame, rounds: int = 30, pool: int = 75, positive: int = 1, negative: int = 1, checkpoint=None, seed: int = 1, estimators: tuple | None = None) -> tuple:
     """Two-view training on df (id, x1, x2 vectors, label 1, 0 or -1 for unknown) -> the two models.
 
     Each round fits a model per view, scores a pool of unknown rows, and labels at most `positive` and `negative` of those
-    on which both agree, the surest by the sum of their probabilities; the pool is refilled."""
+    on which both agree, the surest by the sum of their probabilities; the pool is refilled. Estimators of the two views
+    may be given: of columns x1 and x2, with probabilities."""
     keep = checkpoint or checkpointed
     known, rest = keep(df.where("label >= 0")), keep(df.where("label < 0"))
-    fit = lambda: [LogisticRegression(featuresCol=x, labelCol="label", maxIter=10, regParam=0.01).fit(known) for x in ("x1", "x2")]
+    views = estimators or tuple(LogisticRegression(featuresCol=x, labelCol="label", maxIter=10, regParam=0.01) for x in ("x1", "x2"))
+    fit = lambda: [e.fit(known) for e in views]
     for _ in range(rounds):
         m = fit()
         few = rest.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pool)

@@ -161,6 +161,20 @@ def measured(pages: DataFrame, variant: str = "right_siblings") -> DataFrame:
     return D.trees(pages, rows, "cluster int, n_records int, n_text int, all_links boolean, comments boolean, valid boolean")
 
 
+def links(pages: DataFrame, variant: str = "right_siblings", valid: bool = False) -> DataFrame:
+    """(page_id, cluster, node_id, href, anchor): links within the records of each cluster (or of valid ones), once for each."""
+
+    def rows(tree: list[dict]):
+        b, found, _ = clustered(tree, variant)
+        end, good = ends(b), judged(b, found)
+        for first, own in found.items():
+            if not valid or good[first][4]:
+                at = sorted({k for i in own for k in range(i, end[i]) if b[k]["tag"] == "a" and b[k]["attrs"].get("href")})
+                yield from ((b[first]["node_id"], b[k]["node_id"], b[k]["attrs"]["href"], b[k]["content"]) for k in at)
+
+    return D.trees(pages, rows, "cluster int, node_id int, href string, anchor string")
+
+
 def main_text(tree: list[dict], variant: str = "right_siblings") -> tuple[str, str]:
     """(title, para): text from the first to the last record of the valid cluster with most text (the first on a tie), from
     the title's node on if that comes before. Without such a cluster the title is the text."""

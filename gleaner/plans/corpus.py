@@ -39,6 +39,11 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.array_join(T.without_stops(T.words(F.col("text"))), " ").alias("kept"))
 
 
+@query(f"WITH {_BASE} SELECT doc_id, array_to_string(list_filter(ws, lambda x: NOT list_contains(CASE label {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {list(v)}' for k, v in T.STOPS.items())} ELSE [] END, x)), ' ') AS kept FROM w")
+def stopwords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(T.without_stops_of(T.words(F.col("text")), F.col("label")), " ").alias("kept"))
+
+
 @query("SELECT doc_id, trim(regexp_replace('中文' || text, '([⺀-鿿])', ' \\1 ', 'g')) AS spaced FROM documents")
 def cjk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.trim(T.spaced_cjk(F.concat(F.lit("中文"), "text"))).alias("spaced"))

@@ -97,6 +97,19 @@ def lcs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.lcs_score(got).select("page_id", "p", "r", "f1", "score")
 
 
+@query()
+def extraction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the scores of the density extractor against the text of <article>."""
+    p = _pages(spark, sf_dir)
+    gold = p.select("page_id", H.strip_tags(F.regexp_extract(H.clean(F.col("html")), "(?s)<article>(.*?)</article>", 1)).alias("gold"))
+    return E.checked(C.article(p), gold, T.words)
+
+
+@query()
+def record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.links(_pages(spark, sf_dir))
+
+
 # Densities and gaps over counts that a table has: lines of an order are the nodes of a page.
 _NODES = "n AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 7 AS BIGINT) % 90 AS c, CAST(l_quantity AS BIGINT) % 4 AS t, CAST(l_quantity * 5 AS BIGINT) % 40 AS lc, CAST(l_linenumber AS BIGINT) % 3 AS lt, l_discount * 4 AS ratio FROM lineitem)"
 

@@ -117,3 +117,21 @@ def test_title_nodes_both_ways(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     one = D.trees(p, lambda tree: [(t[0]["node_id"], t[1]) for t in [title_node(tree)] if t], "node_id int, lcs int")
     assert sorted(tuple(r) for r in one.collect()) == sorted((r["page_id"], r["node_id"], r["lcs"]) for r in D.title_nodes(D.nodes(p)).collect())
+
+
+def test_changing_trees(spark):
+    from gleaner.functions import tree as T
+
+    t = T.parse("<div id=a><p class=x>one<b>two</b>three</p><script>no</script><p>four</p></div>")
+    tags = lambda nodes: [n["tag"] for n in nodes]
+    assert tags(T.without(t, lambda n: n["attrs"].get("class") == "x")) == ["html", "div", "script", "p"]
+    new = T.changed(t, lambda n: n["tag"] == "div", attrs={"id": None, "role": "main"}, text="new")
+    assert [(n["attrs"], n["text"]) for n in new if n["tag"] == "div"] == [({"role": "main"}, "new")] and t[1]["attrs"] == {"id": "a"}
+    flat = T.unwrapped(t, lambda n: n["tag"] in ("p", "div"))
+    assert [(n["tag"], n["parent_id"], n["depth"]) for n in flat] == [("html", None, 1), ("b", 1, 2), ("script", 1, 2)]
+
+
+def test_links_of_records(spark):
+    html = "<html><body><ul>" + "".join(f"<li>text {k} <a href='/{k}'>go {k}</a></li>" for k in range(3)) + "</ul><a href='/no'>out</a></body></html>"
+    got = W.links(pages(spark, html)).orderBy("node_id").collect()
+    assert [(r["href"], r["anchor"]) for r in got] == [(f"/{k}", f"go {k}") for k in range(3)] and len({r["cluster"] for r in got}) == 1

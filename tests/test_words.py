@@ -106,6 +106,34 @@ def test_word_break():
     assert S.word_break("ab" * 3000 + "x", known) is None and len(S.word_break("ab" * 3000, known)) == 3000
 
 
+def test_dictionary_segments(spark):
+    from gleaner.functions import segment as G
+
+    known = {"北京": 10, "大学": 8, "北京大学": 20, "生": 2, "大学生": 6, "活": 1, "生活": 9}
+    assert G.precise("北京大学生活好", known, 4) == ["北京大学", "生活", "好"]
+    assert G.full("北京大学生", known, 4) == ["北京", "北京大学", "大学", "大学生"] and G.full("好北京x", known, 4) == ["好", "北京", "x"]
+    df = spark.createDataFrame([(1, "北京 大学生"), (2, None), (3, "")], "i int, t string")
+    assert [r["w"] for r in df.select("i", G.segmenter(known)(F.col("t")).alias("w")).orderBy("i").collect()] == [["北京", "大学生"], None, []]
+
+
+def test_bundle_and_report(spark, tmp_path):
+    from gleaner.operators import models as K
+
+    df = spark.createDataFrame([(k, "good fine nice" if k % 2 else "bad worse ugly", "red" if k % 2 else "blue", float(k % 2)) for k in range(40)], "id int, text string, anchor string, label double")
+    one = K.hashed(1 << 8)
+    m, report = K.reported(one, K.with_tokens(df.where("id < 30")), K.with_tokens(df.where("id >= 30")))
+    assert sorted(tuple(r) for r in report.collect()) == [(0.0, "100.00%", "100.00%"), (1.0, "100.00%", "100.00%")]
+    b = K.Bundle({"para": (m, "text"), "url": (one.fit(K.with_tokens(df, "anchor")), "link")})
+    b.save(spark, f"file://{tmp_path}/b")
+    rule = F.when(F.col("id") == 3, F.struct(F.lit("0").alias("label"), F.lit(1.0).alias("prob")))
+    got = {r["id"]: r for r in K.Bundle.load(spark, f"file://{tmp_path}/b").predict(df.withColumnRenamed("anchor", "link"), url=rule).collect()}
+    assert all(r["para"]["label"] == str(i % 2) for i, r in got.items()) and all(r["url"]["label"] == ("0" if i == 3 else str(i % 2)) for i, r in got.items())
+    line = K.json_map(spark.createDataFrame([("u", 1.0, 0.75)], "url string, prediction double, prob double"), "url").first()[0]
+    assert line == '{"u":["1","0.750000"]}'
+    own = K.binary(select=False, converter=[K.HashingTF(inputCol="tokens", outputCol="counts", numFeatures=64)])
+    assert own.fit(K.with_tokens(df)).transform(K.with_tokens(df)).where("prediction = label").count() == 40
+
+
 def plain_lcs(a, b, same):
     row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
