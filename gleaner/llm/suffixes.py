@@ -205,7 +205,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def _packed(ids: list, texts: list[bytes]) -> bytes:
     known = np.array([i is not None for i in ids])
-    return pack(np.array([LAST if i is None else i for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64), b"".join(texts), level=3)
+    return pack(np.array([LAST if i is None else i for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64), b"".join(texts), level=5)
 
 
 def _opened(blob: bytes):
@@ -224,7 +224,7 @@ class Anchored:
         n = len(data)
         self.run = self.n = np.zeros(0, np.int64)
         self.value = self.key = np.zeros(0, np.uint64)
-        self.anchors, self.twice = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.span, self.grams = length - min(gram, length), np.zeros(0, np.uint64)
         if n < length:
             return
         gram = min(gram, length)
@@ -232,13 +232,7 @@ class Anchored:
         least = sliding_min(g, length - gram + 1)
         self.owner, self.number = spread(self.sizes)
         whole = self.number[: len(least)] + length <= self.sizes[self.owner[: len(least)]]
-        # A gram anchors if it is the least of some whole window that holds it.
-        reach = length - gram
-        seen = np.concatenate([np.zeros(reach, np.uint64), np.where(whole, least, 0).astype(np.uint64), np.zeros(reach, np.uint64)])
-        most = ~sliding_min(~seen, reach + 1)
-        picked = g[(g == most[: len(g)])]
-        self.anchors, count = np.unique(picked, return_counts=True)
-        self.twice = count > 1
+        self.grams, self.least = g, np.where(whole, least, 0).astype(np.uint64)
         key = least
         if hot is not None and len(hot):
             some = np.isin(cell_of(least, cells), hot)
@@ -250,6 +244,14 @@ class Anchored:
         self.n = np.flatnonzero(whole & ~np.append(whole[1:] & ~new[1:], False)) - self.run + 1
         self.value, self.key = least[self.run], key[self.run]
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, and which stand in more than one place: a gram anchors if it is the least of some whole
+        window that holds it."""
+        none = np.zeros(self.span, np.uint64)
+        most = ~sliding_min(~np.concatenate([none, self.least, none]), self.span + 1) if len(self.grams) else self.grams
+        values, count = np.unique(self.grams[self.grams == most[: len(self.grams)]], return_counts=True)
+        return values, count > 1
+
     def strings(self, values: np.ndarray):
         """(anchor as a signed number, document's number, start, string) of the runs whose anchor is one of values."""
         k = np.flatnonzero(np.isin(self.value, values))
@@ -264,11 +266,11 @@ def _repeated_anchors(blocks: DataFrame, buckets: int, length: int, gram: int) -
     def deal(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                x = Anchored(blob.as_py(), length, gram)
-                to = (mixed(x.anchors) % np.uint64(buckets)).astype(np.int32)
+                anchors, twice = Anchored(blob.as_py(), length, gram).anchors()
+                to = (mixed(anchors) % np.uint64(buckets)).astype(np.int32)
                 turn = np.argsort(to, kind="stable")
                 some, cut = np.unique(to[turn], return_index=True)
-                blobs = [pack(x.anchors[turn[a:z]], x.twice[turn[a:z]]) for a, z in zip(cut, [*cut[1:], len(turn)])]
+                blobs = [pack(anchors[turn[a:z]], twice[turn[a:z]]) for a, z in zip(cut, [*cut[1:], len(turn)])]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
 
     def gather(batches):
@@ -345,7 +347,7 @@ def _first_places(blocks: DataFrame, repeated: DataFrame, buckets: int, length:
                     elif place > (y[2], y[3]):
                         y[2], y[3] = place
                 some = sorted(seen)
-                blobs = [pack(np.array([len(s) for s in seen[k]], np.int64), np.array(list(seen[k].values()), np.int64), b"".join(seen[k])) for k in some]
+                blobs = [pack(np.array([len(s) for s in seen[k]], np.int64), np.array(list(seen[k].values()), np.int64), b"".join(seen[k]), level=3) for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
 
     def solve(strings: dict[bytes, list]):
