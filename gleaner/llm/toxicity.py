@@ -163,24 +163,33 @@ class Model:
         """Logits of `size` windows: inputs(d, t) are those of step t in direction d, live says which steps have words."""
         score, value = np.zeros((WIDTH, size), np.float32), np.zeros((WIDTH, size), np.float32)
         half, two, whole = np.float32(0.5), 2 * UNITS, None if live is None else live.all(1)
-        for d in "fb":
-            h, got = np.zeros((UNITS, size), np.float32), np.zeros((len(heads[d]), size), np.float32)
-            for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
-                gx = inputs(d, t)
-                zr = gx[:two] + got[:two]
-                np.tanh(zr, out=zr)
-                zr *= half
-                zr += half
-                n = zr[UNITS:] * got[two : two + UNITS]
-                n += gx[two:]
-                np.tanh(n, out=n)
-                new = h - n
-                new *= zr[:UNITS]
-                new += n
-                h = new if live is None or whole[t] else np.where(live[t], new, h)
-                got = heads[d] @ h
-                score[t] += got[-2]
-                value[t] += got[-1]
+        # Both directions take their steps side by side.
+        out = np.stack([heads["f"], heads["b"]])
+        h, got = np.zeros((2, UNITS, size), np.float32), np.zeros((2, out.shape[1], size), np.float32)
+        zr, n = np.empty((2, two, size), np.float32), np.empty((2, UNITS, size), np.float32)
+        for t in range(WIDTH):
+            steps = t, WIDTH - 1 - t
+            gx = [inputs(d, k) for d, k in zip("fb", steps)]
+            for k in (0, 1):
+                np.add(gx[k][:two], got[k, :two], out=zr[k])
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            np.multiply(zr[:, UNITS:], got[:, two : two + UNITS], out=n)
+            for k in (0, 1):
+                n[k] += gx[k][two:]
+            np.tanh(n, out=n)
+            old = None if live is None or whole[list(steps)].all() else h.copy()
+            h -= n
+            h *= zr[:, :UNITS]
+            h += n
+            if old is not None:
+                for k in (0, 1):
+                    h[k] = np.where(live[steps[k]], h[k], old[k])
+            np.matmul(out, h, out=got)
+            for k in (0, 1):
+                score[steps[k]] += got[k, -2]
+                value[steps[k]] += got[k, -1]
         if live is not None:
             score = np.where(live, score, -1e9)
         weight = np.exp(score - score.max(0))
