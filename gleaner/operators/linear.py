@@ -58,6 +58,27 @@ def loss(kind: str, z: np.ndarray, y: np.ndarray, margin: float = 0.1) -> tuple[
     raise ValueError(kind)
 
 
+def chosen_rows(corpus: DataFrame, known: DataFrame) -> DataFrame:
+    """corpus (doc_id, label, text), known (tok, id from 1) -> (doc_id, label double, ids array<int>): the known words of each
+    text, as often as they stand there; texts without any stay. Words meet their numbers in one join."""
+    from . import terms as M
+
+    found = M.tokens(corpus.select("doc_id", "text")).join(known.select("tok", (F.col("id") - 1).cast("int").alias("i")), "tok")
+    lists = found.groupBy("doc_id").agg(F.collect_list("i").alias("ids"))
+    none = F.array().cast("array<int>")
+    return corpus.join(lists, "doc_id", "left").select("doc_id", F.col("label").cast("double").alias("label"), F.coalesce("ids", none).alias("ids"))
+
+
+def by_chi(corpus: DataFrame, ratio: float = 0.4, least: int = 2) -> DataFrame:
+    """(tok, id): the share `ratio` of the words of `least` documents or more, by chi-square over all labels, numbered from 1."""
+    from . import terms as M
+
+    counts = checkpointed(M.class_counts(corpus.where("label is not null")))
+    common = counts.groupBy("tok").agg(F.sum("a").alias("df")).where(F.col("df") >= least).select("tok")
+    best = M.top_ratio(M.chi_full(counts.join(common, "tok", "left_semi")), ratio)
+    return checkpointed(M.numbered(best, F.col("chi").desc(), "tok", name="id").select("tok", "id"))
+
+
 class Linear:
     """w (classes or 1, size + 1), classes: labels by number (of two, the second is the positive one); None for numbers."""
 

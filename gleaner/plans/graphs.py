@@ -68,10 +68,10 @@ def oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.all_nodes(*graph(spark, sf_dir))
 
 
-@query(f"WITH {_N}, {_E}, u AS (SELECT nid, weight, 0 AS s FROM n UNION ALL SELECT src, max(weight), 1 FROM e WHERE src LIKE '%7' GROUP BY src) SELECT nid, arg_max(weight, s) AS newest, arg_min(weight, s) AS oldest FROM u GROUP BY nid")
+@query(f"WITH {_N}, {_E}, u AS (SELECT nid, weight, 0 AS s FROM n UNION ALL SELECT src, max(weight), 1 FROM e GROUP BY src) SELECT nid, arg_max(weight, s) AS newest, arg_min(weight, s) AS oldest FROM u GROUP BY nid")
 def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    new = e.where("src LIKE '%7'").groupBy(F.col("src").alias("nid")).agg(F.max("weight").alias("weight"))
+    new = e.groupBy(F.col("src").alias("nid")).agg(F.max("weight").alias("weight"))
     return G.put_nodes(n, new).withColumnRenamed("weight", "newest").join(G.put_nodes(n, new, False).withColumnRenamed("weight", "oldest"), "nid")
 
 

@@ -56,6 +56,39 @@ def test_crawls(spark, graph):
     assert len(order(score="relevance")) == 5 and sorted(n for n, _ in order(epsilon=1.0)) == ["1", "2", "3", "4", "5"]
 
 
+def test_own_scores_and_races(spark, graph):
+    nodes, edges = graph
+    seed = spark.createDataFrame([("1",)], "nid string")
+    by_name = lambda front, done, edges: front.withColumn("score", F.col("nid").cast("double"))
+    assert [r["nid"] for r in G.crawl(nodes, edges, seed, 4, score=by_name).orderBy("step").collect()] == ["1", "3", "5", "4"]
+    r = G.raced(nodes, edges, seed, 3, {"all": "bfs", "own": by_name}, batch=None).collect()
+    assert {(x["name"], x["step"], x["nid"]) for x in r} == {(n, *x) for n in ("all", "own") for x in ((1, "1"), (2, "2"), (2, "3"), (3, "4"), (3, "5"))}
+    assert all(x["seconds"] > 0 for x in r)
+
+
+def test_encodings_in_turn(spark):
+    rows = [(1, "中".encode(), None), (2, "中".encode(), "latin-1"), (3, "中".encode("gbk"), None), (4, "é".encode("latin-1"), "ascii"), (5, b"\xff\xff\xff", None), (6, None, "utf-8"), (7, "é".encode(), "no such"), (8, b"ok", "UTF-8")]
+    df = spark.createDataFrame(rows, "k int, raw binary, name string")
+    got = [r["t"] for r in df.select("k", S.decode(F.col("raw"), F.col("name")).alias("t")).orderBy("k").collect()]
+    assert got == ["中", "中".encode().decode("latin-1"), "中", None, None, None, "é", "ok"]
+    assert df.select(S.decode(F.col("raw")).alias("t")).where("t = '中'").count() == 3
+
+
+def test_lines(spark, tmp_path):
+    S.write_lines(spark.range(3), str(tmp_path / "l"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["0", "1", "2"]
+
+
+def test_spent_tables_go(spark):
+    import os
+
+    at = G.shared_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0].replace("//", "/")
+    G.checkpointed(spark.range(3))
+    assert os.listdir(at)
+    G.spent(spark)
+    assert not os.path.exists(at)
+
+
 def test_frontier(spark):
     rows = [("a", "p", 0.4, "0", 0.85), ("b", "p", 0.2, "0", 0.6), ("b", "q", 0.6, "0", 0.55), ("c", "p", 1.0, "0", 0.4), ("d", "p", 1.0, "1", 0.9), ("a", "p", 0.1, "0", 0.5)]
     f = P.levels(P.upsert(spark.createDataFrame(rows, "url string, parent_url string, node_weight double, label string, prob double")))
