@@ -162,9 +162,11 @@ class Model:
     def _pooled(self, inputs, heads: dict[str, np.ndarray], size: int, live: np.ndarray | None = None) -> np.ndarray:
         """Logits of `size` windows: inputs(d, t) are those of step t in direction d, live says which steps have words."""
         score, value = np.zeros((WIDTH, size), np.float32), np.zeros((WIDTH, size), np.float32)
-        half, two, whole = np.float32(0.5), 2 * UNITS, None if live is None else live.all(1)
+        half, one, two, whole = np.float32(0.5), np.float32(1), 2 * UNITS, None if live is None else live.all(1)
         # Both directions take their steps side by side.
         out = np.stack([heads["f"], heads["b"]])
+        # A gate is (1 + tanh) / 2: of the reset gate the half is in the heads already, of the update gate it comes last.
+        out[:, two : two + UNITS] *= half
         h, got = np.zeros((2, UNITS, size), np.float32), np.zeros((2, out.shape[1], size), np.float32)
         zr, n = np.empty((2, two, size), np.float32), np.empty((2, UNITS, size), np.float32)
         for t in range(WIDTH):
@@ -173,8 +175,7 @@ class Model:
             for k in (0, 1):
                 np.add(gx[k][:two], got[k, :two], out=zr[k])
             np.tanh(zr, out=zr)
-            zr *= half
-            zr += half
+            zr += one
             np.multiply(zr[:, UNITS:], got[:, two : two + UNITS], out=n)
             for k in (0, 1):
                 n[k] += gx[k][two:]
@@ -182,6 +183,7 @@ class Model:
             old = None if live is None or whole[list(steps)].all() else h.copy()
             h -= n
             h *= zr[:, :UNITS]
+            h *= half
             h += n
             if old is not None:
                 for k in (0, 1):
@@ -199,7 +201,12 @@ class Model:
         return (value * weight).sum(0) + self.p["o"]
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        """A text's score is that of its most toxic window."""
+        """A text's score is that of its most toxic window. Equal texts are scored once."""
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(t or b"", len(place)) for t in texts], np.int64)
+        return self._scores(list(place))[which] if texts else np.zeros(0)
+
+    def _scores(self, texts: list[bytes]) -> np.ndarray:
         out, at = np.empty(len(texts)), 0
         while at < len(texts):
             first, held = at, 0
