@@ -253,7 +253,7 @@ def local_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "tok", M.LOCAL["tf"](F.col("n")).alias("tf"), F.round(M.LOCAL["logtf"](F.col("n")), 9).alias("logtf"), M.LOCAL["binary"](F.col("n")).alias("in_doc"))
 
 
-@query(f"WITH {_BASE}, f AS (SELECT tok, min({{'d': doc_id, 'p': pos}}) AS at FROM t GROUP BY tok) SELECT tok, row_number() OVER (ORDER BY at.d, at.p, tok) - 1 AS id FROM f")
+@query(f"WITH {_BASE}, f AS (SELECT tok, min({{'d': doc_id, 'p': pos}}) AS fs FROM t GROUP BY tok) SELECT tok, row_number() OVER (ORDER BY fs.d, fs.p, tok) - 1 AS id FROM f")
 def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_seen(M.tokens(corpus(spark, sf_dir)))
 
