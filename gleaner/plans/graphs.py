@@ -11,8 +11,8 @@ from ..session import table
 from . import query
 from .pages import _links_sql
 
-# Suppliers point to the parts they sold, and parts that were returned to their suppliers.
-_N = "n AS (SELECT 's' || s_suppkey AS nid, s_acctbal AS weight FROM supplier UNION ALL SELECT 'p' || p_partkey, p_retailprice FROM part)"
+# Suppliers point to the parts they sold, and parts that were returned to their suppliers. Weights are whole cents, so sums are exact.
+_N = "n AS (SELECT 's' || s_suppkey AS nid, round(s_acctbal * 100) AS weight FROM supplier UNION ALL SELECT 'p' || p_partkey, round(p_retailprice * 100) FROM part)"
 _E = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, sum(l_quantity) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"
 _ALL = "al AS (SELECT DISTINCT nid FROM (SELECT nid FROM n UNION ALL SELECT src FROM e UNION ALL SELECT dst FROM e))"
 _IN = "i AS (SELECT dst AS nid, coalesce(n.weight, 0) AS nw, e.weight AS ew, src FROM e LEFT JOIN n ON n.nid = e.src)"
@@ -20,8 +20,8 @@ _IN = "i AS (SELECT dst AS nid, coalesce(n.weight, 0) AS nw, e.weight AS ew, src
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    nodes = table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("nid"), F.col("s_acctbal").alias("weight"))
-    nodes = nodes.unionAll(table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("nid"), F.col("p_retailprice").alias("weight")))
+    nodes = table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("nid"), F.round(F.col("s_acctbal") * 100).alias("weight"))
+    nodes = nodes.unionAll(table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("nid"), F.round(F.col("p_retailprice") * 100).alias("weight")))
     sold = table(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("s"), name("p", "l_partkey").alias("p"), "l_quantity", "l_returnflag")
     total = lambda rows, a, b: rows.groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
     return nodes, total(sold, "s", "p").unionAll(total(sold.where("l_returnflag = 'R'"), "p", "s"))
