@@ -128,16 +128,17 @@ def _pass(data: DataFrame, w: np.ndarray, kind: str, classes: list | None, weigh
 def fit(data: DataFrame, kind: str = "logistic", penalty: str = "l2", c: float = 1.0, size: int = 1 << 16, steps: int = 30, weights: dict | None = None, start: Linear | None = None, margin: float = 0.1) -> Linear:
     """Least of c * (sum of losses) + the penalty (half the square, or the sum of magnitudes) of the weights, over data (label,
     ids); the bias goes free. Labels are two classes, any number of them (crammer) or numbers (regression). With a
-    start, further steps from it: a model can go on learning from new rows. `weights` weigh classes' rows."""
+    start, further steps from it: a model can go on learning from new rows. `weights` weigh classes' rows. Without any
+    rows all predictions are 0."""
     data = checkpointed(data.where("label is not null").select("label", "ids"))
     n = data.count()
     classes = None if kind == "regression" else start.classes if start else sorted(r[0] for r in data.select("label").distinct().collect())
     if classes is not None and kind != "crammer" and len(classes) > 2:
         raise ValueError("two classes, or crammer for more")
-    shape = (len(classes) if kind == "crammer" else 1, size + 1)
+    shape = (max(1, len(classes)) if kind == "crammer" else 1, size + 1)
     w = start.w.copy() if start else np.zeros(shape)
     if not n:
-        return Linear(w, classes)
+        return Linear(w, classes or None)
     weights = weights or {}
     run = lambda v, k: _pass(data, v, k, classes, weights, margin) / n
     # The greatest curvature, by a few steps of the power method.
