@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ SAMPLE, SAMPLE_BYTES, LEAST, PASSES = 1_500, 1 << 16, 3, 8
 DRAWN, DRAWS, STEPS = 2, 6, 40
 #: Bytes of texts and words read at a time; windows of a step.
 _GROUP, _WORDS, _CHUNK = 1 << 20, 1 << 20, 2_048
+#: e^v is ((w^2 + a)^2 + b w + c)^32 with w = slope v + shift: 1 / (1 + e^v) is then off by 2e-6 at most, for v from _LEAST_V on.
+_SLOPE, _SHIFT, _A, _B, _C = map(np.float32, (0.014103287, 0.45379826, 0.60964465, 0.73536384, 0.0011264787))
+_LEAST_V = -64.0
 
 
 def _rows(offsets: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +114,42 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at + 1, 0)
 
 
+def _firsts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each window of words, which begins at `at`: the first window with the same words, compared one by one."""
+    h = span_hashes(words.astype(np.uint64), at, at + WIDTH)
+    code, kinds = pd.factorize(h)
+    first = np.empty(len(kinds), np.int64)
+    first[code[::-1]] = np.arange(len(at))[::-1]
+    out = first[code]
+    again = np.flatnonzero(out != np.arange(len(at)))
+    for k in range(WIDTH):
+        differ = words[at[again] + k] != words[at[out[again]] + k]
+        if differ.any():
+            out[again[differ]] = again[differ]
+            again = again[~differ]
+    return out
+
+
+def _power(w: np.ndarray, out: np.ndarray, floor: np.float32 | None = None) -> np.ndarray:
+    """e^v of w = _SLOPE v + _SHIFT, into out; w is spent. What lies below the floor counts as the floor."""
+    if floor is not None:
+        np.maximum(w, floor, out=w)
+    np.square(w, out=out)
+    out += _A
+    np.square(out, out=out)
+    w *= _B
+    out += w
+    out += _C
+    for _ in range(5):
+        np.square(out, out=out)
+    return out
+
+
+def _moved(g: np.ndarray, t: int, size: int) -> np.ndarray:
+    """Columns t to t + size of the first of two tables, and of the second those as far from its end."""
+    return np.ndarray((2, g.shape[1], size), g.dtype, g, 4 * t, (g.strides[0] + 4 * (WIDTH - 1 - 2 * t), g.strides[1], 4))
+
+
 class Model:
     """words: hashes of those that have a vector of their own; p: parameters by name."""
 
@@ -128,14 +168,24 @@ class Model:
 
     def logits(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """Each window's logit, and its text. In long texts a step's words are those of the step before, moved by one;
-        windows that reach into the next text are dropped."""
+        windows that reach into the next text are dropped, and windows of equal words are scored once."""
         begin, left, owner = x.starts()
         v = self.vectors(x)
         v = np.concatenate([v, np.zeros((1, v.shape[1]), np.float32)])
-        # A gate is 1 / (1 + e^-g) = (1 + tanh(g / 2)) / 2.
-        half = np.where(np.arange(3 * UNITS) < 2 * UNITS, 0.5, 1).astype(np.float32)
-        tables = {d: ((v @ self.p[f"w{d}"] + self.p[f"b{d}"]) * half).astype(np.float32) for d in "fb"}
-        heads = {d: np.concatenate([(self.p[f"u{d}"] * half).T, [self.p[f"a{d}"], self.p[f"o{d}"]]]).astype(np.float32) for d in "fb"}
+        # A reset or update gate is 1 / (1 + e^-g), a new state 1 - 2 / (1 + e^2g): the tables and heads hold what _power
+        # takes. The last columns of a table are the state behind a window's first word.
+        factor = np.where(np.arange(3 * UNITS) < 2 * UNITS, -1, 2).astype(np.float32)
+        tables, heads, floor = [], [], None
+        for d in "fb":
+            g, u = (v @ self.p[f"w{d}"] + self.p[f"b{d}"]) * factor, self.p[f"u{d}"] * factor
+            if (g.min(0) - np.abs(u).sum(0)).min() < _LEAST_V:
+                floor = np.float32(_SLOPE * _LEAST_V + _SHIFT)
+            with np.errstate(over="ignore"):
+                n = 1 - 2 / (1 + np.exp(g[:, 2 * UNITS :]))
+                h = n - n / (1 + np.exp(g[:, :UNITS]))
+            tables.append(np.concatenate([_SLOPE * g + _SHIFT, h], 1).astype(np.float32))
+            heads.append(np.concatenate([_SLOPE * u.T, [self.p[f"a{d}"], self.p[f"o{d}"]]]).astype(np.float32))
+        heads = np.stack(heads)
         out = np.empty(len(begin), np.float32)
         long = x.sizes >= 2 * WIDTH
         each = np.flatnonzero(~long[owner])
@@ -143,55 +193,67 @@ class Model:
             some = each[lo : lo + _CHUNK]
             at = places(begin[some], left[some]).T
             s = np.append(x.seq, len(v) - 1)[at]
-            out[some] = self._pooled(lambda d, t: np.ascontiguousarray(tables[d].take(s[t], 0).T), heads, at.shape[1], at >= 0)
+            got = lambda t: np.stack([tables[k].take(s[i], 0).T for k, i in enumerate((t, WIDTH - 1 - t))])  # noqa: B023, E731
+            out[some] = self._pooled(got, heads, at.shape[1], floor, at >= 0)
         if long.any():
             words = np.append(x.seq[np.repeat(long, x.sizes)], np.full(WIDTH - 1, len(v) - 1))
-            n = len(words) - WIDTH + 1
-            got = np.empty(n, np.float32)
-            for lo in range(0, n, _CHUNK):
-                size = min(_CHUNK, n - lo)
-                s = words[lo : lo + size + WIDTH - 1]
-                g = {d: np.ascontiguousarray(tables[d].take(s, 0).T) for d in "fb"}
-                got[lo : lo + size] = self._pooled(lambda d, t: g[d][:, t : t + size], heads, size)  # noqa: B023
             # What shorter texts before it hold is not in words.
             shift = np.cumsum(np.where(long, 0, x.sizes))
             mine = long[owner]
-            out[mine] = got[begin[mine] - shift[owner[mine]]]
+            place = begin[mine] - shift[owner[mine]]
+            first = _firsts(words, place)
+            # Words of no window that is the first of its kind are left out.
+            edges = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edges, place[first], 1)
+            np.subtract.at(edges, place[first] + WIDTH, 1)
+            held = np.cumsum(edges[:-1]) > 0
+            kept, rank = words[held], np.cumsum(held) - 1
+            n = len(kept) - WIDTH + 1
+            got = np.empty(n, np.float32)
+            for lo in range(0, n, _CHUNK):
+                size = min(_CHUNK, n - lo)
+                s = kept[lo : lo + size + WIDTH - 1]
+                g = np.stack([np.ascontiguousarray(t.take(s, 0).T) for t in tables])
+                got[lo : lo + size] = self._pooled(lambda t: _moved(g, t, size), heads, size, floor)  # noqa: B023
+            out[mine] = got[rank[place[first]]]
         return out, owner
 
-    def _pooled(self, inputs, heads: dict[str, np.ndarray], size: int, live: np.ndarray | None = None) -> np.ndarray:
-        """Logits of `size` windows: inputs(d, t) are those of step t in direction d, live says which steps have words."""
+    def _pooled(self, inputs, heads: np.ndarray, size: int, floor: np.float32 | None, live: np.ndarray | None = None) -> np.ndarray:
+        """Logits of `size` windows: inputs(t) are those of step t in both directions, live says which steps have words."""
         score, value = np.zeros((WIDTH, size), np.float32), np.zeros((WIDTH, size), np.float32)
-        half, one, two, whole = np.float32(0.5), np.float32(1), 2 * UNITS, None if live is None else live.all(1)
-        # Both directions take their steps side by side.
-        out = np.stack([heads["f"], heads["b"]])
-        # A gate is (1 + tanh) / 2: of the reset gate the half is in the heads already, of the update gate it comes last.
-        out[:, two : two + UNITS] *= half
-        h, got = np.zeros((2, UNITS, size), np.float32), np.zeros((2, out.shape[1], size), np.float32)
-        zr, n = np.empty((2, two, size), np.float32), np.empty((2, UNITS, size), np.float32)
-        for t in range(WIDTH):
-            steps = t, WIDTH - 1 - t
-            gx = [inputs(d, k) for d, k in zip("fb", steps)]
-            for k in (0, 1):
-                np.add(gx[k][:two], got[k, :two], out=zr[k])
-            np.tanh(zr, out=zr)
-            zr += one
-            np.multiply(zr[:, UNITS:], got[:, two : two + UNITS], out=n)
-            for k in (0, 1):
-                n[k] += gx[k][two:]
-            np.tanh(n, out=n)
-            old = None if live is None or whole[list(steps)].all() else h.copy()
-            h -= n
-            h *= zr[:, :UNITS]
-            h *= half
-            h += n
-            if old is not None:
+        one, two, whole = np.float32(1), 2 * UNITS, None if live is None else live.all(1)
+        got = np.empty((2, heads.shape[1], size), np.float32)
+        w, zr = np.empty((2, two, size), np.float32), np.empty((2, two, size), np.float32)
+        n, e = np.empty((2, UNITS, size), np.float32), np.empty((2, UNITS, size), np.float32)
+        # Both directions take their steps side by side. What overflows stands for a gate that is shut.
+        with np.errstate(over="ignore"):
+            for t in range(WIDTH):
+                steps, gx = (t, WIDTH - 1 - t), inputs(t)
+                if not t:
+                    h = np.ascontiguousarray(gx[:, 3 * UNITS :])
+                    if live is not None:
+                        h *= live[list(steps), None]
+                else:
+                    old = None if live is None or whole[list(steps)].all() else h.copy()
+                    np.add(gx[:, :two], got[:, :two], out=w)
+                    _power(w, zr, floor)
+                    zr += one
+                    np.divide(got[:, two : two + UNITS], zr[:, UNITS:], out=n)
+                    n += gx[:, two : two + UNITS]
+                    _power(n, e, floor)
+                    e += one
+                    np.divide(np.float32(-2), e, out=n)
+                    n += one
+                    h -= n
+                    h /= zr[:, :UNITS]
+                    h += n
+                    if old is not None:
+                        for k in (0, 1):
+                            h[k] = np.where(live[steps[k]], h[k], old[k])
+                np.matmul(heads, h, out=got)
                 for k in (0, 1):
-                    h[k] = np.where(live[steps[k]], h[k], old[k])
-            np.matmul(out, h, out=got)
-            for k in (0, 1):
-                score[steps[k]] += got[k, -2]
-                value[steps[k]] += got[k, -1]
+                    score[steps[k]] += got[k, -2]
+                    value[steps[k]] += got[k, -1]
         if live is not None:
             score = np.where(live, score, -1e9)
         weight = np.exp(score - score.max(0))

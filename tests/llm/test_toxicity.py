@@ -183,3 +183,62 @@ def test_every_window_is_scored_alone():
     assert np.abs(logit - alone).max() < 1e-4
     best = m.scores([" ".join(w).encode() for w in words])
     assert np.allclose(best, [1 / (1 + np.exp(-logit[owner == k].max())) for k in range(len(words))], atol=1e-5)
+
+
+def test_power_against_exp():
+    """Gates by _power against gates by exp, down to the floor and up to where it overflows."""
+    v = np.concatenate([np.linspace(toxicity._LEAST_V, 40, 50_001), [-1e4, -200, 200, 1e4, 1e9]]).astype(np.float32)
+    floor = np.float32(toxicity._SLOPE * toxicity._LEAST_V + toxicity._SHIFT)
+    with np.errstate(over="ignore"):
+        e = toxicity._power(toxicity._SLOPE * v + toxicity._SHIFT, np.empty_like(v), floor)
+        assert np.abs(1 / (1 + e.astype(np.float64)) - 1 / (1 + np.exp(v.astype(np.float64)))).max() < 2e-6
+
+
+def test_weights_of_any_size():
+    """Steps far beyond what a trained network has: the gates are shut or open, not wrong."""
+    texts, y, say, common, rare = _planted()
+    m = toxicity.train(texts[:80], y[:80], passes=1)
+    for d in "fb":
+        m.p[f"w{d}"] = m.p[f"w{d}"] * 400
+    x = toxicity.Inputs(texts[:9])
+    at, owner = x.windows()
+    got, v = m.logits(x)[0], m.vectors(x)
+    sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -700, 700)))
+    assert max(np.abs(v @ m.p[f"w{d}"]).max() for d in "fb") > 2 * -toxicity._LEAST_V
+    for k in range(0, len(at), 97):
+        g = {d: v[x.seq[at[k][at[k] >= 0]]].astype(np.float64) @ m.p[f"w{d}"] + m.p[f"b{d}"] for d in "fb"}
+        states = {}
+        for d in "fb":
+            h, out, u, n_ = np.zeros(toxicity.UNITS), [], m.p[f"u{d}"], toxicity.UNITS
+            for row in g[d] if d == "f" else g[d][::-1]:
+                gh = h @ u
+                z, r = sigmoid(row[:n_] + gh[:n_]), sigmoid(row[n_ : 2 * n_] + gh[n_ : 2 * n_])
+                h = (1 - z) * np.tanh(row[2 * n_ :] + r * gh[2 * n_ :]) + z * h
+                out.append(h)
+            states[d] = np.array(out if d == "f" else out[::-1])
+        score = states["f"] @ m.p["af"] + states["b"] @ m.p["ab"]
+        weight = np.exp(score - score.max())
+        want = (weight / weight.sum() * (states["f"] @ m.p["of"] + states["b"] @ m.p["ob"])).sum() + m.p["o"][0]
+        assert abs(got[k] - want) < 1e-3
+
+
+def test_equal_windows_are_scored_once(monkeypatch):
+    """The same passage in many texts costs its windows once, and each text still gets all of its own."""
+    texts, y, say, common, rare = _planted()
+    m = toxicity.train(texts[:80], y[:80], passes=1)
+    shared = say(common, 400)
+    some = [" ".join([*say(common + rare, 40), *shared, *say(common + rare, 40)]).encode() for _ in range(30)]
+    alone = np.concatenate([m.logits(toxicity.Inputs([t]))[0] for t in some])
+    counted, pooled = [], toxicity.Model._pooled
+    monkeypatch.setattr(toxicity.Model, "_pooled", lambda self, inputs, heads, size, *more: counted.append(size) or pooled(self, inputs, heads, size, *more))
+    logit, owner = m.logits(toxicity.Inputs(some))
+    assert np.abs(logit - alone).max() < 1e-4 and len(logit) == 30 * (480 - 31)
+    assert sum(counted) < len(logit) / 2
+
+
+def test_windows_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(toxicity, "span_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
+    words = np.concatenate([np.arange(40), np.arange(40)])
+    at = np.concatenate([np.arange(9), 40 + np.arange(9)])
+    first = toxicity._firsts(words, at)
+    assert first[0] == first[9] == 0 and first[1:9].tolist() == list(range(1, 9))
