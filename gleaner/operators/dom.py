@@ -18,9 +18,14 @@ from ..functions.text import lcs_within, title_words
 from ..functions.tree import body_of, ends, kids, norm, parse, title_node  # noqa: F401
 
 SCHEMA = "page_id long, node_id int, parent_id int, last_id int, depth int, sib_idx int, tag string, attrs map<string,string>, text string, tail string, content_length int, content string"
+#: Letters that a worker holds as rows of pages before it hands them on, and rows likewise.
+LETTERS, ROWS = 1 << 20, 1 << 12
+
+
 def trees(pages: DataFrame, rows: Callable[[list[dict]], Iterable[tuple]], schema: str, keep: tuple[str, ...] = (), clean: bool = True) -> DataFrame:
     """rows(tree) of each page (page_id, html), behind its page_id and the columns in keep: (page_id, keep.., schema..). Pages
-    are cleaned first in the JVM; those without any element have no rows."""
+    are cleaned first in the JVM; those without any element have no rows. Rows leave a worker by stretches, however many pages
+    a batch has."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -28,18 +33,25 @@ def trees(pages: DataFrame, rows: Callable[[list[dict]], Iterable[tuple]], schem
     whole = StructType([*p.drop("html").schema.fields, *StructType.fromDDL(schema).fields])
     arrow = to_arrow_schema(whole)
 
+    def handed(b: pa.RecordBatch, owner: list[int], out: list[tuple]) -> pa.RecordBatch:
+        kept = [b.column(c).take(pa.array(owner)) for c in range(b.num_columns - 1)]
+        made = [pa.array(list(v), f.type) for v, f in zip(zip(*out), list(arrow)[len(kept) :])]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip([*kept, *made], arrow)], schema=arrow)
+
     def run(batches):
         for b in batches:
-            html, owner, out = b.column(b.num_columns - 1), [], []
+            html, owner, out, held = b.column(b.num_columns - 1), [], [], 0
             for k in range(b.num_rows):
                 if tree := parse(html[k].as_py()):
-                    found = list(rows(tree))
-                    owner += [k] * len(found)
-                    out += found
+                    for row in rows(tree):
+                        owner.append(k)
+                        out.append(row)
+                        held += sum(len(x) for x in row if isinstance(x, str))
+                        if held >= LETTERS or len(out) >= ROWS:
+                            yield handed(b, owner, out)
+                            owner, out, held = [], [], 0
             if out:
-                kept = [b.column(c).take(pa.array(owner)) for c in range(b.num_columns - 1)]
-                made = [pa.array(list(v), f.type) for v, f in zip(zip(*out), list(arrow)[len(kept) :])]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip([*kept, *made], arrow)], schema=arrow)
+                yield handed(b, owner, out)
 
     return p.mapInArrow(run, whole)
 
@@ -109,6 +121,18 @@ def structure(pages: DataFrame) -> DataFrame:
     return trees(pages, rows, "node_id int, height int, xpath string, lines string")
 
 
+def paths(pages: DataFrame) -> DataFrame:
+    """(page_id, node_id, xpath) of each node, as structure() has them, without the texts below."""
+
+    def rows(tree: list[dict]):
+        path: dict[int, str] = {}
+        for n in tree:
+            path[n["node_id"]] = f"{path.get(n['parent_id'], '')}/{n['tag']}[{n['sib_idx']}]"
+            yield n["node_id"], path[n["node_id"]]
+
+    return trees(pages, rows, "node_id int, xpath string")
+
+
 def body(dom: DataFrame) -> DataFrame:
     """Nodes of each page's body (of the whole tree where it has none)."""
     top = dom.groupBy("page_id").agg(F.coalesce(F.min(F.when(F.col("tag") == "body", F.col("node_id"))), F.lit(1)).alias("body"), F.min_by("last_id", F.when(F.col("tag") == "body", F.col("node_id"))).alias("last"))

@@ -35,7 +35,7 @@ def dom_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dom_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.structure(_pages(spark, sf_dir)).select("page_id", "node_id", "xpath")
+    return D.paths(_pages(spark, sf_dir))
 
 
 @query()
