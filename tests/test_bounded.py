@@ -36,3 +36,23 @@ def test_texts_leave_by_stretches(spark, worker):
     b = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([PAGE] * 400)], ["page_id", "html"])
     sizes = [x.column(1).nbytes for x in run([b])]
     assert len(sizes) > 1 and max(sizes) < 2 * D.LETTERS
+
+
+def test_paths_are_those_of_the_structure(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    assert sorted(map(tuple, D.paths(p).collect())) == sorted(map(tuple, D.structure(p).select("page_id", "node_id", "xpath").collect()))
+
+
+def test_subsequences_take_arrow_arrays():
+    a, b = pa.array([["x", "y"], None, []]), pa.array([["y", "x", "xy"], ["x"], ["x"]])
+    assert T.lcs.func(a, b).to_pylist() == [1, 0, 0] and T.lcs_within.func(a, b).to_pylist() == [2, 0, 0]
+
+
+def test_check_scores_once(spark):
+    articles = spark.createDataFrame([(k, "a b c d"[: 1 + 2 * (k % 4)]) for k in range(9)], "page_id long, para string")
+    gold = articles.select("page_id", F.lit("a b c d").alias("gold"))
+    got = E.checked(articles, gold, T.words)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    r = sorted((1 + k % 4) / 4 for k in range(9))
+    assert (got.first()["n"], got.first()["p"]) == (9, 1.0) and math.isclose(got.first()["r"], sum(r[1:-1]) / 7)
+    assert tuple(E.checked(articles.limit(0), gold, T.words).first()) == (0, None, None, None, None)
