@@ -56,3 +56,16 @@ def test_check_scores_once(spark):
     r = sorted((1 + k % 4) / 4 for k in range(9))
     assert (got.first()["n"], got.first()["p"]) == (9, 1.0) and math.isclose(got.first()["r"], sum(r[1:-1]) / 7)
     assert tuple(E.checked(articles.limit(0), gold, T.words).first()) == (0, None, None, None, None)
+
+
+def test_least_squares_over_many_batches(spark, worker):
+    run = K.rls(spark.createDataFrame([("a", 1, 1.0, 1.0)], "k string, i long, x double, y double"), "k", "i", ["x"], "y")
+    keys, x, y = [None] * 3 + ["a"] * 5 + ["b"], np.arange(9.0), [1.0, None, 3.0, 4.0, 5.5, math.inf, 7.0, 8.0, 9.0]
+    whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(range(9)), pa.array(x), pa.array(y)], ["k", "i", "x", "y"])
+    one = [b.to_pylist()[0] for b in run([whole])]
+    assert [b.to_pylist()[0] for b in run([whole.slice(k, 2) for k in range(0, 9, 2)])] == one
+    assert [(r["k"], r["n"]) for r in one] == [(None, 3), ("a", 5), ("b", 1)]
+    w, p = np.zeros(2), np.eye(2) / 1e-4
+    for k in (3, 4, 6, 7):
+        w, p = K.rls_step(w, p, np.array([1.0, x[k]]), y[k])
+    assert np.allclose(one[1]["w"], w)
